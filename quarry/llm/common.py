@@ -160,3 +160,30 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         return found.join(then, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
 
     return reduce(follow, maps[1:], maps[0].select("node", F.col("up").alias("component")))
+
+
+def with_columns_from(df: DataFrame, fn, new: str, needs: dict[str, Column], keep: list[str]) -> DataFrame:
+    """`keep` columns of `df` and the columns of DDL `new`, made by Arrow batches.
+
+    fn(batch of the `needs` columns) -> one pa.Array (or list) for each new column.
+    A kept column with the name of a new one gives way to it.
+    """
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(new)
+    keep = [c for c in keep if c not in added.names]
+    tags = {f"_in_{k}": v for k, v in needs.items()}
+    source = df.select(*[F.col(f"`{c}`") for c in keep], *[v.alias(k) for k, v in tags.items()])
+    schema = StructType([*[source.schema[c] for c in keep], *added.fields])
+    width, names, asked = len(keep), schema.names, list(needs)
+
+    def run(batches):
+        for batch in batches:
+            inputs = pa.RecordBatch.from_arrays(batch.columns[width:], names=asked)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *map(pa.array, fn(inputs))], names=names)
+
+    return source.mapInArrow(run, schema)
+
+
+def as_bytes(column: str = "text") -> Column:
+    return F.col(column).cast("string").cast("binary")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, media, url_reputation
+from quarry.llm import chat, decontamination, media, packing, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,9 +113,28 @@ select page_id, host, path, rule,
 from judged join bounds using (host)
 """
 
+
+def op5_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_tokens())
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op2_media_signatures": op2_media_signatures,
     "op4_perspective_rotation": op4_perspective_rotation,
+    "op5_exact_complement_packing": op5_exact_complement_packing,
+    "op8_winnowing": op8_winnowing,
     "op9_host_reputation": op9_host_reputation,
 }
 ORACLE_SQL = {"op4_perspective_rotation": OP4_SQL, "op9_host_reputation": OP9_SQL}
