@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, media, packing, url_reputation
+from quarry.llm import chat, decontamination, media, packing, quality, toxicity, url_reputation
+from quarry.llm.common import id_bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +119,13 @@ def op5_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_tokens())
 
 
+def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 4) != 2)
+    scored = quality.score_quality(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -130,11 +138,20 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 3) != 1)
+    scored = toxicity.score_toxicity(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "examples", "terms")
+
+
 QUERIES = {
     "op2_media_signatures": op2_media_signatures,
     "op4_perspective_rotation": op4_perspective_rotation,
     "op5_exact_complement_packing": op5_exact_complement_packing,
+    "op7_positive_unlabelled": op7_positive_unlabelled,
     "op8_winnowing": op8_winnowing,
     "op9_host_reputation": op9_host_reputation,
+    "op10_nearest_toxic": op10_nearest_toxic,
 }
 ORACLE_SQL = {"op4_perspective_rotation": OP4_SQL, "op9_host_reputation": OP9_SQL}
