@@ -81,6 +81,7 @@ class RollingHash:
         n = len(sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
+        self._grow(n)
         return mix((sums[k:] - sums[:n]) * self.down[:n])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, media, packing, quality, toxicity, url_reputation
+from quarry.llm import chat, decontamination, media, packing, quality, substring_dedup, toxicity, url_reputation
 from quarry.llm.common import id_bucket
 
 
@@ -32,6 +32,10 @@ def op2_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_rabin_karp_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+
+
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("train_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
@@ -147,6 +151,7 @@ def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_media_signatures": op2_media_signatures,
+    "op3_rabin_karp_windows": op3_rabin_karp_windows,
     "op4_perspective_rotation": op4_perspective_rotation,
     "op5_exact_complement_packing": op5_exact_complement_packing,
     "op7_positive_unlabelled": op7_positive_unlabelled,
