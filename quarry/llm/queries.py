@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, media, packing, quality, substring_dedup, toxicity, url_reputation
+from quarry.llm import chat, decontamination, media, near_dedup, packing, quality, substring_dedup, toxicity, url_reputation
 from quarry.llm.common import id_bucket
 
 
@@ -123,6 +123,12 @@ def op5_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_tokens())
 
 
+def op6_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    doc_id = F.nullif("_id", F.lit(near_dedup.LAST))
+    return found.select(doc_id.alias("doc_id"), "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 4) != 2)
@@ -154,6 +160,7 @@ QUERIES = {
     "op3_rabin_karp_windows": op3_rabin_karp_windows,
     "op4_perspective_rotation": op4_perspective_rotation,
     "op5_exact_complement_packing": op5_exact_complement_packing,
+    "op6_bayesian_minhash": op6_bayesian_minhash,
     "op7_positive_unlabelled": op7_positive_unlabelled,
     "op8_winnowing": op8_winnowing,
     "op9_host_reputation": op9_host_reputation,
