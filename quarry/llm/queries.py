@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, media, near_dedup, packing, quality, substring_dedup, toxicity, url_reputation
+from quarry.llm import chat, decontamination, media, near_dedup, packing, quality, substring_dedup, suffix_tree, toxicity, url_reputation
 from quarry.llm.common import id_bucket
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = suffix_tree.score_texts(table(spark, sf_dir, "documents"), id_bucket("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text stored as the 8-bit samples of a WAVE file that is declared plain text, sniffed, corrected and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
@@ -156,6 +161,7 @@ def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_media_signatures": op2_media_signatures,
     "op3_rabin_karp_windows": op3_rabin_karp_windows,
     "op4_perspective_rotation": op4_perspective_rotation,
