@@ -13,7 +13,8 @@ how far, keeps the work near the size of the groups:
 A comparison looks at the signatures batch by batch and stops as soon as the
 posterior probability (uniform prior) that the similarity reaches the threshold
 falls under `miss`; survivors are verified exactly on their full shingle sets.
-A pair at the threshold shares no band with probability (1 - t**rows)**bands.
+A pair at threshold t shares no band of 5 rows with probability (1 - t**5)**bands;
+there are as many bands as bring that to `miss`.
 
 Defined cases: a text with fewer words than a shingle is one shingle; texts
 without words, and null texts, have none and are linked with nothing; rows with
@@ -34,14 +35,18 @@ from pyspark.sql import functions as F
 from quarry.llm.common import RollingHash, as_bytes, components, cut, ints_of, lower_words, mix, with_columns_from, word_hashes
 
 ROLLING = RollingHash()
-BANDS, ROWS = 24, 5
+ROWS, MOST_BANDS = 5, 200
 LAST = int(np.iinfo(np.int64).max)
-_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, 2 * MOST_BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
 ROW_FACTORS = mix(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 BATCH = 24
 
 
+def bands_for(threshold: float, miss: float) -> int:
+    return min(MOST_BANDS, max(5, math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS)))))
+
+
 def shingles(text: bytes | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of all `size`-word shingles."""
     tokens = lower_words(text)
@@ -51,18 +56,20 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(ROLLING.windows(sums, min(size, len(tokens))))
 
 
-def signature(items: np.ndarray) -> np.ndarray:
-    out = np.full(len(FACTORS), 0xFFFFFFFF, np.uint64)
+def signature(items: np.ndarray, bands: int) -> np.ndarray:
+    n = bands * ROWS
+    out = np.full(n, 0xFFFFFFFF, np.uint64)
     for i in range(0, len(items), 1024):
-        np.minimum(out, ((items[i : i + 1024, None] * FACTORS + SHIFTS) >> np.uint64(32)).min(0), out=out)
+        np.minimum(out, ((items[i : i + 1024, None] * FACTORS[:n] + SHIFTS[:n]) >> np.uint64(32)).min(0), out=out)
     return out
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    return mix((sig.reshape(BANDS, ROWS) * ROW_FACTORS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    rows = sig.reshape(-1, ROWS)
+    return mix((rows * ROW_FACTORS).sum(1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def least_matches(threshold: float, miss: float) -> list[int]:
+def least_matches(threshold: float, miss: float, length: int) -> list[int]:
     """For each further batch of signature bytes: with fewer matches than this, P(similarity >= threshold) < miss.
 
     A byte matches with p = j + (1 - j) / 256. With a uniform prior on p the
@@ -70,7 +77,7 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     P(Binomial(n + 1, p) <= m).
     """
     p, out = threshold + (1 - threshold) / 256, []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, length + 1, BATCH):
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
@@ -79,7 +86,7 @@ def least_matches(threshold: float, miss: float) -> list[int]:
     return out
 
 
-def _features(docs: DataFrame, size: int) -> DataFrame:
+def _features(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
     """_id, n, key (128 bits of the set, as two longs), bands."""
 
     def run(batch: pa.RecordBatch) -> list:
@@ -90,20 +97,20 @@ def _features(docs: DataFrame, size: int) -> DataFrame:
             n.append(len(items))
             high.append(int(digest[0]))
             low.append(int(digest[1]))
-            bands.append(band_keys(signature(items)).view(np.int64) if len(items) else np.zeros(0, np.int64))
+            bands.append(band_keys(signature(items, n_bands)).view(np.int64) if len(items) else np.zeros(0, np.int64))
         return [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
 
     return with_columns_from(docs, run, "n long, high long, low long, bands array<long>", {"text": F.col("_text")}, ["_id"])
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _sets(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
     """_id, sig (a byte of each minhash), items (the whole sorted set, 8 bytes each)."""
 
     def run(batch: pa.RecordBatch) -> list:
         sig, sets = [], []
         for text in batch.column(0):
             items = shingles(text.as_py(), size)
-            sig.append((signature(items) & np.uint64(255)).astype(np.uint8).tobytes())
+            sig.append((signature(items, n_bands) & np.uint64(255)).astype(np.uint8).tobytes())
             sets.append(items.tobytes())
         return [pa.array(sig, pa.binary()), pa.array(sets, pa.binary())]
 
@@ -147,9 +154,9 @@ def _links(ids, root, left, sig, items, least, percent: int):
                 root[root == high] = low
 
 
-def _verify(tasks: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
+def _verify(tasks: DataFrame, sets: DataFrame, percent: int, miss: float, n_bands: int) -> DataFrame:
     """tasks (task, _id, root, left) -> verified links (src, dst). Rows come sorted by task; one task is held at a time."""
-    least = least_matches(percent / 100, miss)
+    least = least_matches(percent / 100, miss, n_bands * ROWS)
     rows = tasks.join(sets, "_id").select("task", "_id", "root", "left", "sig", "items")
     rows = rows.repartition("task").sortWithinPartitions("task")
 
@@ -237,7 +244,8 @@ def near_duplicates(
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> `_id`, n_shingles, component_id (smallest id reachable over links of `percent` or more)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), as_bytes().alias("_text"))
-    found = cut(_features(texts, shingle))
+    n_bands = bands_for(percent / 100, miss)
+    found = cut(_features(texts, shingle, n_bands))
     filled = found.where("n > 0")
     classes = cut(filled.groupBy("high", "low").agg(F.min("_id").alias("_id")))
     heads = filled.join(classes, ["high", "low", "_id"]).dropDuplicates(["high", "low", "_id"]).select("_id", "n", F.explode("bands").alias("bucket"))
@@ -246,10 +254,10 @@ def near_duplicates(
     buckets = buckets.groupBy("size", "mark", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     members = cut(heads.join(buckets, "bucket").select("bucket", "size", "_id", "n"))
     wanted = members.select("_id").distinct()
-    sets = cut(_sets(texts.join(wanted, "_id", "left_semi"), shingle))
-    stars = components(_verify(_star_tasks(members, task_rows, task_items), sets, percent, miss))
+    sets = cut(_sets(texts.join(wanted, "_id", "left_semi"), shingle, n_bands))
+    stars = components(_verify(_star_tasks(members, task_rows, task_items), sets, percent, miss, n_bands))
     rooted = cut(members.join(stars.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "_id", "n", F.coalesce("component", "_id").alias("root")))
-    rest = _verify(_rest_tasks(rooted, task_rows, task_items), sets, percent, miss)
+    rest = _verify(_rest_tasks(rooted, task_rows, task_items), sets, percent, miss, n_bands)
     links = rest.unionByName(rooted.select(F.col("_id").alias("src"), F.col("root").alias("dst")))
     # rows that share an id are one document, so all classes they are in belong together
     twice = filled.join(classes.withColumnRenamed("_id", "head"), ["high", "low"]).select("_id", "head")
