@@ -14,7 +14,8 @@ by a shuffle, and only the items met are brought to their documents.
 
 Defined cases: null and empty texts have no words; an item without words never
 occurs; items with the same id are one item; an item without id marks words but
-is not listed; repeated documents are judged each.
+is not listed; repeated documents are judged each; columns named _quarry_row and
+_quarry_items are taken as the operator's own.
 """
 
 from __future__ import annotations
@@ -140,12 +141,12 @@ def _prints(rows: DataFrame, window: int, k: int, short: list[int], name: str, o
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int, keep: list[str]) -> DataFrame:
     of_items = _prints(items.select(F.xxhash64("item_id", "text").alias("item"), "text"), window, k, [], "item", True)
     short = sorted(r["size"] for r in of_items.where(F.col("size") < window).select("size").distinct().collect())  # fewer than `window` values
-    tagged = docs.withColumn("_row", F.xxhash64(as_bytes()))  # equal texts are matched once
-    texts = tagged.select("_row", as_bytes().alias("_text")).dropDuplicates(["_row"])
-    met = _prints(texts, window, k, short, "_row", False).join(of_items, ["size", "print"]).select("_row", "item").distinct()
+    tagged = docs.withColumn("_quarry_row", F.xxhash64(as_bytes()))  # equal texts are matched once
+    texts = tagged.select("_quarry_row", as_bytes().alias("_text")).dropDuplicates(["_quarry_row"])
+    met = _prints(texts, window, k, short, "_quarry_row", False).join(of_items, ["size", "print"]).select("_quarry_row", "item").distinct()
     brought = met.join(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.col("text").alias("said")).dropDuplicates(["item"]), "item")
-    brought = brought.groupBy("_row").agg(F.collect_list(F.struct("item_id", "said")).alias("_items"))
-    joined = tagged.join(brought, "_row", "left")
+    brought = brought.groupBy("_quarry_row").agg(F.collect_list(F.struct("item_id", "said")).alias("_quarry_items"))
+    joined = tagged.join(brought, "_quarry_row", "left")
 
     def match(batch: pa.RecordBatch) -> list[pa.Array]:
         found = []
@@ -153,5 +154,5 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int, keep: li
             found.append(ItemIndex([(x["item_id"], x["said"]) for x in near or ()], window, k).match(text.as_py()))
         return _columns(found)
 
-    needs: dict[str, Column] = {"text": as_bytes(), "items": F.col("_items")}
+    needs: dict[str, Column] = {"text": as_bytes(), "items": F.col("_quarry_items")}
     return with_columns_from(joined, match, HITS, needs, keep)
