@@ -27,14 +27,23 @@ class Embedder(Protocol):
 class HashedWords:
     """Word counts in `dim` buckets, by the first 32 bits of each word's md5."""
 
-    def __init__(self, dim: int = 64):
-        self.dim, self.model = dim, f"hashed-words-{dim}"
+    def __init__(self, dim: int = 64, remember: int = 200_000):
+        self.dim, self.model, self.remember = dim, f"hashed-words-{dim}", remember
+        self.buckets: dict[str, int] = {}
+
+    def bucket(self, word: str) -> int:
+        found = self.buckets.get(word)
+        if found is None:
+            found = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+            if len(self.buckets) < self.remember:
+                self.buckets[word] = found
+        return found
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts, strict=True):
             for word, n in Counter(re.findall(r"[a-z0-9]+", text.lower())).items():
-                row[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim] += n
+                row[self.bucket(word)] += n
         return out
 
 
@@ -57,22 +66,32 @@ def embed_query(text: str, embedder: Embedder) -> list[float]:
     return unit_rows(embedder.embed([text]))[0].tolist()
 
 
-def hashed_word_counts(texts: DataFrame, keys: list[str], dim: int = 64) -> DataFrame:
-    """The same embedding as rows (keys, bucket, n), for searches that stay in SQL: words of a text never gather in one row."""
-    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dim
-    return texts.select(*keys, F.explode(found).alias("word")).groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"))
+def search_texts(texts: DataFrame, queries: DataFrame, min_score: float, embedder: Embedder, block: int = 4096) -> DataFrame:
+    """texts (doc_id, text), queries (item_id, text) -> item_id, doc_id, score of each pair that reaches `min_score`.
 
-
-def hashed_search(texts: DataFrame, queries: DataFrame, min_score: float, dim: int = 64) -> DataFrame:
-    """texts (doc_id, text), queries (item_id, text) -> cosine of each pair that reaches `min_score`.
-
-    Joined on buckets, which are few, so the queries are the side to send round:
-    a stated query set against all texts.
+    A stated query set against all texts: its vectors go round in blocks of at
+    most about `block`, and each Arrow batch of texts is embedded and multiplied
+    with one; only pairs that reach the score leave a task.
     """
-    docs, asked = hashed_word_counts(texts, ["doc_id"], dim), hashed_word_counts(queries, ["item_id"], dim)
-    norm = lambda df, key: df.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"{key}_norm"))
-    dots = docs.join(asked.withColumnRenamed("n", "m"), "bucket").groupBy("doc_id", "item_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    scored = dots.join(norm(docs, "doc_id"), "doc_id").join(norm(asked, "item_id"), "item_id")
-    score = F.col("dot") / (F.col("doc_id_norm") * F.col("item_id_norm"))
-    return scored.select("item_id", "doc_id", score.alias("score")).where(F.col("score") >= min_score)
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    schema = f"item_id {queries.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double"
+
+    def found(part: int) -> DataFrame:
+        asked = queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == part).select("item_id", "text").collect()
+        names = np.array([r["item_id"] for r in asked], object)
+        matrix = unit_rows(embedder.embed([r["text"] or "" for r in asked])).T if asked else np.zeros((embedder.dim, 0))
+
+        def run(batches):
+            for batch in batches:
+                scores = unit_rows(embedder.embed([x or "" for x in batch.column(1).to_pylist()])) @ matrix
+                row, item = np.nonzero(scores >= min_score)
+                yield pa.RecordBatch.from_arrays([pa.array(names[item].tolist(), kinds[0]), batch.column(0).take(pa.array(row)), pa.array(scores[row, item])], names=["item_id", "doc_id", "score"])
+
+        kinds = [pa.string() if isinstance(x, str) else pa.int64() for x in names[:1]] or [pa.int64()]
+        return texts.select("doc_id", "text").mapInArrow(run, schema)
+
+    out = found(0)
+    for part in range(1, blocks):
+        out = out.unionByName(found(part))
+    return out

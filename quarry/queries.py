@@ -368,7 +368,7 @@ def rebuild_text(spark, d):
 
 @query("hash_embed_search")
 def hash_embed_search(spark, d):
-    return embedding.hashed_search(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.9).withColumn("score", F.round("score", 6))
+    return embedding.search_texts(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.9, embedding.HashedWords()).withColumn("score", F.round("score", 6))
 
 
 _HASHED = "select {key}, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as bucket, count(*) as n from (select {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as w from {table}) group by all"
