@@ -42,9 +42,6 @@ def top_k(chunks: DataFrame, query: Sequence[float], k: int = 5, corpora: Sequen
     return best.orderBy(F.desc("score"), "corpus", "chunk_index").limit(2 * k)
 
 
-REFINE = "Only {} result(s) reach the minimum score of {}. Try a more specific query."
-
-
 def quality_gate(top: DataFrame, min_score: float | None) -> DataFrame:
     """One row: quality_results, filtered_count, passed, and the message where fewer than two rows reach `min_score`; without it the gate is off."""
     good = F.lit(True) if min_score is None else F.col("score") >= min_score
