@@ -94,7 +94,7 @@ def count_runs(texts: DataFrame, depth: int) -> DataFrame:
                 if size > CHARS:
                     keys, counts = merge()
                     held, size = [], 0
-                    if len(keys) > 5 * FLUSH:
+                    if len(keys) > 3 * FLUSH:
                         yield rows()
                         keys, counts = keys[:0], counts[:0]
         if held:
@@ -166,16 +166,27 @@ class Tree:
         return out
 
 
-def _score_by_tree(tree: Tree, texts: list[list[bytes]]) -> np.ndarray:
-    scores, held, size, first = np.zeros(len(texts)), [], 0, 0
-    for i, tokens in enumerate(texts):
-        held.append(runs(tokens, tree.depth))
-        size += len(held[-1])
-        if size > CHARS // 4 or i + 1 == len(texts):
-            starts = np.cumsum([0, *map(len, held[:-1])])
-            scores[first : i + 1] = np.add.reduceat(tree.score(np.concatenate(held)), starts)
-            held, size, first = [], 0, i + 1
-    return scores
+class TreeScores:
+    """Scores texts one after the other, some hundred thousand bytes at a time."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.held, self.size, self.out = tree, [], 0, []
+
+    def add(self, tokens: list[bytes]) -> None:
+        self.held.append(runs(tokens, self.tree.depth))
+        self.size += len(self.held[-1])
+        if self.size > CHARS // 4:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            starts = np.cumsum([0, *map(len, self.held[:-1])])
+            self.out.append(np.add.reduceat(self.tree.score(np.concatenate(self.held)), starts))
+            self.held, self.size = [], 0
+
+    def done(self) -> np.ndarray:
+        self.flush()
+        return np.concatenate(self.out) if self.out else np.zeros(0)
 
 
 def _score_by_joins(texts: DataFrame, found: DataFrame, contexts: DataFrame, depth: int, nothing: float) -> DataFrame:
@@ -229,20 +240,33 @@ def score_texts(
         if "head" not in made:
             made["head"] = dict(zip(*head.value, strict=True))
         get = made["head"].get
-        tokens = [lower_words(t.as_py()) for t in batch.column(0)]
-        n, known, base, tails = [], [], [], []
-        for own in tokens:
+        scores = TreeScores(tree.value) if tree else None
+        n, known, base, offsets, rare = [], [], [], [0], []
+        words_held, times_held = [], []
+
+        def close():
+            rare.append(pa.StructArray.from_arrays([pa.array(words_held, pa.binary()), pa.array(times_held, pa.int64())], names=["word", "times"]))
+            words_held.clear()
+            times_held.clear()
+
+        for text in batch.column(0):
+            own = lower_words(text.as_py())  # the words of one text at a time
             c = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
             here = c[c >= 0]
             n.append(len(own) + 1)
             known.append(len(here) + (ends > 0))
             base.append(float(np.log10(here + 0.5).sum() + np.log10(ends + 0.5) - (len(own) + 1) * floor))
-            tails.append(list(Counter(own[i] for i in np.flatnonzero(c < 0).tolist()).items()))
-        offsets = np.cumsum([0, *map(len, tails)]).astype(np.int32)
-        pairs = [p for t in tails for p in t]
-        rare = pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], names=["word", "times"])
-        scores = _score_by_tree(tree.value, tokens) if tree else np.zeros(len(tokens))
-        return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets), rare)]
+            tail = Counter(own[i] for i in np.flatnonzero(c < 0).tolist())
+            words_held += tail.keys()
+            times_held += tail.values()
+            offsets.append(offsets[-1] + len(tail))
+            if len(words_held) > 50_000:
+                close()
+            if scores:
+                scores.add(own)
+        close()
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(rare))
+        return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores.done() if scores else np.zeros(len(n))), lists]
 
     new = "n_tokens long, head_known long, head_base double, tree_score double, rare array<struct<word:binary,times:long>>"
     keep = ["doc_id", "learned", "_uid", *([] if small else ["_text"])]
