@@ -1,13 +1,15 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are lower-cased words and their beginnings of 4 to 7 bytes (stems of
-inflected slurs). The vocabulary is what the labels tell apart: terms whose
-chi-square against `toxic` is significant, at most `max_terms`. Document
+inflected slurs). The vocabulary is what tells toxic examples: terms that lean to
+them by `z` standard deviations or more, stand in a share `support` of them (else
+the words of a few copies would fill it), and are `lift` times as common there
+as elsewhere (else the commonest words would), at most `max_terms`. Document
 frequencies count all documents. The examples' unit vectors lie in an inverted
 index whose postings are cut into blocks of examples with the largest weight of
-each; a query sums these into a bound for each block and scores blocks in order
-of their bounds until none can reach the k-th neighbour, so the k nearest are
-exact. Votes weigh by closeness, and isotonic regression over leave-one-out
+each; a query sums these into a bound for each block, scores the blocks of the
+highest bounds, and then just those whose bound reaches the k-th neighbour so
+far, so the k nearest are exact. Votes weigh by closeness, and isotonic regression over leave-one-out
 votes of the examples calibrates them.
 
 Fitting is bounded: about `examples` labelled rows drawn by a hash of the id.
@@ -32,6 +34,7 @@ from quarry.llm.common import alnum_words, as_bytes, with_columns_from
 from quarry.llm.quality import draw
 
 BLOCK = 64
+FIRST = 8
 STEMS = (4, 5, 6, 7)
 FLUSH = 300_000
 
@@ -91,36 +94,41 @@ class BlockMaxIndex:
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest with a cosine over 0, nearest first, ties by example; `skip` is left out."""
-        bound = np.zeros(self.n_blocks)
-        lists = []
-        for t, w in zip(query[0].tolist(), query[1].tolist(), strict=True):
-            a, b = self.term_at[t], self.term_at[t + 1]
-            bound[self.block_of[a:b]] += w * self.block_max[a:b]
-            lists.append((a, b, w))
+        at, weight = self._spread(self.term_at[query[0]], self.term_at[query[0] + 1], query[1])
+        blocks = self.block_of[at]
+        bound = np.bincount(blocks, weight * self.block_max[at], self.n_blocks)
+        order = np.lexsort((np.arange(self.n_blocks), -bound))[: np.count_nonzero(bound)]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        order = np.lexsort((np.arange(self.n_blocks), -bound))
-        for block in order[bound[order] > 0].tolist():
-            if len(best) == k:
-                last = score[-1]
-                reach = bound[block] - last
-                if reach < -1e-12:
-                    break
-                if reach < 1e-12 and block * BLOCK > best[score <= last + 1e-12].max():
-                    continue
-            own = np.zeros(BLOCK)
-            for a, b, w in lists:
-                i = a + np.searchsorted(self.block_of[a:b], block)
-                if i < b and self.block_of[i] == block:
-                    x, y = self.block_start[i], self.block_start[i + 1]
-                    own[self.rows[x:y] - block * BLOCK] += w * self.weights[x:y]
-            hit = np.flatnonzero(own > 0)
-            hit = hit[hit + block * BLOCK != skip]
-            best = np.concatenate([best, hit + block * BLOCK])
-            score = np.concatenate([score, own[hit]])
+        done = 0
+        while done < len(order):
+            # a few blocks first; then, at once, all whose bound reaches the k-th neighbour so far
+            least = score[-1] - 1e-12 if len(best) == k else -1.0
+            todo = order[done : done + FIRST] if not done else order[done:][bound[order[done:]] >= least]
+            if not len(todo):
+                break
+            done = FIRST if not done else len(order)
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[todo] = True
+            mine = chosen[blocks]
+            post, w = self._spread(self.block_start[at[mine]], self.block_start[at[mine] + 1], weight[mine])
+            own = np.bincount(self.rows[post], w * self.weights[post], self.n_blocks * BLOCK)
+            if skip >= 0:
+                own[skip] = 0
+            rows = np.flatnonzero(own)
+            if len(rows) > k:  # all that can be among the k, with their ties
+                rows = rows[own[rows] >= np.partition(own[rows], -k)[-k] - 1e-11]
+            best, score = np.concatenate([best, rows]), np.concatenate([score, own[rows]])
             top = np.lexsort((best, -np.round(score, 12)))[:k]
             best, score = best[top], score[top]
         return best, score
 
+    @staticmethod
+    def _spread(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers from each start to its end, and the value of each."""
+        size = end - start
+        ends = np.cumsum(size)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size), np.repeat(value, size)
+
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit of y on x (pool adjacent violators)."""
@@ -145,6 +153,9 @@ class Model:
     without: float
     k: int
 
+    def __post_init__(self):
+        self.names = list(self.terms.vocabulary)
+
     def vote(self, query: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray]:
         near, cosine = self.index.nearest(query, self.k, skip)
         if not len(near):
@@ -158,8 +169,7 @@ class Model:
         raw, near = self.vote(query)
         if raw < 0:
             return self.without, [], []
-        names = list(self.terms.vocabulary)
-        heavy = [names[i].decode("utf-8", "replace") for i in query[0][np.argsort(-query[1], kind="stable")[:3]].tolist()]
+        heavy = [self.names[i].decode("utf-8", "replace") for i in query[0][np.argsort(-query[1], kind="stable")[:3]].tolist()]
         return float(np.clip(np.interp(raw, *self.knots), 0, 1)), [self.doc_ids[i] for i in near[:5].tolist()], heavy
 
 
@@ -205,7 +215,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = 16_000, max_terms: int = 4096, least: int = 4, z: float = 5.0, k: int = 25
+    docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = 16_000, max_terms: int = 4096, least: int = 4, support: float = 0.03, lift: float = 2.0, z: float = 5.0, k: int = 25
 ) -> Model | None:
     """labels (doc_id, toxic) where `allowed` (a condition on doc_id) says they may be learned from."""
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -216,8 +226,8 @@ def train(
         return None
     share = (F.col("toxic") + F.col("clean")) / F.lit(n1 + n0)
     gap = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    telling = _label_counts(rows).where(F.col("toxic") + F.col("clean") >= least).withColumn("z", gap).where(F.abs("z") >= z)
-    top = telling.orderBy(F.desc(F.abs("z")), "term").limit(max_terms).collect()
+    telling = _label_counts(rows).where((F.col("toxic") >= max(least, support * n1)) & (F.col("toxic") / n1 >= lift * F.col("clean") / n0)).withColumn("z", gap).where(F.col("z") >= z)
+    top = telling.orderBy(F.desc("z"), "term").limit(max_terms).collect()
     vocabulary = {bytes(r["term"]): i for i, r in enumerate(top)}
     n, frequency = _document_frequencies(docs, vocabulary)
     terms = Terms(vocabulary, np.log((n + 1) / (frequency + 1)) + 1)
