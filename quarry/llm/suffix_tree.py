@@ -72,6 +72,19 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("_text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """Words of the highest counts, `most` at most: counts are binned by eighths of a power of two, and whole bins taken, so nothing is sorted in one task."""
+    binned = words.where(F.octet_length("word") <= LONG_WORD).withColumn("bin", F.floor(F.log2("c") * 8))
+    sizes = sorted(((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect()), reverse=True)  # some hundred rows
+    least, total = None, 0
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = at
+    return binned.where(F.lit(False) if least is None else F.col("bin") >= least).select("word", "c")
+
+
 def count_runs(texts: DataFrame, depth: int) -> DataFrame:
     """texts (_text) -> run, n: how often each `depth` + 1 bytes occur."""
 
@@ -224,7 +237,7 @@ def score_texts(
     sums = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
     n_all, kinds, ends = (int(x or 0) for x in sums)
     floor = float(np.log10(n_all + 0.5 * (kinds + 1)))
-    top = words.where(F.octet_length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(head_words).toArrow()
+    top = _most_frequent(words, head_words).toArrow()
     counted = cut(count_runs(train, depth))
     found, contexts = grow(counted, depth, least, cost)
     found, contexts = cut(found), cut(contexts)
