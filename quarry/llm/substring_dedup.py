@@ -100,8 +100,12 @@ def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
             least = ids[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
             settled = ids > least
-            # of the smallest document one row for each hash would do for the others, but each of its own places has to be judged
-            yield _block(a[~settled], b[~settled], ids[~settled], starts[~settled], starts[~settled] + window, False)
+            # places of one hash in one document share its fate, so those that touch are one interval
+            a, b, own, places = (x[~settled] for x in (a, b, ids, starts))
+            cut = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (own[1:] != own[:-1]) | (places[1:] > places[:-1] + window))
+            first = np.flatnonzero(cut)
+            last = np.append(first[1:], len(own)) - 1
+            yield _block(a[first], b[first], own[first], places[first], places[last] + window, False)
             if settled.any():
                 ids, starts = ids[settled], starts[settled]
                 order = np.lexsort((starts, ids))
@@ -141,9 +145,15 @@ def _intervals(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "_id long, start int, end int")
 
 
+def tagged(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """`_id`, `_text` and, if any are to be kept, a struct `_row` of these columns. Where none are, the shuffle of the texts by `_id` is one for all joins of a query."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")] if keep else []
+    return docs.select(*row, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), as_bytes().alias("_text"))
+
+
 def find_repeats(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataFrame:
     """docs (doc_id, text, ...) -> `_id`, `_gone` (array of start, end: words to remove, maximal intervals in order) for documents that lose any."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), as_bytes().alias("_text"))
+    texts = tagged(docs)
     shared = texts.join(_repeated_anchors(texts, window, anchor), "_id").select("_id", "_text", "anchors")
     found = _intervals(_windows(shared, window, anchor))
     places = found.groupBy("_id").agg(F.collect_set(F.struct("start", "end")).alias("places"))
@@ -167,15 +177,15 @@ def find_repeats(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataFra
 
 def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
     """`keep` columns of `docs` with `text` made of the words kept, joined by single spaces (unchanged where none goes), `n_words` and `n_removed`; with `digest` the text gives way to `kept_sha256` of its words."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "n_words", "n_removed", "kept_sha256")]
-    gone = find_repeats(docs, window, anchor)
-    tagged = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), as_bytes().alias("_text"))
-    joined = tagged.join(gone, "_id", "left").select(*keep, "_text", "_gone")
-    width = len(keep)
-    last = ("kept_sha256", "string") if digest else ("text", "string")
     from pyspark.sql.types import StructType
 
-    schema = StructType([*joined.select(*keep).schema.fields, *StructType.fromDDL(f"n_words long, n_removed long, {last[0]} {last[1]}").fields])
+    last = "kept_sha256" if digest else "text"
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "n_words", "n_removed", "kept_sha256")]
+    rest = [c for c in keep if c != "doc_id"]  # the id is made from `_id` again, so that it need not travel beside it
+    gone = find_repeats(docs, window, anchor)
+    joined = tagged(docs, rest).join(gone, "_id", "left").select(*(["_row"] if rest else []), "_id", "_text", "_gone")
+    width = len(joined.columns) - 2
+    schema = StructType([*joined.schema.fields[:width], *StructType.fromDDL(f"n_words long, n_removed long, {last} string").fields])
     names = schema.names
 
     def run(batches):
@@ -198,4 +208,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, keep: li
                     made.append(b" ".join(left).decode() if lost else text.decode() if text is not None else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(made, pa.string())], names=names)
 
-    return joined.mapInArrow(run, schema)
+    doc_id = F.nullif("_id", F.lit(int(LAST))).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return joined.mapInArrow(run, schema).select(*[doc_id if c == "doc_id" else F.col(f"_row.`{c}`") for c in keep], "n_words", "n_removed", last)
