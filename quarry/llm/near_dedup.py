@@ -157,7 +157,7 @@ def _links(ids, root, left, sig, items, least, percent: int):
 def _verify(tasks: DataFrame, sets: DataFrame, percent: int, miss: float, n_bands: int) -> DataFrame:
     """tasks (task, _id, root, left) -> verified links (src, dst). Rows come sorted by task; one task is held at a time."""
     least = least_matches(percent / 100, miss, n_bands * ROWS)
-    rows = tasks.join(sets, "_id").select("task", "_id", "root", "left", "sig", "items")
+    rows = tasks.hint("merge").join(sets, "_id").select("task", "_id", "root", "left", "sig", "items")
     rows = rows.repartition("task").sortWithinPartitions("task")
 
     def run(batches):
@@ -253,7 +253,8 @@ def near_duplicates(
     buckets = heads.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("_id")).alias("mark"), F.min("_id").alias("least")).where("size > 1")
     buckets = buckets.groupBy("size", "mark", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     members = cut(heads.join(buckets, "bucket").select("bucket", "size", "_id", "n"))
-    wanted = members.select("_id").distinct()
+    # by shuffle at every size: the ids wanted grow with the documents
+    wanted = members.select("_id").distinct().hint("merge")
     sets = cut(_sets(texts.join(wanted, "_id", "left_semi"), shingle, n_bands))
     stars = components(_verify(_star_tasks(members, task_rows, task_items), sets, percent, miss, n_bands))
     rooted = cut(members.join(stars.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "_id", "n", F.coalesce("component", "_id").alias("root")))
@@ -271,5 +272,5 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Documents that are the smallest id of their component; of rows that repeat an id all stay if it does."""
     kept = near_duplicates(docs, percent).where("component_id = _id").select("_id").distinct()
-    ided = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    return ided.join(kept, "_id", "left_semi").select(*docs.columns)
+    ided = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.struct("*").alias("_row"))
+    return ided.join(kept, "_id", "left_semi").select("_row.*")
