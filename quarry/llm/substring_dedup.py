@@ -16,8 +16,10 @@ rows for each task.
 
 Defined cases: null and empty texts have no words; documents with less than a
 window of words lose none; a repeat within one document alone stays; documents
-with equal ids count as one document for each other, and each loses what a
-smaller id has; a null id counts as the largest.
+with equal ids lose nothing to each other, and each loses what a smaller id has;
+a null id counts as larger than all others, and documents without one come in
+the order of 128 bits of hash of their texts, of exact copies one first.
+A row is known by its id and 64 bits of hash of the text, without an id by 128.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import RollingHash, as_bytes, mix, sliding_min, word_hashes, words
+from quarry.llm.common import RollingHash, as_bytes, mix, no_rows, sliding_min, word_hashes, words
 
 ROLLING = RollingHash()
-LAST = np.iinfo(np.int64).max
+#: A row's key: `_id` is the id or, where that is null, further bits of the text's hash.
+KEY = ["_null", "_id", "_k"]
 
 
 def _hashes(text: bytes | None, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def _hashes(text: bytes | None, window: int, anchor: int) -> tuple[np.ndarray, n
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, docs): for each batch of documents and anchor the documents with it."""
+    """docs (_k, _text) -> (anchor, docs): for each batch of documents and anchor the `_k` of those with it."""
 
     def run(batches):
         for batch in batches:
@@ -64,24 +67,37 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _repeated_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(_id, anchors): of each document those that other documents have too."""
-    found = _anchors(docs, window, anchor)
+    """(_k, anchors): of each document those that other documents have too. Should two documents meet in `_k`, both have the anchors of both, which only makes more windows to count."""
+    found = _anchors(docs.select("_k", "_text"), window, anchor)
     same = Window.partitionBy("anchor")
     shared = found.withColumn("_n", F.sum(F.size("docs")).over(same)).where("_n > 1")
-    each = shared.select("anchor", F.explode("docs").alias("_id"))
-    return each.groupBy("_id").agg(F.collect_set("anchor").alias("anchors"))
+    each = shared.select("anchor", F.explode("docs").alias("_k"))
+    return each.groupBy("_k").agg(F.collect_set("anchor").alias("anchors"))
 
 
-ROW = "a long, b long, _id long, start int, end int, settled boolean"
+ROW = "a long, b long, _null boolean, _id long, _k long, start int, end int, settled boolean"
+
+
+def _owners(null: np.ndarray, ids: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Places of rows in the order of documents: equal for equal ids; rows without one are told apart by their keys."""
+    k = np.where(null, k, 0)
+    order = np.lexsort((k, ids, null))
+    null, ids, k = null[order], ids[order], k[order]
+    new = np.append(False, (null[1:] != null[:-1]) | (ids[1:] != ids[:-1]) | (k[1:] != k[:-1]))
+    out = np.empty(len(k), np.int64)
+    out[order] = np.cumsum(new[: len(k)])
+    return out
 
 
 def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (_id, _text, anchors) -> windows with a shared anchor: hash (a, b), document and start; `settled` rows are intervals to remove already."""
+    """docs (_null, _id, _k, _text, anchors) -> windows with a shared anchor: hash (a, b), document and start; `settled` rows are intervals to remove already."""
 
     def run(batches):
         for batch in batches:
+            keys = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+            owner = _owners(*keys)
             rows: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text, shared in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for i, (text, shared) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
                 sums, own = _hashes(text.as_py(), window, anchor)
                 known = np.sort(shared.values.to_numpy().view(np.uint64))
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
@@ -90,78 +106,85 @@ def _windows(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     hashes = ROLLING.windows(sums, window)[starts]
                     rows[0].append(hashes)
                     rows[1].append(mix(own[starts] + np.uint64(1)))
-                    rows[2].append(np.full(len(starts), doc_id, np.int64))
+                    rows[2].append(np.full(len(starts), i, np.int64))
                     rows[3].append(starts)
             if not rows[0]:
                 continue
-            a, b, ids, starts = map(np.concatenate, rows)
-            order = np.lexsort((starts, ids, b, a))
-            a, b, ids, starts = a[order], b[order], ids[order], starts[order]
+            a, b, at, starts = map(np.concatenate, rows)
+            order = np.lexsort((starts, at, owner[at], b, a))
+            a, b, at, starts = a[order], b[order], at[order], starts[order]
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            least = ids[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
-            settled = ids > least
+            least = owner[at[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]]
+            settled = owner[at] > least
             # places of one hash in one document share its fate, so those that touch are one interval
-            a, b, own, places = (x[~settled] for x in (a, b, ids, starts))
+            a, b, own, places = (x[~settled] for x in (a, b, at, starts))
             cut = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (own[1:] != own[:-1]) | (places[1:] > places[:-1] + window))
             first = np.flatnonzero(cut)
             last = np.append(first[1:], len(own)) - 1
-            yield _block(a[first], b[first], own[first], places[first], places[last] + window, False)
+            yield _block(a[first], b[first], [x[own[first]] for x in keys], places[first], places[last] + window, False)
             if settled.any():
-                ids, starts = ids[settled], starts[settled]
-                order = np.lexsort((starts, ids))
-                ids, starts = ids[order], starts[order]
-                cut = np.append(True, (ids[1:] != ids[:-1]) | (starts[1:] > starts[:-1] + window))
+                at, starts = at[settled], starts[settled]
+                order = np.lexsort((starts, at))
+                at, starts = at[order], starts[order]
+                cut = np.append(True, (at[1:] != at[:-1]) | (starts[1:] > starts[:-1] + window))
                 first = np.flatnonzero(cut)
-                last = np.append(first[1:], len(ids)) - 1
-                yield _block(mix(ids[first].view(np.uint64)), np.zeros(len(first), np.uint64), ids[first], starts[first], starts[last] + window, True)
+                last = np.append(first[1:], len(at)) - 1
+                mine = [x[at[first]] for x in keys]
+                yield _block(mix(mine[2].view(np.uint64)), np.zeros(len(first), np.uint64), mine, starts[first], starts[last] + window, True)
 
-    def _block(a, b, ids, starts, ends, settled):
-        columns = [a.view(np.int64), b.view(np.int64), ids, starts.astype(np.int32), ends.astype(np.int32), np.full(len(ids), settled)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "_id", "start", "end", "settled"])
+    def _block(a, b, keys, starts, ends, settled):
+        columns = [a.view(np.int64), b.view(np.int64), *keys, starts.astype(np.int32), ends.astype(np.int32), np.full(len(starts), settled)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", *KEY, "start", "end", "settled"])
 
     return docs.mapInArrow(run, ROW)
 
 
 def _intervals(rows: DataFrame) -> DataFrame:
-    """(_id, start, end) of what goes: settled intervals, and windows whose hash a smaller document has. Rows come sorted by hash and document, so one pass with the current hash's first document will do."""
+    """(_null, _id, _k, start, end) of what goes: settled intervals, and windows whose hash a smaller document has. Rows come sorted by hash and document, so one pass with the current hash's first document will do."""
 
     def run(batches):
         last = None
         for batch in batches:
-            a, b, ids, start, end, settled = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            a, b, null, ids, k, start, end, settled = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(a):
                 continue
             new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            least = ids[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))].copy()
-            if last is not None and (a[0], b[0]) == last[:2]:
+            first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+            own = np.where(null, k, 0)
+            least = [x[first] for x in (null, ids, own)]
+            if last is not None and (a[0], b[0]) == last[0]:
                 run_end = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(a)
-                least[:run_end] = last[2]
-            last = (a[-1], b[-1], least[-1])
-            gone = settled | (ids > least)
-            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (ids, start, end)], names=["_id", "start", "end"])
+                for x, value in zip(least, last[1], strict=True):
+                    x[:run_end] = value
+            last = (a[-1], b[-1]), [x[-1] for x in least]
+            # they are sorted, so a document that is not the first is a larger one
+            gone = settled | (null != least[0]) | (ids != least[1]) | (own != least[2])
+            yield pa.RecordBatch.from_arrays([pa.array(x[gone]) for x in (null, ids, k, start, end)], names=[*KEY, "start", "end"])
 
     # settled rows have hashes of their own (b = 0, settled first), so no window's run takes them in
-    dealt = rows.repartition(*[F.col(c) for c in ("a", "b", "settled")]).sortWithinPartitions("settled", "a", "b", "_id")
-    return dealt.mapInArrow(run, "_id long, start int, end int")
+    dealt = rows.repartition(*[F.col(c) for c in ("a", "b", "settled")]).sortWithinPartitions("settled", "a", "b", *KEY)
+    return dealt.mapInArrow(run, "_null boolean, _id long, _k long, start int, end int")
 
 
 def tagged(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
-    """`_id`, `_text` and, if any are to be kept, a struct `_row` of these columns. Where none are, the shuffle of the texts by `_id` is one for all joins of a query."""
+    """`_null`, `_id`, `_k`, `_text` and, if any are to be kept, a struct `_row` of these columns. Where none are, the shuffle of the texts by `_k` is one for all joins of a query."""
     row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")] if keep else []
-    return docs.select(*row, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"), as_bytes().alias("_text"))
+    doc_id, text = F.col("doc_id").cast("long"), as_bytes()
+    key = [doc_id.isNull().alias("_null"), F.coalesce(doc_id, F.xxhash64(F.lit(1), text)).alias("_id"), F.xxhash64(doc_id, text).alias("_k")]
+    return docs.select(*row, *key, text.alias("_text"))
 
 
 def find_repeats(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataFrame:
-    """docs (doc_id, text, ...) -> `_id`, `_gone` (array of start, end: words to remove, maximal intervals in order) for documents that lose any."""
+    """docs (doc_id, text, ...) -> key, `_gone` (array of start, end: words to remove, maximal intervals in order) for documents that lose any."""
     texts = tagged(docs)
-    shared = texts.join(_repeated_anchors(texts, window, anchor), "_id").select("_id", "_text", "anchors")
+    shared = texts.join(_repeated_anchors(texts, window, anchor), "_k").select(*KEY, "_text", "anchors")
     found = _intervals(_windows(shared, window, anchor))
-    places = found.groupBy("_id").agg(F.collect_set(F.struct("start", "end")).alias("places"))
+    places = found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("places"))
 
     def merge(batches):
         for batch in batches:
             out = []
-            for places in batch.column(1).to_pylist():
+            for places in batch.column(3).to_pylist():
                 spans: list[dict] = []
                 for x in sorted(places, key=lambda p: (p["start"], p["end"])):
                     if spans and x["start"] <= spans[-1]["end"]:
@@ -170,9 +193,9 @@ def find_repeats(docs: DataFrame, window: int = 50, anchor: int = 12) -> DataFra
                         spans.append(x)
                 out.append(spans)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["_id", "_gone"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=[*KEY, "_gone"])
 
-    return places.mapInArrow(merge, "_id long, _gone array<struct<start:int,end:int>>")
+    return places.mapInArrow(merge, "_null boolean, _id long, _k long, _gone array<struct<start:int,end:int>>")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, keep: list[str] | None = None, digest: bool = False) -> DataFrame:
@@ -183,17 +206,27 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, keep: li
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "n_words", "n_removed", "kept_sha256")]
     rest = [c for c in keep if c != "doc_id"]  # the id is made from `_id` again, so that it need not travel beside it
     gone = find_repeats(docs, window, anchor)
-    joined = tagged(docs, rest).join(gone, "_id", "left").select(*(["_row"] if rest else []), "_id", "_text", "_gone")
-    width = len(joined.columns) - 2
+    # by `_k`, as the texts are dealt already; the rest of the key is compared on the spot
+    mine, theirs = tagged(docs, rest), gone.select(F.col("_k"), F.col("_null").alias("_null2"), F.col("_id").alias("_id2"), "_gone")
+    same = (F.col("_id").bitwiseXOR(F.col("_id2")) == 0) & (F.col("_null").cast("int") + F.col("_null2").cast("int") != 1)
+    joined = mine.join(theirs, (mine["_k"] == theirs["_k"]) & same, "left").drop(theirs["_k"])
+    copy = F.lit(False)
+    if not no_rows(docs.where("doc_id is null").select("doc_id")):
+        # of exact copies without an id one comes first, to which the others lose all their windows
+        copy = F.col("_null") & (F.row_number().over(Window.partitionBy("_k", "_null", "_id").orderBy("_k")) > 1)
+    joined = joined.withColumn("_copy", copy).select(*(["_row"] if rest else []), "_null", "_id", "_text", "_gone", "_copy")
+    width = len(joined.columns) - 3
     schema = StructType([*joined.schema.fields[:width], *StructType.fromDDL(f"n_words long, n_removed long, {last} string").fields])
     names = schema.names
 
     def run(batches):
         for batch in batches:
             counts, removed, made = [], [], []
-            for text, spans in zip(batch.column(width), batch.column(width + 1).to_pylist(), strict=True):
+            for text, spans, copy in zip(batch.column(width), batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist(), strict=True):
                 text = text.as_py()
                 tokens = words(text)
+                if copy and len(tokens) >= window:
+                    spans = [{"start": 0, "end": len(tokens)}]
                 left, lost, at = [], 0, 0
                 for x in spans or ():
                     left += tokens[at : x["start"]]
@@ -208,5 +241,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, anchor: int = 12, keep: li
                     made.append(b" ".join(left).decode() if lost else text.decode() if text is not None else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(made, pa.string())], names=names)
 
-    doc_id = F.nullif("_id", F.lit(int(LAST))).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    doc_id = F.when(~F.col("_null"), F.col("_id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return joined.mapInArrow(run, schema).select(*[doc_id if c == "doc_id" else F.col(f"_row.`{c}`") for c in keep], "n_words", "n_removed", last)

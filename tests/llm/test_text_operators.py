@@ -89,6 +89,19 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_knows_rows_without_an_id_and_of_equal_ids_apart(spark):
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    clean, other = say("clean", 80), say("other", 80)
+    rows = [(1, say("p", 60)), (7, say("x", 5) + " " + say("p", 60)), (7, clean), (None, say("p", 60) + " tail"), (None, other), (None, None)]
+    rows += [(None, say("both", 55) + " a"), (None, "b " + say("both", 55)), (None, say("same", 51)), (None, say("same", 51)), (None, "short"), (None, "short")]
+    got = substring_dedup.remove_repeats(make(spark, rows).repartition(3)).collect()
+    assert len(got) == len(rows) and all(r["n_removed"] <= r["n_words"] for r in got)
+    left = collections.Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got)
+    assert left[7, say("x", 5), 60] == left[7, clean, 0] == left[None, "tail", 60] == left[None, other, 0] == left[None, None, 0] == 1
+    assert left[None, say("same", 51), 0] == left[None, "", 51] == 1 and left[None, "short", 0] == 2
+    assert left[None, "a", 55] + left[None, "b", 55] == 1
+
+
 def test_near_duplicates(spark, corpus):
     sets = {}
     for i, t in corpus:
