@@ -17,9 +17,12 @@ A pair at threshold t shares no band of 5 rows with probability (1 - t**5)**band
 there are as many bands as bring that to `miss`.
 
 Defined cases: a text with fewer words than a shingle is one shingle; texts
-without words, and null texts, have none and are linked with nothing; rows with
-the same id are one document; a null id counts as the largest; ties of hubs go
-to the smaller id.
+without words, and null texts, have none and are linked with nothing; each row
+is a document of its own, so an id that repeats, or is null, links nothing; a
+null id counts as the largest. A component has the smallest id in it as
+`component_id`, one of rows without ids a negative number made from a hash of
+its first text; one row of it is `kept`, the first by id and hash of the text.
+If an id repeats, several components can have the same `component_id`.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from quarry.llm.common import RollingHash, as_bytes, components, cut, ints_of, l
 
 ROLLING = RollingHash()
 ROWS, MOST_BANDS = 5, 200
+#: A row's key: its id and 128 bits of hash of its text.
+KEY = ["_id", "_high", "_low"]
 LAST = int(np.iinfo(np.int64).max)
 _SEEDS = mix(np.arange(1, 2 * MOST_BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
@@ -87,7 +92,7 @@ def least_matches(threshold: float, miss: float, length: int) -> list[int]:
 
 
 def _features(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
-    """_id, n, key (128 bits of the set, as two longs), bands."""
+    """The row's key and number, n, key of the set (128 bits, as two longs), bands."""
 
     def run(batch: pa.RecordBatch) -> list:
         n, high, low, bands = [], [], [], []
@@ -100,7 +105,7 @@ def _features(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
             bands.append(band_keys(signature(items, n_bands)).view(np.int64) if len(items) else np.zeros(0, np.int64))
         return [pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
 
-    return with_columns_from(docs, run, "n long, high long, low long, bands array<long>", {"text": F.col("_text")}, ["_id"])
+    return with_columns_from(docs, run, "n long, high long, low long, bands array<long>", {"text": F.col("_text")}, [*KEY, "_uid"])
 
 
 def _sets(docs: DataFrame, size: int, n_bands: int) -> DataFrame:
@@ -239,38 +244,54 @@ def _rest_tasks(members: DataFrame, rows: int, items: int) -> DataFrame:
     return tasks.select(F.col("t.task").alias("task"), "_id", "root", F.col("t.left").alias("left"))
 
 
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    text = as_bytes()
+    return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_high"), F.xxhash64(F.lit(1), text).alias("_low"), text.alias("_text"))
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, shingle: int = 5, miss: float = 1e-6, task_rows: int = 256, task_items: int = 2_000_000
 ) -> DataFrame:
-    """docs (doc_id, text, ...) -> `_id`, n_shingles, component_id (smallest id reachable over links of `percent` or more)."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), as_bytes().alias("_text"))
+    """docs (doc_id, text, ...) -> key (`_id`, `_high`, `_low`), n_shingles, component_id (smallest id reachable over links of `percent` or more), kept (of each component one row)."""
+    texts = _keyed(docs)
     n_bands = bands_for(percent / 100, miss)
-    found = cut(_features(texts, shingle, n_bands))
+    # the rows' numbers are written with them, so they stay the same from here on
+    found = cut(_features(texts.withColumn("_uid", F.monotonically_increasing_id()), shingle, n_bands))
     filled = found.where("n > 0")
-    classes = cut(filled.groupBy("high", "low").agg(F.min("_id").alias("_id")))
-    heads = filled.join(classes, ["high", "low", "_id"]).dropDuplicates(["high", "low", "_id"]).select("_id", "n", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct(*KEY, "_uid")).alias("first")
+    # a class is known by the number of its first row
+    classes = cut(filled.groupBy("high", "low").agg(first).select("high", "low", "first", F.col("first._uid").alias("_uid")))
+    # the nodes below are classes, under the name of _id
+    heads = filled.join(classes.select("_uid"), "_uid", "left_semi").select(F.col("_uid").alias("_id"), "n", F.explode("bands").alias("bucket"))
     # buckets with the same members say the same; one of them is kept
     buckets = heads.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("_id")).alias("mark"), F.min("_id").alias("least")).where("size > 1")
     buckets = buckets.groupBy("size", "mark", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     members = cut(heads.join(buckets, "bucket").select("bucket", "size", "_id", "n"))
     # by shuffle at every size: the ids wanted grow with the documents
-    wanted = members.select("_id").distinct().hint("merge")
-    sets = cut(_sets(texts.join(wanted, "_id", "left_semi"), shingle, n_bands))
+    wanted = classes.join(members.select(F.col("_id").alias("_uid")).distinct(), "_uid", "left_semi").select("_uid", *[F.col(f"first.{c}").alias(c) for c in KEY])
+    # rows of one key have the same text; the first will do
+    met = texts.join(wanted.hint("merge"), KEY).groupBy(*KEY).agg(F.first("_uid").alias("_uid"), F.first("_text").alias("_text"))
+    sets = cut(_sets(met.select(F.col("_uid").alias("_id"), "_text"), shingle, n_bands))
     stars = components(_verify(_star_tasks(members, task_rows, task_items), sets, percent, miss, n_bands))
     rooted = cut(members.join(stars.withColumnRenamed("node", "_id"), "_id", "left").select("bucket", "_id", "n", F.coalesce("component", "_id").alias("root")))
     rest = _verify(_rest_tasks(rooted, task_rows, task_items), sets, percent, miss, n_bands)
     links = rest.unionByName(rooted.select(F.col("_id").alias("src"), F.col("root").alias("dst")))
-    # rows that share an id are one document, so all classes they are in belong together
-    twice = filled.join(classes.withColumnRenamed("_id", "head"), ["high", "low"]).select("_id", "head")
-    shared = twice.groupBy("_id").agg(F.min("head").alias("dst"), F.max("head").alias("src")).where("src <> dst").select("src", "dst")
-    joined = components(links.unionByName(shared)).withColumnRenamed("node", "_id")
-    named = classes.join(joined, "_id", "left").select("high", "low", F.coalesce("component", "_id").alias("component_id"))
-    placed = found.select("_id", "n", "high", "low").join(named, ["high", "low"], "left")
-    return placed.select("_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    joined = components(links).withColumnRenamed("node", "_uid")
+    placed = cut(classes.join(joined, "_uid", "left").select("high", "low", "first", F.coalesce("component", "_uid").alias("component")))
+    firsts = placed.groupBy("component").agg(F.min("first").alias("top"))
+    named = placed.join(firsts, "component").select("high", "low", "top")
+    rows = found.select(*KEY, "_uid", "n", "high", "low").join(named, ["high", "low"], "left")
+    own = F.when(F.col("n") > 0, F.col("top")).otherwise(F.struct(*KEY, "_uid"))
+    # a row without an id and without words has no component
+    label = F.when(own["_id"] < LAST, own["_id"]).when(F.col("n") > 0, -F.shiftrightunsigned(own["_high"], 1) - 1)
+    return rows.select(*KEY, F.col("n").alias("n_shingles"), label.alias("component_id"), (own["_uid"] == F.col("_uid")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Documents that are the smallest id of their component; of rows that repeat an id all stay if it does."""
-    kept = near_duplicates(docs, percent).where("component_id = _id").select("_id").distinct()
-    ided = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.struct("*").alias("_row"))
-    return ided.join(kept, "_id", "left_semi").select("_row.*")
+    """Of each component one row, the first by id and hash of the text; texts without words all stay."""
+    kept = near_duplicates(docs, percent).where("kept").select(*KEY, "n_shingles").distinct()
+    keyed = _keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).drop("_text")
+    met = keyed.join(kept, KEY)
+    # rows of one key are exact copies: one stays, but of those without words all
+    apart = F.when(F.col("n_shingles") == 0, F.monotonically_increasing_id())
+    return met.withColumn("_apart", apart).dropDuplicates([*KEY, "_apart"]).select("_row.*")

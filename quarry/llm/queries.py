@@ -131,7 +131,7 @@ def op5_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     doc_id = F.nullif("_id", F.lit(near_dedup.LAST))
-    return found.select(doc_id.alias("doc_id"), "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return found.select(doc_id.alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:

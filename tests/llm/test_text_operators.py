@@ -129,6 +129,19 @@ def test_near_duplicates(spark, corpus):
     assert {r["component_id"] for r in twice.collect()} == {1}
 
 
+def test_near_duplicates_of_rows_without_an_id_and_of_equal_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcde")
+    rows = [(5, a), (9, b), (None, a), (None, b), (None, c), (None, c), (None, d), (3, e), (3, e), (3, "x y z"), (4, "x y z"), (None, None), (None, ""), (8, ""), (8, "")]
+    found = near_dedup.near_duplicates(make(spark, rows).repartition(3)).collect()
+    assert len(found) == len(rows)
+    groups = collections.Counter(r["component_id"] for r in found)
+    assert groups[5] == groups[9] == 2 and groups[3] == 4 and groups[8] == 2 and groups[None] == 2
+    assert sorted(n for i, n in groups.items() if i is not None and i < 0) == [1, 2]
+    left = collections.Counter((r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(make(spark, rows)).collect())
+    assert left == {(5, a): 1, (9, b): 1, (None, c): 1, (None, d): 1, (3, e): 1, (3, "x y z"): 1, (None, None): 1, (None, ""): 1, (8, ""): 2}
+    assert sum(r["kept"] for r in found) == sum(left.values())
+
+
 def test_decontamination_by_broadcast_and_by_shuffle(spark, corpus):
     texts = dict(corpus)
     w = texts[1].split()
