@@ -17,9 +17,11 @@ from quarry.llm.common import cut, id_bucket
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects go; where no label lets one be learned, all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, id_bucket("doc_id", 4) != 2)
+    if model is None:
+        return docs
     return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
 
 
@@ -35,8 +37,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten or more words of a benchmark item in a row go."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    """Documents with ten or more words of a benchmark item in a row go; an item of fewer words has no such row."""
+    words = F.regexp_count("text", F.lit(r"[^\x00-/:-@\[-`{-\x7f]+"))  # as alnum_words parts them
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(words >= 10)
     return decontamination.find_contamination(docs, benchmark).where("n_hit = 0").select(*docs.columns)
 
 

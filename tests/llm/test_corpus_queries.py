@@ -69,3 +69,20 @@ def test_pipeline_stages(spark):
         docs, before = out, after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).collect()
     assert {r["doc_id"] for r in packed} == set(before)
+
+
+def test_quality_stage_keeps_all_where_nothing_can_be_learned(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text", "a"), (2, None, "b"), (3, "!!", "c")], "doc_id long, text string, source string")
+    for name, rows in (("none", []), ("negative", [(1, 0), (2, 0)]), ("other", [(99, 1)])):
+        spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.keep_good(spark, docs, f"{tmp_path}/{name}")
+        assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3]
+
+
+def test_decontamination_stage_drops_only_for_ten_words_in_a_row(spark, tmp_path):
+    ten = " ".join(f"q{i}" for i in range(10))
+    items = [(1, "yes"), (2, ten), (3, "a b c d e f g h i"), (4, "\u00dc-b c d e f g h i [j]"), (5, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, "yes we can"), (2, f"x {ten} y"), (3, "yes " * 30), (4, ten[:-3]), (5, "\u00dc b c d e f g h i j"), (6, "a b c d e f g h i k"), (7, None)]
+    out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(texts, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4, 6, 7]
