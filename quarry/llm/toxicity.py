@@ -1,10 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are lower-cased words and their beginnings of 4 to 7 bytes (stems of
-inflected slurs). The vocabulary is what tells toxic examples: terms that lean to
-them by `z` standard deviations or more, stand in a share `support` of them (else
-the words of a few copies would fill it), and are `lift` times as common there
-as elsewhere (else the commonest words would), at most `max_terms`. Document
+inflected slurs). The vocabulary is what the labels tell apart: terms of `least`
+examples or more that lean to the toxic or to the clean ones by `z` standard
+deviations or more, all of them, however rare among the toxic ones. Document
 frequencies count all documents. The examples' unit vectors lie in an inverted
 index whose postings are cut into blocks of examples with the largest weight of
 each; a query sums these into a bound for each block, scores the blocks of the
@@ -215,7 +214,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = 16_000, max_terms: int = 4096, least: int = 4, support: float = 0.03, lift: float = 2.0, z: float = 5.0, k: int = 25
+    docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = 16_000, least: int = 4, z: float = 5.0, k: int = 25
 ) -> Model | None:
     """labels (doc_id, toxic) where `allowed` (a condition on doc_id) says they may be learned from."""
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
@@ -226,8 +225,9 @@ def train(
         return None
     share = (F.col("toxic") + F.col("clean")) / F.lit(n1 + n0)
     gap = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    telling = _label_counts(rows).where((F.col("toxic") >= max(least, support * n1)) & (F.col("toxic") / n1 >= lift * F.col("clean") / n0)).withColumn("z", gap).where(F.col("z") >= z)
-    top = telling.orderBy(F.desc("z"), "term").limit(max_terms).collect()
+    # a term of every example says nothing, and has no deviation to divide by
+    counted = _label_counts(rows).where((F.col("toxic") + F.col("clean") >= least) & (F.col("toxic") + F.col("clean") < n1 + n0))
+    top = counted.withColumn("z", gap).where(F.abs("z") >= z).orderBy(F.desc(F.abs("z")), "term").collect()  # bounded by the examples
     vocabulary = {bytes(r["term"]): i for i, r in enumerate(top)}
     n, frequency = _document_frequencies(docs, vocabulary)
     terms = Terms(vocabulary, np.log((n + 1) / (frequency + 1)) + 1)
@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.7,
     keep = docs.columns if keep is None else keep
     id_type = docs.schema["doc_id"].dataType.simpleString()
     new = f"score double, predicted int, examples array<{id_type}>, terms array<string>"
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples` and `max_terms`
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by `examples`
 
     def run(batch: pa.RecordBatch) -> list:
         model = sent.value

@@ -80,6 +80,24 @@ def test_toxicity(spark, labelled):
     assert toxicity.score_toxicity(docs, None).first()["score"] == 0 and toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_rare_slurs(spark):
+    """Each slur stands in under 3 % of the toxic examples."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(3000):
+        w = [rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(99)) for _ in range(40)]
+        toxic = i % 5 == 0
+        if toxic:
+            w[:3] = [f"{x}slur" for x in rng.sample(range(100, 220), 3)]
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.col("doc_id") % 3 != 1)
+    held = [r for r in toxicity.score_toxicity(docs, model).collect() if r["doc_id"] % 3 == 1]
+    assert sum(r["predicted"] for r in held if r["doc_id"] % 5 == 0) > 0.8 * sum(r["doc_id"] % 5 == 0 for r in held)
+    assert sum(r["predicted"] for r in held if r["doc_id"] % 5) < 0.05 * len(held)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     vectors = []
