@@ -12,6 +12,7 @@ again; truncated media are not valid and are not carved.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -153,21 +154,40 @@ def _ogg(b: bytes, at: int) -> int:
     return 0
 
 
+PDF_END = re.compile(rb"startxref\s+(\d{1,12})\s*%%EOF")
+PDF_XREF = re.compile(rb"\s*(?:xref|\d+\s+\d+\s+obj)")
+
+
 def _pdf(b: bytes, at: int) -> int:
+    """To the end mark of the last revision. One behind a further header is this file's if its offset, and not that of the nearest header, leads to a cross-reference."""
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return 0
     xref = b.find(b"startxref", at)
     end = b.find(b"%%EOF", xref) if xref >= 0 else -1
-    return end + 5 - at if end >= 0 else 0
+    if end < 0:
+        return 0
+    end += 5
+    header, seen = -1, end
+    for mark in PDF_END.finditer(b, end):
+        near = b.rfind(b"%PDF-", seen, mark.start())
+        header, seen = max(header, near), mark.end()
+        offset = int(mark[1])
+        leads = lambda base: PDF_XREF.match(b, base + offset, mark.start()) is not None  # noqa: B023, E731
+        if header < 0 or (leads(at) and not leads(header)):
+            end = mark.end()
+    return end - at
 
 
 def _zip(b: bytes, at: int) -> int:
+    """To the first end record whose directory lies where it says; those of stored archives inside do not."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return 0
-    size, start, note = struct.unpack_from("<IIH", b, end + 12)
-    ok = at + start + size == end and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06")
-    return end + 22 + note - at if ok and end + 22 + note <= len(b) else 0
+    while 0 <= end <= len(b) - 22:
+        size, start, note = struct.unpack_from("<IIH", b, end + 12)
+        ok = at + start + size == end and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06")
+        if ok and end + 22 + note <= len(b):
+            return end + 22 + note - at
+        end = b.find(b"PK\x05\x06", end + 1)
+    return 0
 
 
 def _gzip(b: bytes, at: int) -> int:

@@ -295,6 +295,46 @@ def test_media(spark):
         assert bytes(r["w"]) == wave(bytes(r["d"])) and len(r["p"]) % 64 == 0 and len(r["p"]) >= 64 and bytes(r["p"]).startswith(bytes(r["d"]))
 
 
+def pdf(body=b"", revisions=1):
+    out = b"%PDF-1.4\n" + body
+    for i in range(revisions):
+        at = len(out)
+        out += b"xref\n0 1\ntrailer <<>>\nstartxref\n%d\n%%%%EOF\n" % at + (PNG if i + 1 < revisions else b"")
+    return out[:-1]
+
+
+def test_media_to_the_last_end_mark():
+    import io
+    import zipfile
+
+    def spans(data):
+        found = media.sniff_bytes(data)
+        return found["valid"] * found["length"], [(s["start"], s["length"]) for s in found["embedded"]]
+
+    saved = pdf(revisions=3)
+    assert spans(saved) == (len(saved), [])
+    linear = b"%PDF-1.5\n1 0 obj\nstartxref\n0\n%%EOF\n" + PNG + b"xref\nstartxref\n9\n%%EOF"
+    assert spans(linear) == (len(linear), [])
+    # one behind the other, and one attached to the other
+    assert spans(saved + saved) == (len(saved), [(len(saved), len(saved))])
+    assert spans(saved + PNG + pdf()) == (len(saved), [(len(saved), len(PNG)), (len(saved) + len(PNG), len(pdf()))])
+    first = pdf()
+    attached = first + b"\nstream " + pdf(b"% inner\n") + b"\nendstream "
+    attached += b"xref\nstartxref\n%d\n%%%%EOF" % len(attached)
+    assert spans(attached) == (len(attached), [])
+
+    def packed(name, data):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    outer = packed("outer", packed("inner", packed("a", b"b" * 50)))
+    assert spans(outer) == (len(outer), [])
+    assert spans(b"." + outer + outer) == (0, [(1, len(outer)), (1 + len(outer), len(outer))])
+    assert spans(outer[:-30])[0] == 0
+
+
 def test_media_at_block_edges():
     for at in (media.BLOCK - 3, media.BLOCK, media.BLOCK + 1):
         found = media.sniff_bytes(b"." * at + PNG)
