@@ -1,6 +1,8 @@
 """Held-out accuracy of the trained operators, and exactness of the index below one of them."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,11 +11,11 @@ from pyspark.sql import functions as F
 from quarry.llm import quality, toxicity
 from quarry.llm.common import id_bucket
 
+
 def every():
     return F.col("doc_id").isNotNull()
 
 
-
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
@@ -99,22 +101,80 @@ def test_toxicity_of_rare_slurs(spark):
 
 
 def test_block_max_index_is_exact():
+    """On terms rare and frequent, with equal vectors; several query batches."""
     rng = np.random.default_rng(4)
-    vectors = []
+    counted = []
     for _ in range(700):
-        ids = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.integers(1, 4, len(ids)).astype(float)
-        vectors.append((ids, w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((len(vectors), 40))
-    for row, (ids, w) in zip(dense, vectors, strict=True):
-        row[ids] = w
-    for q in range(0, 700, 7):
-        cosine = dense @ dense[q]
-        order = [i for i in np.lexsort((np.arange(700), -np.round(cosine, 12))).tolist() if cosine[i] > 0 and i != q][:25]
-        near, score = index.nearest(vectors[q], 25, skip=q)
-        assert near.tolist() == order and np.allclose(score, cosine[order])
-    assert len(index.nearest((np.zeros(0, np.int64), np.zeros(0)), 5)[0]) == 0
+        ids = np.sort(rng.choice(400, rng.integers(1, 30), replace=False, p=np.r_[np.full(10, 0.04), np.full(390, 0.6 / 390)]))
+        counted.append((ids, rng.integers(1, 4, len(ids))))
+    counted += counted[:30]
+    vectors = toxicity.Terms({}, np.linspace(1, 5, 400)).vectors(counted)
+    index = toxicity.BlockMaxIndex(vectors, 400)
+    assert 5 < index.n_columns < 100
+    dense = np.zeros((len(vectors), 400))
+    dense[vectors.rows(), vectors.ids] = vectors.weights
+    assert np.allclose((dense * dense).sum(1), 1)
+    for part in (np.arange(0, 730, 7), np.arange(3)):
+        near, score = index.nearest(vectors.take(part), 25, part)
+        for q, mine, its in zip(part.tolist(), near, score, strict=True):
+            cosine = dense @ dense[q]
+            order = [i for i in np.lexsort((np.arange(730), -np.round(cosine, 12))).tolist() if cosine[i] > 0 and i != q][:25]
+            assert mine[mine >= 0].tolist() == order and np.allclose(its[mine >= 0], cosine[order])
+    near, _ = index.nearest(toxicity.Terms({}, np.ones(400)).vectors([(np.zeros(0, np.int64), np.zeros(0, np.int64))]), 5)
+    assert (near == -1).all()
+
+
+def test_toxicity_is_that_of_plain_tf_idf_neighbours(spark, labelled):
+    """Vocabulary, document frequencies, weights, neighbours, votes and calibration, anew and plainly."""
+    docs, labels, truth = labelled
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    terms = {i: [u for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower()) for u in ([w, w[:4] + "*"] if len(w) > 4 else [w])] for i, t in texts.items()}
+    known = [i for i in truth if i in texts]
+    frequency = Counter(u for i in known for u in set(terms[i]))
+    vocabulary = sorted(u for u, n in frequency.items() if n >= 2)
+    at = {u: j for j, u in enumerate(vocabulary)}
+    every = Counter(u for t in terms.values() for u in set(t))
+
+    def vector(i):
+        out = np.zeros(len(vocabulary))
+        for u, n in Counter(terms[i]).items():
+            if u in at:
+                out[at[u]] = (1 + np.log(n)) * (np.log((len(texts) + 1) / (every[u] + 1)) + 1)
+        return out / (np.linalg.norm(out) or 1)
+
+    model = toxicity.train(docs, labels, F.lit(True), k=15)
+    assert list(model.terms.vocabulary) == [u.encode() for u in vocabulary]
+    order = {d: j for j, d in enumerate(model.doc_ids)}
+    filled = [i for i in known if vector(i).any()]
+    assert set(order) == set(filled) and len(filled) > 0.99 * len(known)
+    matrix = np.stack([vector(d) for d in model.doc_ids])
+    toxic = np.array([truth[d][1] for d in model.doc_ids], float)
+
+    def vote(v, leave=None):
+        cosine = np.round(matrix @ v, 12)
+        if leave is not None:
+            cosine[leave] = -1
+        near = [j for j in np.lexsort((np.arange(len(cosine)), -cosine)).tolist() if cosine[j] > 0][:15]
+        weight = 1 / (1.05 - np.minimum(cosine[near], 1))
+        return (weight * toxic[near]).sum() / weight.sum() if near else -1, near
+
+    x = np.array([vote(matrix[j], j)[0] for j in range(len(matrix))])
+    knots = toxicity._isotonic(x, toxic)
+    rows = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for i in [*sorted(texts)[::9], 5000, 5001, 5002]:
+        v, near = vote(vector(i))
+        assert [model.doc_ids[j] for j in near[:5]] == rows[i]["examples"]
+        assert rows[i]["score"] == pytest.approx(np.interp(v, *knots) if v >= 0 else model.without, abs=1e-6)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """String ids, columns of clashing names, repeated rows, one very long text; and ids that are null."""
+    docs = spark.createDataFrame([("a", "bad words here", "x"), ("b", "good words here", "x"), ("b", "good words here", "x"), (None, "bad words", "x"), ("c", "good " * 60_000, "x"), ("d", None, "x")], "doc_id string, text string, score string")
+    labels = spark.createDataFrame([("a", 1), ("b", 0), ("b", 0), ("c", 0), (None, 1)], "doc_id string, toxic int")
+    out = toxicity.score_toxicity(docs, toxicity.train(docs, labels, F.lit(True)))
+    assert out.columns == ["doc_id", "text", "score", "predicted", "examples", "terms"]
+    rows = out.collect()
+    assert len(rows) == 6 and all(0 <= r["score"] <= 1 and set(r["examples"]) <= {"a", "b", "c"} for r in rows)
 
 
 def test_isotonic():
