@@ -2,22 +2,27 @@
 
 A text is the byte string of its lower-cased words, each parted from the next by
 one space, with an end mark; the model gives each byte's probability after the
-bytes before it. Contexts of 1 to `depth` bytes are counted over the whole
-training corpus. A context is retained where its next-byte distribution differs
-from that of its longest retained suffix by more than chance: N * KL divergence
-over `cost` * ln(N) for each symbol seen. Distributions are smoothed (Witten and
-Bell) towards that suffix, down to half a count for each of 256 bytes, so every
-text has a probability and those of all next bytes sum to one. Scoring uses the
-longest retained suffix at each byte.
-
-The tables of the tree go to the tasks while they hold at most
-`broadcast_entries`; beyond that each document's byte runs are joined to them by
-shuffles, level by level. Word counts, of the simple model that the score is
-held against, stay distributed: only the `head_words` most frequent words, a
-fixed number, go to the tasks; all others are joined.
+bytes before it. Contexts of 1 to `depth` bytes (7 at most, as a run of a context
+and the byte after it is one long) are counted over the whole training corpus. A
+context is retained where its next-byte distribution differs from that of its
+longest retained suffix by more than chance: N * KL divergence over `cost` *
+ln(N) for each symbol seen. Distributions are smoothed (Witten and Bell, with
+`trust` counts for each symbol seen) towards that suffix, down to half a count
+for each of 256 bytes, so every text has a probability and those of all next
+bytes sum to one. Scoring uses the longest retained suffix at each byte; the tree
+holds what follows retained contexts and nothing else, so it grows with what the
+corpus bears out.
+
+The tree goes to the tasks while it has at most `broadcast_entries`; beyond that
+each document's distinct runs are joined to it by shuffles, level by level. A run
+that most documents have is a skewed key of the documents' side, which Spark
+splits at run time, as a run stands once in the tree. Word counts, of the simple
+model that the score is held against, stay distributed: only the `head_words`
+most frequent words, a fixed number, go to the tasks; all others are joined.
 
 Defined cases: null and empty texts are the end mark alone; a document repeated
-in training counts as often; without training documents every byte has 1/256.
+in training counts as often; without training documents every byte has 1/256;
+columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,6 @@ from collections import Counter
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,10 +48,10 @@ def mask(n_bytes: int) -> int:
 
 
 def runs(tokens: list[bytes], depth: int) -> np.ndarray:
-    """For each byte of the text and its end mark: it and the `depth` bytes before as one number, the byte lowest; end marks stand before the text."""
+    """For each byte of the text and its end mark: it and the `depth` bytes before as one number, the byte highest and the one farthest from it lowest, so that runs in order stay so when they are shortened; end marks stand before the text."""
     data = np.frombuffer(END * depth + b" ".join(tokens) + END, np.uint8).astype(np.uint64)
     out = np.zeros(len(data) - depth, np.uint64)
-    for j in range(depth + 1):
+    for j in range(depth, -1, -1):
         out = (out << np.uint64(8)) | data[j : len(data) - depth + j]
     return out
 
@@ -117,64 +121,81 @@ def count_runs(texts: DataFrame, depth: int) -> DataFrame:
     return texts.select("_text").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def _below(run: Column, n_bytes: int) -> Column:
+def _context(run: Column, n_bytes: int) -> Column:
+    """The bytes before a run's last one."""
     return run.bitwiseAND(F.lit(mask(n_bytes)))
 
 
-def grow(counted: DataFrame, depth: int, least: int = 2, cost: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """counted (run, n) -> (level, run, log_p) for every run seen of 1 to depth + 1 bytes, and (level, context, log_back) for the contexts retained."""
+def _shorter(run: Column, n_bytes: int = 1) -> Column:
+    return F.shiftrightunsigned(run, 8 * n_bytes)
+
+
+def grow(counted: DataFrame, depth: int, least: int = 2, cost: float = 0.3, trust: float = 4.0) -> tuple[DataFrame, DataFrame]:
+    """counted (run, n) -> (level, run, log_p) of every run seen after a retained context, the empty one (level 0) among them, and (level, context, log_back) of these contexts."""
     levels = [counted]
-    for d in range(depth - 1, -1, -1):
-        levels.insert(0, levels[0].groupBy(_below(F.col("run"), d + 1).alias("run")).agg(F.sum("n").alias("n")))
+    for _ in range(depth):
+        levels.insert(0, levels[0].groupBy(_shorter(F.col("run")).alias("run")).agg(F.sum("n").alias("n")))
     total = F.coalesce(F.sum("n"), F.lit(0))
     root = levels[0].withColumn("total", levels[0].agg(total).scalar())
     done = cut(root.select("run", ((F.col("n") + 0.5) / (F.col("total") + 128)).alias("p")))
     found, contexts = done.select(F.lit(0).alias("level"), "run", F.log10("p").alias("log_p")), None
     for d in range(1, depth + 1):
-        grams = levels[d].select("run", "n", F.shiftright("run", 8).alias("context"), _below(F.col("run"), d).alias("up"))
+        grams = levels[d].select("run", "n", _context(F.col("run"), d).alias("context"), _shorter(F.col("run")).alias("up"))
+        # the longer contexts of one too rare to keep are as rare, so its runs are done with
         grams = grams.join(done.select(F.col("run").alias("up"), F.col("p").alias("q")), "up")
         inside = Window.partitionBy("context")  # at most 256 rows
-        grams = grams.withColumns({"total": F.sum("n").over(inside), "kinds": F.count("*").over(inside)})
+        grams = grams.withColumns({"total": F.sum("n").over(inside), "kinds": F.count("*").over(inside)}).where(F.col("total") >= least)
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).over(inside)
-        grams = grams.withColumn("kept", (F.col("total") >= least) & (gain > cost * F.col("kinds") * F.log("total")))
-        smooth = (F.col("n") + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds"))
-        level = cut(grams.select("run", "context", "kept", "total", "kinds", F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p")))
-        back = level.where("kept").groupBy("context").agg(F.first("kinds").alias("kinds"), F.first("total").alias("total"))
-        back = back.select(F.lit(d).alias("level"), "context", F.log10(F.col("kinds") / (F.col("total") + F.col("kinds"))).alias("log_back"))
-        found = found.unionByName(level.select(F.lit(d).alias("level"), "run", F.log10("p").alias("log_p")))
+        grams = grams.withColumn("kept", gain > cost * F.col("kinds") * F.log("total"))
+        pull = trust * F.col("kinds")
+        smooth = (F.col("n") + pull * F.col("q")) / (F.col("total") + pull)
+        level = cut(grams.select("run", "context", "kept", (pull / (F.col("total") + pull)).alias("back"), F.when(F.col("kept"), smooth).otherwise(F.col("q")).alias("p")))
+        kept = level.where("kept")
+        back = kept.groupBy("context").agg(F.first("back").alias("back"))
+        back = back.select(F.lit(d).alias("level"), "context", F.log10("back").alias("log_back"))
+        found = found.unionByName(kept.select(F.lit(d).alias("level"), "run", F.log10("p").alias("log_p")))
         contexts = back if contexts is None else contexts.unionByName(back)
         done = level.select("run", "p")
     return found, contexts
 
 
 class Tree:
-    """The tables of `grow` in memory; keys carry their level in the top byte."""
+    """The tables of `grow` in memory, sorted, by level."""
 
     def __init__(self, found: pa.Table, contexts: pa.Table, depth: int, nothing: float):
-        key = lambda t, c: t.column(c).to_numpy().view(np.uint64) | (t.column("level").to_numpy().astype(np.uint64) << np.uint64(56))
+        def by_level(table: pa.Table, key: str, value: str) -> list[tuple[np.ndarray, np.ndarray]]:
+            level, keys, values = (table.column(c).to_numpy() for c in ("level", key, value))
+            order = np.lexsort((keys.view(np.uint64), level))
+            at = np.searchsorted(level[order], np.arange(depth + 2))
+            keys, values = keys.view(np.uint64)[order], values[order]
+            return [(keys[a:b], values[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
         self.depth, self.nothing = depth, nothing
-        self.runs, self.log_p = key(found, "run"), found.column("log_p").to_numpy().astype(np.float64)
-        self.contexts, self.log_back = key(contexts, "context"), contexts.column("log_back").to_numpy().astype(np.float64)
-        self.at: tuple | None = None
+        self.runs, self.contexts = by_level(found, "run", "log_p"), by_level(contexts, "context", "log_back")
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, values = table
+        if not len(keys):
+            return np.zeros(len(asked), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = keys[at] == asked
+        return hit, values[at[hit]]
 
     def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte run's last byte after the others."""
-        if self.at is None:
-            self.at = pd.Index(self.runs), pd.Index(self.contexts)
+        """log10 probability of each byte run's last byte after the others; quickest where the runs are sorted."""
         out = np.zeros(len(keys))
         left = np.arange(len(keys))
         for d in range(self.depth, -1, -1):
-            here = keys[left] & np.uint64(mask(d + 1))
-            level = np.uint64(d << 56)
-            i = self.at[0].get_indexer(here | level)
-            seen = i >= 0
-            out[left[seen]] += self.log_p[i[seen]]
+            here = keys[left] >> np.uint64(8 * (self.depth - d))
+            seen, log_p = self._find(self.runs[d], here)
+            out[left[seen]] += log_p
             left, here = left[~seen], here[~seen]
             if not len(left):
                 return out
             if d:
-                j = self.at[1].get_indexer((here >> np.uint64(8)) | level)
-                out[left] += np.where(j >= 0, self.log_back[j] if len(self.log_back) else 0.0, 0.0)
+                known, log_back = self._find(self.contexts[d], here & np.uint64(mask(d)))
+                out[left[known]] += log_back
         out[left] += self.nothing
         return out
 
@@ -194,7 +215,8 @@ class TreeScores:
     def flush(self) -> None:
         if self.held:
             starts = np.cumsum([0, *map(len, self.held[:-1])])
-            self.out.append(np.add.reduceat(self.tree.score(np.concatenate(self.held)), starts))
+            keys, where = np.unique(np.concatenate(self.held), return_inverse=True)
+            self.out.append(np.add.reduceat(self.tree.score(keys)[where], starts))
             self.held, self.size = [], 0
 
     def done(self) -> np.ndarray:
@@ -213,10 +235,10 @@ def _score_by_joins(texts: DataFrame, found: DataFrame, contexts: DataFrame, dep
     open_ = seen.select("_uid", F.explode(F.arrays_zip("runs", "times")).alias("x")).select("_uid", F.col("x.runs").alias("all"), F.col("x.times").alias("times"), F.lit(0.0).alias("back"))
     parts = []
     for d in range(depth, -1, -1):
-        keyed = open_.withColumn("run", _below(F.col("all"), d + 1))
+        keyed = open_.withColumn("run", _shorter(F.col("all"), depth - d))
         met = cut(keyed.join(found.where(F.col("level") == d).select("run", "log_p"), "run", "left"))
         parts.append(met.where("log_p is not null").select("_uid", (F.col("times") * (F.col("log_p") + F.col("back"))).alias("s")))
-        open_ = met.where("log_p is null").select("_uid", "all", "times", "back", F.shiftright("run", 8).alias("context"))
+        open_ = met.where("log_p is null").select("_uid", "all", "times", "back", _context(F.col("run"), d).alias("context"))
         if d:
             open_ = open_.join(contexts.where(F.col("level") == d).select("context", "log_back"), "context", "left")
             open_ = open_.select("_uid", "all", "times", (F.col("back") + F.coalesce("log_back", F.lit(0.0))).alias("back"))
@@ -228,9 +250,11 @@ def _score_by_joins(texts: DataFrame, found: DataFrame, contexts: DataFrame, dep
 
 
 def score_texts(
-    docs: DataFrame, training: Column, depth: int = 5, least: int = 2, cost: float = 0.5, head_words: int = 300_000, broadcast_entries: int = 6_000_000
+    docs: DataFrame, training: Column, depth: int = 6, least: int = 2, cost: float = 0.3, trust: float = 4.0, head_words: int = 300_000, broadcast_entries: int = 8_000_000
 ) -> DataFrame:
     """docs (doc_id, text); `training` says which rows are learned from -> doc_id, learned, n_tokens, n_known, train_tokens, base_score, score."""
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be from 1 to 7")
     texts = docs.select("doc_id", F.coalesce(training, F.lit(False)).alias("learned"), as_bytes().alias("_text"))
     train = texts.where("learned")
     words = cut(count_words(train))
@@ -239,9 +263,9 @@ def score_texts(
     floor = float(np.log10(n_all + 0.5 * (kinds + 1)))
     top = _most_frequent(words, head_words).toArrow()
     counted = cut(count_runs(train, depth))
-    found, contexts = grow(counted, depth, least, cost)
+    found, contexts = grow(counted, depth, least, cost, trust)
     found, contexts = cut(found), cut(contexts)
-    n_runs = found.where("level = 0").join(counted.select(_below(F.col("run"), 1).alias("run"), "n"), "run").agg(F.sum("n")).first()[0] or 0
+    n_runs = counted.agg(F.sum("n")).first()[0] or 0
     nothing = float(np.log10(0.5 / (n_runs + 128)))
     small = found.count() + contexts.count() <= broadcast_entries
     context = docs.sparkSession.sparkContext
