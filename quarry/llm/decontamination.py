@@ -9,19 +9,22 @@ hits that overlap extend to the whole shared span. An item of fewer words than
 a window is one window of its own length.
 
 The items' index goes to the tasks only while the items' texts measure at most
-`broadcast_bytes`; beyond that, fingerprints of documents and items are joined
-by a shuffle, and only the items met are brought to their documents.
+`broadcast_bytes`. Beyond that all of it are shuffles: fingerprints of texts meet
+the distinct ones of the items, windows with such a fingerprint meet the distinct
+windows of the items, word for word; what goes back to a document are places and
+keys of lists of items. The items' side of each join has a key once, so a
+passage in a third of all documents makes no pairs and is split at run time.
 
 Defined cases: null and empty texts have no words; an item without words never
 occurs; items with the same id are one item; an item without id marks words but
-is not listed; repeated documents are judged each; columns named _quarry_row and
-_quarry_items are taken as the operator's own.
+is not listed; repeated documents are judged each, equal texts (128 bits of hash)
+looked up once; columns named n_words, n_hit, items or spans give way to the new
+ones, and those named _quarry_high, _quarry_low, _quarry_places and _quarry_items
+are taken as the operator's own.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import RollingHash, alnum_words, as_bytes, sliding_min, with_columns_from, word_hashes
 
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+TEXT_KEY = ["_quarry_high", "_quarry_low"]
 ROLLING = RollingHash()
 
 
@@ -44,25 +48,44 @@ def fingerprints(sums: np.ndarray, window: int, k: int) -> np.ndarray:
     return sliding_min(ROLLING.windows(sums, k), window - k + 1)
 
 
+def _prints(sums: np.ndarray, size: int, window: int, k: int) -> np.ndarray:
+    """What windows of `size` words are looked up by: their fingerprint or, if they are those of short items, their hash."""
+    return fingerprints(sums, window, k) if size == window else ROLLING.windows(sums, size)
+
+
+def _spans(n: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[int, list[dict]]:
+    """How many of n words are hit, and the maximal spans of them."""
+    hit = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + sizes, minlength=n + 1)[: n + 1]
+    covered = (np.cumsum(hit)[:n] > 0).astype(np.int8)
+    edges = np.flatnonzero(np.diff(covered, prepend=0, append=0))
+    return int(covered.sum()), [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
 class ItemIndex:
-    """Fingerprints and windows of some items, and how documents match them."""
+    """Fingerprints and windows of some items, and how documents match them. A window is a hash and a place in one buffer of all items' words."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int, k: int):
         self.window, self.k = window, k
-        self.at: dict[int, dict[int, list[tuple[tuple[bytes, ...], str | None]]]] = defaultdict(lambda: defaultdict(list))
-        prints = []
-        for name, text in items:
+        self.names = [name for name, _ in items]
+        buffer, filled, found = [], 0, {}
+        for number, (_, text) in enumerate(items):
             tokens = alnum_words(text)
             if not tokens:
                 continue
             size = min(window, len(tokens))
             sums = ROLLING.prefix(word_hashes(tokens))
-            if size == window:
-                prints.append(fingerprints(sums, window, k))
-            for i, h in enumerate(ROLLING.windows(sums, size).tolist()):
-                self.at[size][h].append((tuple(tokens[i : i + size]), name))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        self.short = {size: np.sort(np.fromiter(found, np.uint64)) for size, found in self.at.items() if size < window}
+            ends = filled + np.cumsum([len(t) + 1 for t in tokens]) - 1
+            starts = np.append(filled, ends[:-1] + 1)
+            n = len(tokens) - size + 1
+            found.setdefault(size, []).append((ROLLING.windows(sums, size), _prints(sums, size, window, k), starts[:n], ends[size - 1 :], np.full(n, number)))
+            buffer += [b" ".join(tokens), b" "]
+            filled = int(ends[-1]) + 1
+        self.buffer = b"".join(buffer)
+        self.at = {}
+        for size, parts in found.items():
+            hashes, prints, *places = map(np.concatenate, zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.at[size] = (hashes[order], np.unique(prints), *(x[order] for x in places))
 
     def match(self, text: bytes | None) -> tuple[int, int, list[str], list[dict]]:
         tokens = alnum_words(text)
@@ -70,25 +93,18 @@ class ItemIndex:
         if not n or not self.at:
             return n, 0, [], []
         sums = ROLLING.prefix(word_hashes(tokens))
-        hit, names = np.zeros(n + 1, np.int32), set()
-
-        def confirm(size: int, starts: np.ndarray) -> None:
-            if len(starts):
-                hashes = ROLLING.windows(sums, size)[starts].tolist()
-                for i, h in zip(starts.tolist(), hashes, strict=True):
-                    found = [name for said, name in self.at[size].get(h, ()) if said == tuple(tokens[i : i + size])]
-                    if found:
-                        hit[i] += 1
-                        hit[i + size] -= 1
-                        names.update(found)
-
-        confirm(self.window, np.flatnonzero(_within(self.prints, fingerprints(sums, self.window, self.k))))
-        for size, known in self.short.items():
-            confirm(size, np.flatnonzero(_within(known, ROLLING.windows(sums, size))))
-        covered = (np.cumsum(hit)[:n] > 0).astype(np.int8)
-        edges = np.flatnonzero(np.diff(covered, prepend=0, append=0))
-        spans = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        return n, int(covered.sum()), sorted(names - {None}), spans
+        hits, names = [], set()
+        for size, (known, prints, starts, ends, items) in self.at.items():
+            near = np.flatnonzero(_within(prints, _prints(sums, size, self.window, self.k)))
+            hashes = ROLLING.windows(sums, size)[near]
+            for i, low, high in zip(near.tolist(), np.searchsorted(known, hashes).tolist(), np.searchsorted(known, hashes, "right").tolist(), strict=True):
+                said = b" ".join(tokens[i : i + size])
+                mine = [j for j in range(low, high) if self.buffer[starts[j] : ends[j]] == said]
+                if mine:
+                    hits.append((i, size))
+                    names.update(self.names[items[j]] for j in mine)
+        hit, spans = _spans(n, *np.array(hits).T) if hits else (0, [])
+        return n, hit, sorted(names - {None}), spans
 
 
 def _columns(found: list[tuple]) -> list[pa.Array]:
@@ -116,43 +132,96 @@ def find_contamination(
     return _by_shuffle(docs, items, window, k, keep)
 
 
-def _prints(rows: DataFrame, window: int, k: int, short: list[int], name: str, of_items: bool) -> DataFrame:
-    """(name, size, print): one row for each fingerprint of a text; with size < window for windows of short items."""
+def _item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """items (item_id, text) -> item_id, size, print, said (the window's words)."""
+
+    def run(batches):
+        for batch in batches:
+            names, sizes, prints, said = [], [], [np.zeros(0, np.uint64)], []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = alnum_words(text.as_py())
+                size = min(window, len(tokens))
+                if size:
+                    n = len(tokens) - size + 1
+                    names += [name] * n
+                    sizes += [size] * n
+                    prints.append(_prints(ROLLING.prefix(word_hashes(tokens)), size, window, k))
+                    said += [b" ".join(tokens[i : i + size]) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(prints).view(np.int64)), pa.array(said, pa.binary())], names=["item_id", "size", "print", "said"])
+
+    return items.mapInArrow(run, "item_id string, size int, print long, said binary")
+
+
+def _text_prints(texts: DataFrame, sizes: list[int], window: int, k: int) -> DataFrame:
+    """texts (key, text) -> key, size, print: each fingerprint of a text once."""
+
+    def run(batches):
+        for batch in batches:
+            rows, kinds, prints = [], [], []
+            for i, text in enumerate(batch.column(2)):
+                sums = ROLLING.prefix(word_hashes(alnum_words(text.as_py())))
+                for size in sizes:
+                    own = np.unique(_prints(sums, size, window, k))
+                    rows.append(np.full(len(own), i))
+                    kinds.append(np.full(len(own), size, np.int32))
+                    prints.append(own)
+            if prints:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(prints).view(np.int64))], names=[*TEXT_KEY, "size", "print"])
+
+    return texts.mapInArrow(run, "_quarry_high long, _quarry_low long, size int, print long")
+
+
+def _text_windows(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """texts (key, text, prints: those to look at) -> key, start, size, print, said."""
 
     def run(batches):
         for batch in batches:
-            ids, sizes, prints = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows, starts, kinds, prints, said = [], [], [], [], []
+            for i, (text, wanted) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), strict=True)):
                 tokens = alnum_words(text.as_py())
                 sums = ROLLING.prefix(word_hashes(tokens))
-                own = [len(tokens)] if of_items and 0 < len(tokens) < window else [] if of_items else short
-                for size, values in [(window, fingerprints(sums, window, k)), *((s, ROLLING.windows(sums, s)) for s in own)]:
-                    values = np.unique(values)
-                    ids += [i] * len(values)
-                    sizes += [size] * len(values)
-                    prints.append(values)
-            flat = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(sizes, pa.int32()), pa.array(flat)], names=[name, "size", "print"])
+                for size in sorted({x["size"] for x in wanted}):
+                    own = _prints(sums, size, window, k)
+                    here = np.flatnonzero(_within(np.sort(np.array([x["print"] for x in wanted if x["size"] == size], np.int64).view(np.uint64)), own)).tolist()
+                    rows += [i] * len(here)
+                    starts += here
+                    kinds += [size] * len(here)
+                    prints += own[here].view(np.int64).tolist()
+                    said += [b" ".join(tokens[j : j + size]) for j in here]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(starts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(prints, pa.int64()), pa.array(said, pa.binary())], names=[*TEXT_KEY, "start", "size", "print", "said"])
 
-    kind = rows.schema[name].dataType.simpleString()
-    return rows.mapInArrow(run, f"{name} {kind}, size int, print long")
+    return texts.mapInArrow(run, "_quarry_high long, _quarry_low long, start int, size int, print long, said binary")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int, keep: list[str]) -> DataFrame:
-    of_items = _prints(items.select(F.xxhash64("item_id", "text").alias("item"), "text"), window, k, [], "item", True)
-    short = sorted(r["size"] for r in of_items.where(F.col("size") < window).select("size").distinct().collect())  # fewer than `window` values
-    tagged = docs.withColumn("_quarry_row", F.xxhash64(as_bytes()))  # equal texts are matched once
-    texts = tagged.select("_quarry_row", as_bytes().alias("_text")).dropDuplicates(["_quarry_row"])
-    met = _prints(texts, window, k, short, "_quarry_row", False).join(of_items, ["size", "print"]).select("_quarry_row", "item").distinct()
-    brought = met.join(items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.col("text").alias("said")).dropDuplicates(["item"]), "item")
-    brought = brought.groupBy("_quarry_row").agg(F.collect_list(F.struct("item_id", "said")).alias("_quarry_items"))
-    joined = tagged.join(brought, "_quarry_row", "left")
+    of_items = _item_windows(items, window, k)
+    asked = of_items.select("size", "print").distinct()
+    sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most `window` values
+    # each window with the list of its items, lists known by a key of 128 bits
+    lists = of_items.groupBy("size", "print", "said").agg(F.array_sort(F.collect_set("item_id")).alias("names"))
+    joined_names = F.to_json("names")
+    lists = lists.withColumns({"list_high": F.xxhash64(joined_names), "list_low": F.xxhash64(F.lit(1), joined_names)})
+    tagged = docs.withColumn(TEXT_KEY[0], F.xxhash64(as_bytes())).withColumn(TEXT_KEY[1], F.xxhash64(F.lit(1), as_bytes()))
+    texts = tagged.select(*TEXT_KEY, as_bytes().alias("_text"))
+    met = _text_prints(texts, sizes, window, k).join(asked, ["size", "print"], "left_semi")
+    wanted = met.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct("size", "print")).alias("prints"))
+    once = texts.join(wanted, TEXT_KEY).groupBy(*TEXT_KEY).agg(F.first("_text").alias("_text"), F.first("prints").alias("prints"))
+    hits = _text_windows(once, window, k).join(lists.drop("names"), ["size", "print", "said"]).select(*TEXT_KEY, "start", "size", "list_high", "list_low")
+    places = hits.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct("start", "size")).alias("_quarry_places"))
+    named = lists.select("list_high", "list_low", "names").dropDuplicates(["list_high", "list_low"])
+    names = hits.select(*TEXT_KEY, "list_high", "list_low").distinct().join(named, ["list_high", "list_low"])
+    names = names.groupBy(*TEXT_KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("_quarry_items"))
+    joined = tagged.join(places.join(names, TEXT_KEY), TEXT_KEY, "left")
 
     def match(batch: pa.RecordBatch) -> list[pa.Array]:
         found = []
-        for text, near in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            found.append(ItemIndex([(x["item_id"], x["said"]) for x in near or ()], window, k).match(text.as_py()))
+        for text, places, names in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n = len(alnum_words(text.as_py()))
+            hit, spans = _spans(n, *np.array([(p["start"], p["size"]) for p in places]).T) if places else (0, [])
+            found.append((n, hit, names or [], spans))
         return _columns(found)
 
-    needs: dict[str, Column] = {"text": as_bytes(), "items": F.col("_quarry_items")}
+    needs: dict[str, Column] = {"text": as_bytes(), "places": F.col("_quarry_places"), "names": F.col("_quarry_items")}
     return with_columns_from(joined, match, HITS, needs, keep)
