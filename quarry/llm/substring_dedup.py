@@ -9,10 +9,11 @@ Only windows whose anchor occurs in several documents are counted in Spark, by
 128 bits of hash. A document's window is removed where the smallest document
 that has it is another; removed windows merge into maximal intervals.
 
-Hot passages: a batch of documents sends each anchor and each window at most
-once, with the smallest document that has it in the batch (the others' windows
-are already settled there), so a passage in a third of all documents is a few
-rows for each task.
+Hot passages: an anchor that several documents of a batch have is known to repeat
+there and then; only one row of it goes on to be counted with those of other
+batches. A window goes on once for each batch, with the smallest document that
+has it there (the others' windows are already settled). So a passage in a third
+of all documents is a row or two for each task.
 
 Defined cases: null and empty texts have no words; documents with less than a
 window of words lose none; a repeat within one document alone stays; documents
@@ -47,7 +48,12 @@ def _hashes(text: bytes | None, window: int, anchor: int) -> tuple[np.ndarray, n
 
 
 def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs (_k, _text) -> (anchor, docs): for each batch of documents and anchor the `_k` of those with it."""
+    """docs (_k, _text) -> (anchor, salt, n, docs): for each batch of documents and anchor the `_k` of those with it.
+
+    Of one document it is a row to be counted, with salt 0. Of several it repeats
+    for sure: a row of salt 0 without documents says so to other batches, and the
+    documents stand in a row with a salt of its own.
+    """
 
     def run(batches):
         for batch in batches:
@@ -61,16 +67,22 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             keys, ids = keys[order], ids[order]
             starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[starts].view(np.int64)), lists], names=["anchor", "docs"])
+            keys, size = keys[starts].view(np.int64), np.diff(np.append(starts, len(keys)))
+            several = size > 1
+            yield _rows(keys, np.where(several, ids[starts] | 1, 0), size, lists)
+            yield _rows(keys[several], np.zeros(several.sum(), np.int64), size[several], pa.array([[]] * int(several.sum()), pa.list_(pa.int64())))
+
+    def _rows(keys, salt, n, lists):
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(n.astype(np.int32)), lists], names=["anchor", "salt", "n", "docs"])
 
-    return docs.mapInArrow(run, "anchor long, docs array<long>")
+    return docs.mapInArrow(run, "anchor long, salt long, n int, docs array<long>")
 
 
 def _repeated_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(_k, anchors): of each document those that other documents have too. Should two documents meet in `_k`, both have the anchors of both, which only makes more windows to count."""
     found = _anchors(docs.select("_k", "_text"), window, anchor)
-    same = Window.partitionBy("anchor")
-    shared = found.withColumn("_n", F.sum(F.size("docs")).over(same)).where("_n > 1")
+    same = Window.partitionBy("anchor", "salt")  # a row for each batch at most
+    shared = found.withColumn("_n", F.sum("n").over(same)).where("_n > 1")
     each = shared.select("anchor", F.explode("docs").alias("_k"))
     return each.groupBy("_k").agg(F.collect_set("anchor").alias("anchors"))
 
