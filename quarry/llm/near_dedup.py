@@ -28,6 +28,7 @@ If an id repeats, several components can have the same `component_id`.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,24 @@ from pyspark.sql import functions as F
 from quarry.llm.common import RollingHash, as_bytes, components, cut, ints_of, lower_words, mix, with_columns_from, word_hashes
 
 ROLLING = RollingHash()
-ROWS, MOST_BANDS = 5, 200
+ROWS = 5
 #: A row's key: its id and 128 bits of hash of its text.
 KEY = ["_id", "_high", "_low"]
 LAST = int(np.iinfo(np.int64).max)
-_SEEDS = mix(np.arange(1, 2 * MOST_BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-FACTORS, SHIFTS = _SEEDS[::2] | np.uint64(1), _SEEDS[1::2]
 ROW_FACTORS = mix(np.arange(1001, 1001 + ROWS, dtype=np.uint64)) | np.uint64(1)
 BATCH = 24
 
 
 def bands_for(threshold: float, miss: float) -> int:
-    return min(MOST_BANDS, max(5, math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS)))))
+    """As many as `miss` asks for, however low the threshold: some hundreds at a half, many thousands at a fifth."""
+    return max(5, math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS))))
+
+
+@lru_cache(4)
+def _hashing(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and shifts of n hash functions; those of fewer are the first of them."""
+    seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return seeds[::2] | np.uint64(1), seeds[1::2]
 
 
 def shingles(text: bytes | None, size: int) -> np.ndarray:
@@ -63,9 +70,11 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 
 def signature(items: np.ndarray, bands: int) -> np.ndarray:
     n = bands * ROWS
+    factors, shifts = _hashing(n)
     out = np.full(n, 0xFFFFFFFF, np.uint64)
-    for i in range(0, len(items), 1024):
-        np.minimum(out, ((items[i : i + 1024, None] * FACTORS[:n] + SHIFTS[:n]) >> np.uint64(32)).min(0), out=out)
+    step = max(1, min(1024, (1 << 20) // n))
+    for i in range(0, len(items), step):
+        np.minimum(out, ((items[i : i + step, None] * factors + shifts) >> np.uint64(32)).min(0), out=out)
     return out
 
 
