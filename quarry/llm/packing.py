@@ -22,10 +22,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, cut
+from quarry.llm.common import cut
 
 SHIFT = np.int64(40)
 
@@ -83,11 +83,11 @@ def public_tokens() -> Callable[[], Tokens]:
     return lambda: Tokens(*args)
 
 
-PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, turn long"
 
 
 def pieces(docs: DataFrame, tokens: Callable[[], Tokens], capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32 (and `ids`, little-endian uint32 bytes, on demand)."""
+    """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32, turn (the how many-th piece of its task it is, which tells equal rows apart once they are written) and, on demand, `ids` (little-endian uint32 bytes)."""
     built: dict = {}
     end = np.array([end_id], "<u4").tobytes()
     extra = [("ids", pa.binary())] if with_ids else []
@@ -95,6 +95,7 @@ def pieces(docs: DataFrame, tokens: Callable[[], Tokens], capacity: int = 2048,
     def run(batches):
         if "it" not in built:
             built["it"] = tokens()
+        turn = 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -103,8 +104,9 @@ def pieces(docs: DataFrame, tokens: Callable[[], Tokens], capacity: int = 2048,
                 first = n % capacity or capacity
                 for i, start in enumerate([0, *range(first, n, capacity)]):
                     part = ids[4 * start : 4 * (start + (capacity if i else first))]
-                    rows.append((doc_id, i, start, len(part) // 4, zlib.crc32(part), *([part] * with_ids)))
-            kinds = [("doc_id", batch.schema.types[0]), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *extra]
+                    rows.append((doc_id, i, start, len(part) // 4, zlib.crc32(part), turn, *([part] * with_ids)))
+                    turn += 1
+            kinds = [("doc_id", batch.schema.types[0]), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64()), *extra]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[k for k, _ in kinds])
 
     schema = PIECES.format(id=docs.schema["doc_id"].dataType.simpleString()) + ", ids binary" * with_ids
@@ -184,20 +186,25 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << SHIFT) | table[:, 1], "first": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 50_000) -> DataFrame:
-    """parts (..., length from 1 to capacity) -> the same rows with sequence_id and offset. `parts` is read three times: give it cut from its lineage."""
+def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 10_000, spread: tuple[str, ...] = ("doc_id", "piece", "ids_crc32", "turn")) -> DataFrame:
+    """parts (..., length from 1 to capacity) -> the same rows with sequence_id and offset.
+
+    Pieces of one length are numbered in groups of about `group_rows`, which the
+    `spread` columns deal out. `parts` is read three times: give it cut from its
+    lineage. Columns named _quarry_group, _quarry_start, _quarry_number and
+    _quarry_at are taken as the operator's own; sequence_id and offset give way.
+    """
+    parts = parts.drop("sequence_id", "offset")
     lengths = parts.groupBy("length").count().collect()  # at most `capacity` rows
     counts = {r["length"]: r["count"] for r in lengths}
     where = slots(plan(counts, capacity))
     groups = max(1, -(-max(counts.values(), default=0) // group_rows))
-    spread = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    by_group = spread.groupBy("length", "_group").agg(F.count("*").alias("_n"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_group.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("length", "_group").orderBy("doc_id", "piece")
-    numbered = spread.withColumn("_number", F.row_number().over(inside) - 1).join(starts, ["length", "_group"])
+    dealt = parts.withColumn("_quarry_group", F.pmod(F.xxhash64(*spread), F.lit(groups)))
+    by_group = dealt.groupBy("length", "_quarry_group").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("_quarry_group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_group.select("length", "_quarry_group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_quarry_start"))
+    inside = Window.partitionBy("length", "_quarry_group").orderBy(*spread)
+    numbered = dealt.withColumn("_quarry_number", F.row_number().over(inside) - 1).join(starts, ["length", "_quarry_group"])
 
     def place(length: pa.Array, number: pa.Array) -> pa.Array:
         size, n = length.to_numpy(zero_copy_only=False).astype(np.int64), number.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -205,10 +212,11 @@ def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 50_000) -> Da
         return pa.StructArray.from_arrays([pa.array(where["sequence"][at] + n - where["first"][at]), pa.array(where["offset"][at])], names=["sequence_id", "offset"])
 
     placed = F.arrow_udf(place, "struct<sequence_id:long,offset:long>")
-    return numbered.withColumn("_at", placed("length", F.col("_start") + F.col("_number"))).select(
-        *parts.columns, F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset")
+    return numbered.withColumn("_quarry_at", placed("length", F.col("_quarry_start") + F.col("_quarry_number"))).select(
+        *[F.col(f"`{c}`") for c in parts.columns], F.col("_quarry_at.sequence_id").alias("sequence_id"), F.col("_quarry_at.offset").alias("offset")
     )
 
 
 def pack_documents(docs: DataFrame, tokens: Callable[[], Tokens], capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    return pack(cut(pieces(docs, tokens, capacity, end_id)), capacity)
+    """docs (doc_id, text) -> the pieces with sequence_id and offset; other columns of `docs` are not kept."""
+    return pack(cut(pieces(docs, tokens, capacity, end_id)), capacity).drop("turn")
