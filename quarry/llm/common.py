@@ -7,6 +7,7 @@ an ASCII byte is never a part of another character.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -104,21 +105,39 @@ def id_bucket(column: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session has none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share; a temporary one only where all of the session is one process, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders written by `cut` and not dropped yet, in order.
+CUTS: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder as Parquet and reads them back: a lost executor re-reads them, and the lineage ends here."""
+    """Writes the rows to the shared folder as Parquet and reads them back: a lost executor re-reads them, and the lineage ends here. `drop_cuts` removes them when results are done."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    CUTS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Removes the folders `CUTS[first:last]`. Results that are not yet written or collected may still read theirs."""
+    gone = CUTS[first:last]
+    del CUTS[first:last]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def no_rows(df: DataFrame) -> bool:
     return not df.take(1)
 
