@@ -4,13 +4,14 @@ For every speaker of a conversation the whole dialogue is rendered with that
 speaker as the assistant and all others as named users; the train spans cover
 just what that speaker said, with its end mark. DataFrame functions only.
 
-A conversation is rendered in parts of `part_turns` turn numbers, so that no
-group grows beyond that however long a conversation is; parts join in order to
-the whole dialogue. Defined cases: a null role speaks as "unknown", a null text
+A conversation is rendered in parts of `part_turns` turn numbers, however long it
+is; parts join in order to the whole dialogue. Turns of one number, or without,
+are in one part. Defined cases: a null role speaks as "unknown", a null text
 is empty, a null turn counts as -1 and comes first, rows that repeat exactly
 count once, equal turns are ordered by role and text, a null conv_id is a
 conversation of its own. "<|" inside a text is written "< |", so no text can
-open a header. Context roles (system) are rendered for all and are never a
+open a header; in a role %, |, <, > and line ends are written as % and their
+hexadecimal code, so no two roles become one. Context roles (system) are rendered for all and are never a
 speaker; a conversation of context roles only gives no rows.
 """
 
@@ -22,6 +23,17 @@ from pyspark.sql import functions as F
 END = "<|end|>"
 
 
+#: Characters that would break a header, and what stands for them; % comes first, as it opens the others.
+ESCAPES = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"))
+
+
+def _role(role: Column) -> Column:
+    out = F.coalesce(role, F.lit("unknown"))
+    for plain, code in ESCAPES:
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return out
+
+
 def _header(role: Column, speaker: Column, context: tuple[str, ...]) -> Column:
     return (
         F.when(role == speaker, F.lit("<|assistant|>\n"))
@@ -35,7 +47,7 @@ def rotate_perspectives(turns: DataFrame, part_turns: int = 256, context_roles:
     clean = turns.select(
         "conv_id",
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
-        F.regexp_replace(F.coalesce("role", F.lit("unknown")), "[|<>\n]", "_").alias("role"),
+        _role(F.col("role")).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     parts = clean.groupBy("conv_id", F.floor(F.col("turn") / part_turns).alias("part")).agg(

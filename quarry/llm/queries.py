@@ -49,7 +49,7 @@ def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 with said as (
-  select distinct conv_id, coalesce(turn, -1) as turn, regexp_replace(coalesce(role, 'unknown'), '[|<>\\n]', '_', 'g') as role,
+  select distinct conv_id, coalesce(turn, -1) as turn, replace(replace(replace(replace(replace(coalesce(role, 'unknown'), '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A') as role,
          replace(coalesce(text, ''), '<|', '< |') as text
   from conversations
 ),
@@ -105,8 +105,9 @@ judged as (
 ),
 hosts as (
   select host, count(rule)::double as n, count(*) filter (rule in ('example.org/es/', 'example.org/en/1', 'com/de/'))::double as bad,
-         regexp_extract(host, '(?:^|\\.)({_LAST})$', 1) as suffix,
-         case when regexp_extract(host, '(?:^|\\.)([^.]+\\.(?:{_LAST}))$', 1) = '' then host else regexp_extract(host, '(?:^|\\.)([^.]+\\.(?:{_LAST}))$', 1) end as domain
+         regexp_replace(host, '\\.?(:\\d*)?$', '') as site, regexp_matches(site, '^(\\d+\\.)+\\d+$') as numbers,
+         case when numbers then '' else regexp_extract(site, '(?:^|\\.)({_LAST})$', 1) end as suffix,
+         case when numbers or regexp_extract(site, '(?:^|\\.)([^.]+\\.(?:{_LAST}))$', 1) = '' then site else regexp_extract(site, '(?:^|\\.)([^.]+\\.(?:{_LAST}))$', 1) end as domain
   from judged group by host
 ),
 domains as (select domain, suffix, sum(n) as n, sum(bad) as bad from hosts group by domain, suffix),

@@ -44,11 +44,13 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
 
 
 def suffix_and_domain(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
-    """Public suffix (one of `suffixes`, else the last label) and registered domain (one label more)."""
+    """Public suffix (one of `suffixes`, else the last label) and registered domain (one label more); a port and a dot at the end are no part of them, and a host of numbers alone is its own domain, without a suffix."""
+    host = F.regexp_replace(host, r"\.?(:\d*)?$", "")
+    numbers = host.rlike(r"^(\d+\.)+\d+$")
     last = "|".join([*(s.replace(".", r"\.") for s in sorted(suffixes, key=len, reverse=True)), "[^.]+"])
     suffix = F.regexp_extract(host, rf"(?:^|\.)({last})$", 1)
     domain = F.regexp_extract(host, rf"(?:^|\.)([^.]+\.(?:{last}))$", 1)
-    return suffix, F.when(domain == "", host).otherwise(domain)
+    return F.when(numbers, "").otherwise(suffix), F.when(numbers | (domain == ""), host).otherwise(domain)
 
 
 def _strength(level: DataFrame) -> DataFrame:

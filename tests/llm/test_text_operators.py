@@ -248,15 +248,69 @@ def test_suffix_tree(spark, corpus):
     assert empty["train_tokens"] == 0 and abs(empty["score"] + np.log10(256) * len(" ".join(split(corpus[0][1])).encode() + b"\n")) < 1e-6
 
 
+def plain_tree(texts, depth, least, cost, trust):
+    """log10 probability of a text under a suffix tree grown from `texts`, by its definition: dicts of counts, contexts kept by recursion from the shortest."""
+    counts = collections.defaultdict(collections.Counter)
+
+    def steps(text):
+        data = b"\n" * depth + b" ".join(low(text).encode().split()) + b"\n"
+        return [(data[i - depth : i], data[i]) for i in range(depth, len(data))]
+
+    for t in texts:
+        for before, byte in steps(t):
+            for d in range(depth + 1):
+                counts[before[depth - d :]][byte] += 1
+    all_ = sum(counts[b""].values())
+    kept = {}
+
+    def p(context, byte):
+        if not context:
+            return (counts[b""][byte] + 0.5) / (all_ + 128)
+        q = p(context[1:], byte)
+        if not keeps(context):
+            return q
+        total, kinds = sum(counts[context].values()), len(counts[context])
+        return (counts[context][byte] + trust * kinds * q) / (total + trust * kinds)
+
+    def keeps(context):
+        if context not in kept:
+            seen = counts.get(context)
+            total = sum(seen.values()) if seen else 0
+            kept[context] = total >= least and sum(n * np.log(n / total / p(context[1:], c)) for c, n in seen.items()) > cost * len(seen) * np.log(total)
+        return kept[context]
+
+    return lambda text: sum(np.log10(p(before, byte)) for before, byte in steps(text))
+
+
+def test_suffix_tree_scores_are_those_of_a_plain_one(spark):
+    rng = random.Random(6)
+    words = ["ab", "abc", "the", "there", "b\u00fc", "\u6f22"]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for i in range(60)] + [(60, None), (61, ""), (62, "Zq"), (62, "Zq"), (None, "the AB")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("old"))
+    for depth in (6, 7):
+        plain = plain_tree([t or "" for i, t in texts if i is not None and i % 3], depth, 2, 0.3, 4.0)
+        for limit in (1 << 20, 0):
+            found = suffix_tree.score_texts(docs, F.col("doc_id") % 3 != 0, depth=depth, broadcast_entries=limit).collect()
+            got = collections.defaultdict(list)
+            for r in found:
+                got[r["doc_id"]].append(r["score"])
+            assert len(found) == len(texts)
+            for i, t in texts:
+                assert got[i] == pytest.approx([plain(t or "")] * len(got[i]), abs=1e-8)
+    assert suffix_tree.score_texts(docs.limit(0), F.lit(True)).count() == 0
+    with pytest.raises(ValueError):
+        suffix_tree.score_texts(docs, F.lit(True), depth=8)
+
+
 def test_suffix_tree_probabilities_sum_to_one(spark, corpus):
     texts = make(spark, corpus).select(F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
     counted = suffix_tree.count_runs(texts, 3).persist()
     found, contexts = suffix_tree.grow(counted, 3)
     total = counted.agg(F.sum("n")).first()[0]
     tree = suffix_tree.Tree(found.toArrow(), contexts.toArrow(), 3, float(np.log10(0.5 / (total + 128))))
-    assert len(tree.contexts) > 20
+    assert sum(len(keys) for keys, _ in tree.contexts) > 20
     for before in (b"w12", b"\n\n\n", b"zzz", b" w1"):
-        keys = np.array([int.from_bytes(before + bytes([c]), "big") for c in range(256)], np.uint64)
+        keys = np.array([int.from_bytes(before + bytes([c]), "little") for c in range(256)], np.uint64)
         assert abs((10 ** tree.score(keys)).sum() - 1) < 1e-6
 
 
