@@ -65,7 +65,10 @@ class Engine:
         return self.generator(f"{retrieve.assemble_context(rows).first()['context']}\nQuestion: {text}\nAnswer:")
 
     def query(self, spec: Any) -> DataFrame:
-        return tree.lower(spec, lambda text, o: self.rows(text, o["corpuses"], o["min_score"], o["max_results"]))
+        def search(texts: list[str], o: dict[str, Any]) -> DataFrame:
+            return retrieve.search_many(self.catalog.chunks(), [self.vector(t) for t in texts], self._corpora(o["corpuses"]), o["min_score"], o["max_results"])
+
+        return tree.lower(spec, search)
 
     def sql(self, text: str) -> DataFrame:
         return self.query(dialect.parse(text))

@@ -13,7 +13,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -52,46 +52,41 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norms == 0, 1, norms)
 
 
-def embed(text: Column, embedder: Embedder) -> Column:
-    """Unit vectors of a text column; null and empty texts give the zero vector of an empty text."""
+class TooLong(ValueError):
+    """An embedder's refusal of a text that exceeds its context."""
+
+
+def embed_within(text: str, embedder: Embedder, tries: int = 3) -> np.ndarray:
+    """Vector of one text; where it is refused as too long, of its first 70 %, up to `tries` times."""
+    for left in range(tries, -1, -1):
+        try:
+            return embedder.embed([text])[0]
+        except TooLong:
+            if not left:
+                raise
+            text = text[: int(len(text) * 0.7)]
+    raise AssertionError
+
+
+def embed_all(texts: list[str], embedder: Embedder) -> np.ndarray:
+    """Unit vectors; texts are cut one by one only where the embedder refuses some of them."""
+    try:
+        vectors = embedder.embed(texts)
+    except TooLong:
+        vectors = np.array([embed_within(t, embedder) for t in texts]).reshape(len(texts), -1)
+    return unit_rows(vectors)
+
+
+def embed(text: Column, embedder: Embedder, exact: bool = False) -> Column:
+    """Unit vectors of a text column, as floats or with `exact` as doubles; null and empty texts give the zero vector of an empty text."""
+    kind = np.float64 if exact else np.float32
 
     def run(texts: pa.Array) -> pa.Array:
-        vectors = unit_rows(embedder.embed([x or "" for x in texts.to_pylist()])).astype(np.float32)
-        return pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), embedder.dim).cast(pa.list_(pa.float32()))
+        vectors = embed_all([x or "" for x in texts.to_pylist()], embedder).astype(kind)
+        return pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), embedder.dim).cast(pa.list_(pa.from_numpy_dtype(kind)))
 
-    return F.arrow_udf(run, "array<float>")(text)
+    return F.arrow_udf(run, "array<double>" if exact else "array<float>").asNondeterministic()(text)
 
 
 def embed_query(text: str, embedder: Embedder) -> list[float]:
-    return unit_rows(embedder.embed([text]))[0].tolist()
-
-
-def search_texts(texts: DataFrame, queries: DataFrame, min_score: float, embedder: Embedder, block: int = 4096) -> DataFrame:
-    """texts (doc_id, text), queries (item_id, text) -> item_id, doc_id, score of each pair that reaches `min_score`.
-
-    A stated query set against all texts: its vectors go round in blocks of at
-    most about `block`, and each Arrow batch of texts is embedded and multiplied
-    with one; only pairs that reach the score leave a task.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    schema = f"item_id {queries.schema['item_id'].dataType.simpleString()}, doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double"
-
-    def found(part: int) -> DataFrame:
-        asked = queries.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == part).select("item_id", "text").collect()
-        names = np.array([r["item_id"] for r in asked], object)
-        matrix = unit_rows(embedder.embed([r["text"] or "" for r in asked])).T if asked else np.zeros((embedder.dim, 0))
-
-        def run(batches):
-            for batch in batches:
-                scores = unit_rows(embedder.embed([x or "" for x in batch.column(1).to_pylist()])) @ matrix
-                row, item = np.nonzero(scores >= min_score)
-                yield pa.RecordBatch.from_arrays([pa.array(names[item].tolist(), kinds[0]), batch.column(0).take(pa.array(row)), pa.array(scores[row, item])], names=["item_id", "doc_id", "score"])
-
-        kinds = [pa.string() if isinstance(x, str) else pa.int64() for x in names[:1]] or [pa.int64()]
-        return texts.select("doc_id", "text").mapInArrow(run, schema)
-
-    out = found(0)
-    for part in range(1, blocks):
-        out = out.unionByName(found(part))
-    return out
+    return embed_all([text], embedder)[0].tolist()

@@ -20,32 +20,32 @@ def estimate_tokens(text: Column) -> Column:
     return F.floor(F.size(words(text)) * F.lit(TOKENS_PER_WORD)).cast("int")
 
 
-def _nfc(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
-
-
 # Fixed values, in the order in which they are applied.
 MARKS_TO_DROP = [
     "[\u0591-\u05c7]",  # vowel points and accents
     "[\u05f3\u05f4]",  # geresh, gershayim
     "\u00ad",  # soft hyphen
-    "[\u200b-\u200f\u202a-\u202e\ufeff]",  # zero width, direction, byte order
+    "[\u200b-\u200d\ufeff]",  # zero width, byte order
     r"[\p{C}&&[^\n\t]]",
 ]
-BULLETS = "•●○▪▫■□"
+BULLETS = "•·∙●○◦▪▫■□▬▭▮▯◆◇◈◊"
+
+
+def _finish(text: pa.Array) -> pa.Array:
+    """Normal form C, ends trimmed."""
+    return pa.array([None if x is None else (x if x.isascii() else unicodedata.normalize("NFC", x)).strip() for x in text.to_pylist()], pa.string())
 
 
 def normalize_text(text: Column, drop_marks: bool = True, tidy_space: bool = True) -> Column:
-    """Cleans text for a language model: marks and controls out, white space tidy, bullets as "- ", form C, ends trimmed."""
+    """Cleans text for a language model: marks and controls out, white space tidy, bullets as "- ", form C, ends trimmed. White space is that of Unicode, a line ends with a newline only."""
     out = text
     for pattern in MARKS_TO_DROP if drop_marks else MARKS_TO_DROP[2:]:
         out = F.regexp_replace(out, pattern, "")
     if tidy_space:
-        for pattern, new in (("[ \t]+", " "), ("(?m)[ \t]+$", ""), ("\n{3,}", "\n\n"), (" +([.,;:!?])", "$1")):
+        for pattern, new in ((" {2,}", " "), (r"(?U)[\s&&[^\n]]+(?=\n|\z)", ""), ("\n{3,}", "\n\n"), (" +([.,;:!?])", "$1")):
             out = F.regexp_replace(out, pattern, new)
-    out = F.regexp_replace(out, rf"(?m)^[ \t]*[{BULLETS}][ \t]+", "- ")
-    out = F.when(F.regexp_like(out, F.lit(r"[^\x00-\x7F]")), F.arrow_udf(_nfc, "string")(out)).otherwise(out)
-    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+    out = F.regexp_replace(out, rf"(?dmU)^\s*[{BULLETS}]\s+", "- ")
+    return F.arrow_udf(_finish, "string")(out)  # its input is computed once, below it
 
 
 def letters(text: Column, kind: str) -> Column:

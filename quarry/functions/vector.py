@@ -30,6 +30,25 @@ def _matrix(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.float64).reshape(len(good), width), good
 
 
+def matrix_of(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one width, none null, as rows of a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def similarities(vector: Column, queries: Sequence[Sequence[float]]) -> Column:
+    """Array of the inner products of a vector column with each of some given vectors: all of a query tree by one product for each Arrow batch. Null where the column is null or of another width."""
+    matrix = np.array(queries, np.float64).reshape(len(queries), -1).T
+
+    def score(vectors: pa.Array) -> pa.Array:
+        rows, good = _matrix(vectors, matrix.shape[0])
+        ends = np.zeros(len(vectors), bool)
+        ends[good] = True
+        offsets = np.append(0, np.cumsum(ends) * matrix.shape[1]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((rows @ matrix).ravel()), mask=pa.array(~ends))
+
+    return F.arrow_udf(score, "array<double>").asNondeterministic()(vector)
+
+
 def best_similarity(vector: Column, queries: Sequence[Sequence[float]]) -> Column:
     """Largest inner product of a vector column with any of some given vectors, one matrix product for each Arrow batch.
 

@@ -51,13 +51,14 @@ def interval_union(rows: DataFrame) -> DataFrame:
 
 
 def rebuild_text(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """lines (source, line_no, text) under joined ranges -> source, content: lines in order, a blank line between ranges.
+    """lines (corpus, source, line_no, text) under joined ranges -> corpus, source, content: lines in order, a blank line between ranges.
 
-    Ranges of one source do not overlap, so a line meets one range at most; the
-    join is by source, then by bounds.
+    Ranges of one source do not overlap, so a line is in one at most; each range
+    asks for its lines by number, so the join is dealt out by line.
     """
-    met = lines.join(ranges.select("source", "line_start", "line_end"), "source").where("line_no between line_start and line_end")
-    texts = met.groupBy("source", "line_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("said"))
-    parts = texts.select("source", "line_start", F.concat(F.array_join(F.transform("said", lambda x: x["text"]), "\n"), F.lit("\n")).alias("part"))
+    asked = ranges.select("corpus", "source", "line_start", F.explode(F.sequence(F.col("line_start").cast("int"), F.col("line_end").cast("int"))).alias("line_no"))
+    met = lines.join(asked, ["corpus", "source", "line_no"])
+    texts = met.groupBy("corpus", "source", "line_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("said"))
+    parts = texts.select("corpus", "source", "line_start", F.concat(F.array_join(F.transform("said", lambda x: x["text"]), "\n"), F.lit("\n")).alias("part"))
     whole = F.array_sort(F.collect_list(F.struct("line_start", "part")))
-    return parts.groupBy("source").agg(F.array_join(F.transform(whole, lambda x: x["part"]), "\n").alias("content"))
+    return parts.groupBy("corpus", "source").agg(F.array_join(F.transform(whole, lambda x: x["part"]), "\n").alias("content"))

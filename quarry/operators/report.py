@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 RULE = "=" * 80
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    order = Window.orderBy(F.desc("score"), "corpus", "chunk_index")
-    return rows.withColumn("i", F.row_number().over(order))
+def numbered(rows: DataFrame, score: str = "score", ties: tuple[str, ...] = ("corpus", "chunk_index"), name: str = "i") -> DataFrame:
+    """Numbers all rows, highest score first, in no single task: rows are numbered within bands of a ten-thousandth of score, behind the counts of the bands above."""
+    banded = rows.withColumn("_band", F.coalesce(-F.floor(F.col(score) * 10_000), F.lit(1 << 60)))
+    above = Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)  # some ten thousand bands at most
+    before = banded.groupBy("_band").agg(F.count("*").alias("_n")).select("_band", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_band").orderBy(F.desc(score), *ties)
+    placed = banded.withColumn("_place", F.row_number().over(inside)).join(before, "_band")
+    return placed.withColumn(name, (F.col("_before") + F.col("_place")).cast("int")).drop("_band", "_before", "_place")
 
 
 def chunk_report(rows: DataFrame) -> DataFrame:
@@ -32,16 +37,16 @@ def extraction_report(rows: DataFrame, contents: DataFrame, query: str, corpora:
         F.lit(f"{RULE}\nEXTRACTION REPORT\n{RULE}\nQuery: {query}\nCorpora: {', '.join(corpora)}\nMinimum score: {min_score}\n"),
         F.format_string("Chunks: %d\nScores: %.3f - %.3f\nDate: %s\n%s", "n", "low", "high", when, F.lit(RULE)),
     )
-    sources = rows.groupBy("source").agg(F.max("score").alias("best"), F.count("*").alias("chunks")).join(contents, "source", "left")
-    rank = F.row_number().over(Window.orderBy(F.desc("best"), "source"))
-    section = F.format_string("\nSource: %s (%d chunks)\n\n%s", "source", "chunks", F.coalesce("content", F.lit("")))
+    sources = rows.groupBy("corpus", "source").agg(F.max("score").alias("best"), F.count("*").alias("chunks"))
+    sources = numbered(sources, "best", ("corpus", "source"), "part").join(contents, ["corpus", "source"], "left")
+    section = F.format_string("\nSource: %s [%s] (%d chunks)\n\n%s", "source", "corpus", "chunks", F.coalesce("content", F.lit("")))
     foot = totals.select(F.lit(1 << 30).alias("part"), F.format_string("\n%s\nEnd of extraction: %d chunks\n%s", F.lit(RULE), "n", F.lit(RULE)).alias("value"))
-    return totals.select(F.lit(0).alias("part"), head.alias("value")).unionByName(sources.select(rank.alias("part"), section.alias("value"))).unionByName(foot)
+    return totals.select(F.lit(0).alias("part"), head.alias("value")).unionByName(sources.select("part", section.alias("value"))).unionByName(foot)
 
 
 def write_report(parts: DataFrame, path: str) -> bool:
-    """One text file in the order of the first column; nothing is written where there are no rows."""
+    """Text files that follow each other by name, as the rows do by the first column; a short report is one file. Nothing is written where there are no rows."""
     if not parts.take(1):
         return False
-    parts.coalesce(1).sortWithinPartitions(parts.columns[0]).select("value").write.mode("overwrite").text(path)
+    parts.orderBy(parts.columns[0]).select("value").write.mode("overwrite").text(path)
     return True

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import location
-from quarry.functions.vector import similarity
+from quarry.functions.vector import similarities, similarity
 from quarry.schema import RESULT
 
 
@@ -30,6 +30,24 @@ def search_rows(
     return rows if max_results is None else rows.orderBy(F.desc("score"), "corpus", "chunk_index").limit(max_results)
 
 
+def search_many(
+    chunks: DataFrame, queries: Sequence[Sequence[float]], corpora: Sequence[str] | None = None, min_score: float | None = 0.3, max_results: int | None = None
+) -> DataFrame:
+    """The rows of several searches by one scan, `_ord` saying of which; chunks without an embedding are in none."""
+    if corpora is not None:
+        chunks = chunks.where(F.col("corpus").isin(*corpora))
+    scored = chunks.withColumn("_scores", similarities(F.col("embedding"), queries))
+    hits = F.transform("_scores", lambda x, i: F.struct(i.alias("_ord"), x.alias("score")))
+    if min_score is not None:
+        hits = F.filter(hits, lambda h: h["score"] >= min_score)
+    rows = scored.select("*", F.explode(hits).alias("_hit")).withColumn("location", location(F.col("source"), F.col("line_start"), F.col("line_end")))
+    rows = rows.select(*[F.col("_hit.score").alias(c) if c == "score" else F.col(c) for c in RESULT], "embedding", F.col("_hit._ord").alias("_ord"))
+    if max_results is None:
+        return rows
+    best = Window.partitionBy("_ord").orderBy(F.desc("score"), "corpus", "chunk_index")  # of each task max_results at most
+    return rows.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max_results).drop("_rank")
+
+
 def top_k_per_corpus(rows: DataFrame, k: int) -> DataFrame:
     """The k best of each corpus; Spark keeps k rows of a corpus in each task before it shuffles."""
     best = Window.partitionBy("corpus").orderBy(F.desc("score"), "chunk_index")

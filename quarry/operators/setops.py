@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.vector import best_similarity
+from quarry.operators.match import BLOCK, best_match
 from quarry.schema import KEY
 
 
@@ -43,24 +43,15 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*KEY), KEY, "left_anti").select(*a.columns)
 
 
-def semantic_difference(a: DataFrame, b: DataFrame, threshold: float = 0.7, block: int = 10_000) -> DataFrame:
+def semantic_difference(a: DataFrame, b: DataFrame, threshold: float = 0.7, block: int = BLOCK) -> DataFrame:
     """`difference`, less rows whose cosine with any row of `b` is `threshold` or more.
 
     Both sides carry unit `embedding`s; rows without one stay. The exact
-    difference comes first, as it is cheap. `b` is held against `a` in blocks of
-    at most about `block` vectors, so what a task gets is bounded however large
-    `b` is, and each block shrinks what the next one sees.
+    difference comes first, as it is cheap.
     """
     left = difference(a, b)
-    vectors = b.where("embedding is not null").select("embedding").distinct()
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    for i in range(blocks if n else 0):
-        part = vectors.where(F.pmod(F.xxhash64("embedding"), F.lit(blocks)) == i).collect()
-        if part:
-            near = best_similarity(F.col("embedding"), [r["embedding"] for r in part])
-            left = left.withColumn("_near", near).where("_near is null or _near < %r" % threshold).drop("_near")
-    return left
+    near = best_match(left, b, block).where(F.col("similarity") >= threshold).select("embedding")
+    return left.join(near, "embedding", "left_anti").select(*a.columns)
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -75,3 +66,51 @@ def intersect_all(sets: list[DataFrame]) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, [s.withColumn("_ord", F.lit(i)) for i, s in enumerate(sets)])
     everywhere = tagged.groupBy(*KEY).agg(F.countDistinct("_ord").alias("n")).where(F.col("n") == len(sets)).select(*KEY)
     return _best(tagged, columns).join(everywhere, KEY, "left_semi").select(*columns)
+
+
+class Passages:
+    """Several sets of one scan, met by passage in one shuffle; set operators are then column expressions.
+
+    `tagged` has the rows of all sets, `_ord` saying of which. Each set is an array
+    of its rows of a passage, mostly one or none; the pieces of one long line are
+    as many as it has.
+    """
+
+    def __init__(self, tagged: DataFrame):
+        self.columns = [c for c in tagged.columns if c != "_ord"]
+        early = -F.coalesce(F.col("chunk_index"), F.lit(0)) if "chunk_index" in self.columns else F.lit(0)
+        rest = [c for c in self.columns if c not in [*KEY, "score"]]
+        # fields in the order in which rows are preferred: score, first set, first chunk
+        row = F.struct("score", (-F.col("_ord")).alias("_first"), early.alias("_early"), *rest)
+        self.rows = tagged.groupBy(*KEY).agg(F.collect_list(row).alias("_rows"))
+
+    def of(self, i: int) -> Column:
+        return F.filter("_rows", lambda r: r["_first"] == -i)
+
+    @staticmethod
+    def _best(rows: Column) -> Column:
+        return F.when(F.size(rows) > 0, F.array(F.array_max(rows))).otherwise(rows)
+
+    def union(self, *sets: Column) -> Column:
+        return self._best(F.concat(*sets))
+
+    def intersect(self, *sets: Column) -> Column:
+        every = F.lit(True)
+        for s in sets:
+            every = every & (F.size(s) > 0)
+        return F.when(every, self._best(F.concat(*sets))).otherwise(F.slice("_rows", 1, 0))
+
+    def difference(self, a: Column, b: Column) -> Column:
+        return F.when(F.size(b) == 0, a).otherwise(F.slice("_rows", 1, 0))
+
+    def union_all(self, *sets: Column) -> Column:
+        return F.concat(*sets)
+
+    def difference_all(self, a: Column, b: Column) -> Column:
+        """Rows of `a` less as many as `b` has, the best first."""
+        return F.slice(F.sort_array(a, asc=False), F.size(b) + 1, F.size(a))
+
+    def select(self, rows: Column) -> DataFrame:
+        """The result of an expression over sets as rows."""
+        out = self.rows.select(*KEY, F.explode(rows).alias("_row"))
+        return out.select(*[F.col(c) if c in KEY else F.col(f"_row.{c}").alias(c) for c in self.columns])

@@ -1,13 +1,17 @@
 """Query trees (nested dicts) lowered to one lazy DataFrame.
 
-A node is {"query": text}, {"op": "union" | "intersect", "queries": [...]},
-{"op": "difference", "left": ..., "right": ...} or {"query": ..., "exclude": ...}; a
-bare string stands for a leaf. "intersect" also takes left and right. Options
+A node is {"query": text}, {"op": "union" | "union_all" | "intersect", "queries": [...]},
+{"op": "difference" | "difference_all", "left": ..., "right": ...} or {"query": ..., "exclude": ...};
+a bare string stands for a leaf. "intersect" also takes left and right. Options
 stand at the root and hold for all of the tree: corpuses, min_score,
 max_results (of each leaf), semantic, threshold, sort, merge_adjacent, limit (of
-the whole). Nested nodes keep their meaning wherever they stand; a leaf that
-occurs more than once is one plan. Semantic difference works at every level, as
-leaves carry their vectors.
+the whole). Nested nodes keep their meaning wherever they stand.
+
+All leaves come from one scan, and without a semantic difference all set
+operators from one shuffle. "union_all" keeps every row; "difference_all" takes
+away as many rows of a passage as the right side has, the best first. A semantic
+difference works at every level, as rows carry their vectors; of "difference_all"
+there is none.
 """
 
 from __future__ import annotations
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 
 from quarry.operators import docorder, setops
 
-Leaf = Callable[[str, dict[str, Any]], DataFrame]
+#: (texts, options) to the rows of their searches, `_ord` giving the text's place.
+Search = Callable[[list[str], dict[str, Any]], DataFrame]
 OPTIONS = {"corpuses": None, "min_score": 0.3, "max_results": None, "semantic": False, "threshold": 0.7, "sort": True, "merge_adjacent": True, "limit": None}
+DIFFERENCES = ("difference", "difference_all")
 
 
 def _operands(node: dict, op: str) -> list:
@@ -34,50 +40,70 @@ def _operands(node: dict, op: str) -> list:
     return node["queries"]
 
 
-def _flat(queries: list, op: str) -> list:
-    """Operands of nested unions (or intersections) as one list: one shuffle instead of several."""
-    out: list = []
-    for q in queries:
-        same = isinstance(q, dict) and str(q.get("op", "")).lower() == op
-        out += _flat(_operands(q, op), op) if same else [q]
-    return out
-
-
-def lower(spec: Any, leaf: Leaf) -> DataFrame:
-    """Result rows of a query tree; `leaf(text, options)` gives those of one search."""
+def read(node: Any, texts: list[str]) -> tuple:
+    """A node as (operator, operands), a leaf as ("leaf", place in `texts`); unions in unions and intersections in intersections become one."""
+    if isinstance(node, str):
+        if node not in texts:
+            texts.append(node)
+        return "leaf", texts.index(node)
+    if not isinstance(node, dict):
+        raise ValueError("a query node must be a dictionary or a string")
+    op = str(node.get("op", "")).lower() or ("difference" if "exclude" in node else "")
+    if not op:
+        if "query" not in node:
+            raise ValueError("a query node needs 'query' or 'op'")
+        return read(str(node["query"]), texts)
+    if op in ("union", "union_all", "intersect"):
+        parts: list[tuple] = []
+        for part in (read(q, texts) for q in _operands(node, op)):
+            parts += part[1] if part[0] == op else [part]
+        return op, parts
+    if op in DIFFERENCES:
+        left, right = node.get("left", node.get("query")), node.get("right", node.get("exclude"))
+        if left is None or right is None:
+            raise ValueError("difference needs 'left' and 'right', or 'query' and 'exclude'")
+        return op, [read(left, texts), read(right, texts)]
+    raise ValueError(f"unknown operation: {op}")
+
+
+def _by_passage(node: tuple, sets: setops.Passages):
+    op, parts = node
+    return sets.of(parts) if op == "leaf" else getattr(sets, op)(*(_by_passage(p, sets) for p in parts))
+
+
+def _by_frames(node: tuple, rows: DataFrame, threshold: float) -> DataFrame:
+    op, parts = node
+    if op == "leaf":
+        return rows.where(F.col("_ord") == parts).drop("_ord")
+    frames = [_by_frames(p, rows, threshold) for p in parts]
+    if op == "difference":
+        return setops.semantic_difference(*frames, threshold)
+    return {"union": setops.union, "union_all": setops.union_all, "intersect": setops.intersect_all}[op](frames)
+
+
+def _operators(node: tuple) -> set[str]:
+    return {node[0]}.union(*map(_operators, node[1])) if node[0] != "leaf" else set()
+
+
+def lower(spec: Any, search: Search) -> DataFrame:
+    """Result rows of a query tree."""
     if not isinstance(spec, dict):
         raise ValueError("a query specification must be a dictionary")
     options = {k: spec.get(k, v) for k, v in OPTIONS.items()}
-    made: dict[str, DataFrame] = {}
-
-    def build(node: Any) -> DataFrame:
-        if isinstance(node, str):
-            if node not in made:
-                made[node] = leaf(node, options)
-            return made[node]
-        if not isinstance(node, dict):
-            raise ValueError("a query node must be a dictionary or a string")
-        op = str(node.get("op", "")).lower()
-        if not op and "exclude" in node:
-            op = "difference"
-        if not op:
-            if "query" not in node:
-                raise ValueError("a query node needs 'query' or 'op'")
-            return build(str(node["query"]))
-        if op == "union":
-            return setops.union([build(q) for q in _flat(_operands(node, op), op)])
-        if op == "intersect":
-            return setops.intersect_all([build(q) for q in _flat(_operands(node, op), op)])
-        if op == "difference":
-            left, right = node.get("left", node.get("query")), node.get("right", node.get("exclude"))
-            if left is None or right is None:
-                raise ValueError("difference needs 'left' and 'right', or 'query' and 'exclude'")
-            if options["semantic"]:
-                return setops.semantic_difference(build(left), build(right), float(options["threshold"]))
-            return setops.difference(build(left), build(right))
-        raise ValueError(f"unknown operation: {op}")
-
-    rows = build(spec).drop("embedding")
+    texts: list[str] = []
+    node = read(spec, texts)
+    used = _operators(node)
+    semantic = options["semantic"] and "difference" in used
+    if options["semantic"] and "difference_all" in used:
+        raise ValueError("difference_all is never semantic")
+    rows = search(texts, options)
+    if semantic:
+        rows = _by_frames(node, rows, float(options["threshold"])).drop("embedding")
+    elif node[0] == "leaf":
+        rows = rows.drop("_ord", "embedding")
+    else:
+        sets = setops.Passages(rows.drop("embedding"))
+        rows = sets.select(_by_passage(node, sets))
     if options["merge_adjacent"]:
         rows = docorder.merge_adjacent(rows)
     if options["limit"] is not None:

@@ -1,7 +1,8 @@
 """The registered queries of the retrieval operators, each beside its SQL for an independent engine.
 
-The vector corpus is `embeddings`: corpus by label, ten lines a vector, so that
-neighbouring ids touch; query i is the vector with id i. The text corpus is
+The vector corpus is `embeddings`: corpus by label, a file for each hundred
+vectors, ten lines a vector, so that neighbouring ids touch; query i is the vector
+with id i. The text corpus is
 `documents`: corpus by source, a file for each document.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import embedding, text, vector
-from quarry.operators import chunk, docorder, report, retrieve, setops
+from quarry.operators import chunk, docorder, match, report, retrieve, setops
 from quarry.plans import sql as dialect
 from quarry.plans import tree
 from quarry.sources import catalog, convert
@@ -44,17 +45,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def vector_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("corpus"),
-        F.lit("vec.txt").alias("source"),
+        F.concat(F.lit("vec_"), F.floor(F.col("vec_id") / 100).cast("string"), F.lit(".txt")).alias("source"),
         F.col("vec_id").alias("chunk_index"),
-        (F.col("vec_id") * 10 + 1).alias("line_start"),
-        (F.col("vec_id") * 10 + 10).alias("line_end"),
+        (F.col("vec_id") % 100 * 10 + 1).alias("line_start"),
+        (F.col("vec_id") % 100 * 10 + 10).alias("line_end"),
         F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("chunk"),
         "embedding",
     )
 
 
+def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> list[list[float]]:
+    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids)).collect()  # one for each search of a query
+    return [{r["vec_id"]: r["embedding"] for r in rows}[i] for i in ids]
+
+
 def query_vector(spark: SparkSession, sf_dir: str, i: int) -> list[float]:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") == i).first()["embedding"]
+    return query_vectors(spark, sf_dir, [i])[0]
+
+
+def scan(spark: SparkSession, sf_dir: str, ids: list[int], min_score: float | None = 0.1, corpora: list[str] | None = None, most: int | None = None) -> DataFrame:
+    return retrieve.search_many(vector_corpus(spark, sf_dir), query_vectors(spark, sf_dir, ids), corpora, min_score, most)
+
+
+def passages(spark: SparkSession, sf_dir: str, n: int) -> tuple[setops.Passages, list]:
+    """Searches 0 to n - 1, met by passage."""
+    sets = setops.Passages(scan(spark, sf_dir, list(range(n))).drop("embedding"))
+    return sets, [sets.of(i) for i in range(n)]
 
 
 def leaf(spark: SparkSession, sf_dir: str, i: int, min_score: float | None = 0.1, corpora: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -65,14 +81,14 @@ def tidy(rows: DataFrame) -> DataFrame:
     return rows.select("corpus", "location", F.round("score", 6).alias("score"), "chunk")
 
 
-def tree_leaf(spark: SparkSession, sf_dir: str) -> tree.Leaf:
+def tree_search(spark: SparkSession, sf_dir: str) -> tree.Search:
     """Searches named "query <i>" are for vector i."""
-    return lambda name, o: leaf(spark, sf_dir, int(name.split()[-1]), o["min_score"], o["corpuses"], o["max_results"])
+    return lambda names, o: scan(spark, sf_dir, [int(name.split()[-1]) for name in names], o["min_score"], o["corpuses"], o["max_results"])
 
 
 VIEW = """v as (
-  select 'c' || (label % 3) as corpus, 'vec.txt' as source, vec_id as chunk_index, vec_id * 10 + 1 as line_start, vec_id * 10 + 10 as line_end,
-         'vec.txt:' || (vec_id * 10 + 1) || '-' || (vec_id * 10 + 10) as location, 'chunk ' || vec_id as chunk, embedding::double[] as e
+  select 'c' || (label % 3) as corpus, 'vec_' || (vec_id // 100) || '.txt' as source, vec_id as chunk_index, vec_id % 100 * 10 + 1 as line_start, vec_id % 100 * 10 + 10 as line_end,
+         source || ':' || line_start || '-' || line_end as location, 'chunk ' || vec_id as chunk, embedding::double[] as e
   from embeddings
 )"""
 
@@ -97,9 +113,11 @@ def sql_meet(*leaves: str) -> str:
 
 
 def sql_merge(rows: str) -> str:
+    by = "partition by corpus, source order by line_start, line_end, chunk_index, id"  # equal rows need an order of their own
     return f"""(select corpus, source, min(line_start) as line_start, max(line_end) as line_end, max(score) as score, string_agg(chunk, chr(10) order by line_start, line_end, chunk_index) as chunk
-  from (select *, sum(opens) over (partition by corpus, source order by line_start, line_end, chunk_index rows unbounded preceding) as island
-        from (select *, case when line_start <= max(line_end) over (partition by corpus, source order by line_start, line_end, chunk_index rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end as opens from {rows}))
+  from (select *, sum(opens) over ({by} rows unbounded preceding) as island
+        from (select *, case when line_start <= max(line_end) over ({by} rows between unbounded preceding and 1 preceding) + 1 then 0 else 1 end as opens
+              from (select *, row_number() over () as id from {rows})))
   group by corpus, source, island)"""
 
 
@@ -189,6 +207,13 @@ def extract_report_lines(spark, d):
 
 @query("set_union_keyed", sql_tidy(sql_union(L0, L1, L2)))
 def set_union_keyed(spark, d):
+    p, sets = passages(spark, d, 3)
+    return tidy(p.select(p.union(*sets)))
+
+
+@query("set_union_frames", sql_tidy(sql_union(L0, L1, L2)))
+def set_union_frames(spark, d):
+    """The same of sets that come from anywhere."""
     return tidy(setops.union([leaf(spark, d, i) for i in range(3)]))
 
 
@@ -199,6 +224,12 @@ def set_union_all(spark, d):
 
 @query("set_difference_exact", sql_tidy(sql_minus(L0, L1)))
 def set_difference_exact(spark, d):
+    p, (a, b) = passages(spark, d, 2)
+    return tidy(p.select(p.difference(a, b)))
+
+
+@query("set_difference_frames", sql_tidy(sql_minus(L0, L1)))
+def set_difference_frames(spark, d):
     return tidy(setops.difference(leaf(spark, d, 0), leaf(spark, d, 1)))
 
 
@@ -211,8 +242,20 @@ def set_difference_semantic(spark, d):
     return tidy(setops.semantic_difference(leaf(spark, d, 0), leaf(spark, d, 1), 0.35))
 
 
+@query("set_difference_semantic_blocks", sql_tidy(sql_far(L0, L1, 0.35)))
+def set_difference_semantic_blocks(spark, d):
+    """The way of sides too large to be sent to every task."""
+    return tidy(setops.semantic_difference(leaf(spark, d, 0), leaf(spark, d, 1), 0.35, block=16))
+
+
 @query("set_intersect_keyed", sql_tidy(sql_meet(L0, L1)))
 def set_intersect_keyed(spark, d):
+    p, (a, b) = passages(spark, d, 2)
+    return tidy(p.select(p.intersect(a, b)))
+
+
+@query("set_intersect_frames", sql_tidy(sql_meet(L0, L1)))
+def set_intersect_frames(spark, d):
     return tidy(setops.intersect(leaf(spark, d, 0), leaf(spark, d, 1)))
 
 
@@ -223,7 +266,8 @@ def set_intersect_nary(spark, d):
 
 @query("nested_union_minus", sql_tidy(sql_minus(sql_union(L0, L1, L2), L3)))
 def nested_union_minus(spark, d):
-    return tidy(setops.difference(setops.union([leaf(spark, d, i) for i in range(3)]), leaf(spark, d, 3)))
+    p, (a, b, c, e) = passages(spark, d, 4)
+    return tidy(p.select(p.difference(p.union(a, b, c), e)))
 
 
 @query(
@@ -231,15 +275,27 @@ def nested_union_minus(spark, d):
     f"with {VIEW} select a.corpus, a.chunk_index, round(max(list_dot_product(a.e, b.e)), 6) as similarity from v a, {sql_leaf(1, 0.2)} b group by all",
 )
 def semantic_max_similarity(spark, d):
-    others = [r["embedding"] for r in leaf(spark, d, 1, 0.2).select("embedding").collect()]
-    return vector_corpus(spark, d).select("corpus", "chunk_index", F.round(vector.best_similarity(F.col("embedding"), others), 6).alias("similarity"))
+    chunks = vector_corpus(spark, d)
+    best = match.best_match(chunks, leaf(spark, d, 1, 0.2))
+    return chunks.join(best, "embedding").select("corpus", "chunk_index", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    "batch_search",
+    "select b.vec_id as item_id, a.vec_id as doc_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a, embeddings b where b.vec_id % 20 = 0 and list_dot_product(a.embedding::double[], b.embedding::double[]) >= 0.3",
+)
+def batch_search(spark, d):
+    """Every twentieth vector as a query against all."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), "embedding")
+    return match.close_pairs(rows.withColumnRenamed("vec_id", "doc_id"), asked, 0.3).withColumn("score", F.round("score", 6))
 
 
 # ---- trees and SQL
 
 
 def run_sql(statement: str) -> Query:
-    return lambda spark, d: tidy(tree.lower(dialect.parse(statement), tree_leaf(spark, d)))
+    return lambda spark, d: tidy(tree.lower(dialect.parse(statement), tree_search(spark, d)))
 
 
 def q(i: int) -> str:
@@ -248,6 +304,8 @@ def q(i: int) -> str:
 
 for _name, _statement, _rows in [
     ("sql_union", f"{q(0)} UNION {q(1)} WHERE min_score >= 0.1", sql_union(L0, L1)),
+    ("sql_union_all", f"{q(0)} UNION ALL {q(1)} UNION ALL {q(0)} WHERE min_score >= 0.1", f"(select * from {L0} union all select * from {L1} union all select * from {L0})"),
+    ("sql_except_all", f"({q(0)} UNION ALL {q(0)}) EXCEPT ALL {q(1)} WHERE min_score >= 0.1", f"(select * from {L0} union all select * from {sql_minus(L0, L1)})"),
     ("sql_except", f"{q(0)} EXCEPT {q(1)} where min_score >= 0.1", sql_minus(L0, L1)),
     ("sql_intersect", f"{q(0)} INTERSECT {q(1)} WHERE min_score >= 0.1", sql_meet(L0, L1)),
     ("sql_semantic_except", f"{q(0)} EXCEPT {q(1)} WHERE min_score >= 0.1 AND semantic = true AND threshold >= 0.35", sql_far(L0, L1, 0.35)),
@@ -268,13 +326,13 @@ def json_nested(spark, d):
         "right": {"query": "query 3"},
         "min_score": 0.1,
     }
-    return tidy(tree.lower(spec, tree_leaf(spark, d)))
+    return tidy(tree.lower(spec, tree_search(spark, d)))
 
 
 @query("boolean_flags", sql_tree(sql_minus(sql_union(L0, L1), sql_union(L2, L3))))
 def boolean_flags(spark, d):
     spec = tree.boolean_query("query 0, query 1", exclude=["query 2", "query 3"], union=True, min_score=0.1)
-    return tidy(tree.lower(spec, tree_leaf(spark, d)))
+    return tidy(tree.lower(spec, tree_search(spark, d)))
 
 
 @query(
@@ -362,13 +420,12 @@ def rebuild_text(spark, d):
     """Lines 2-4 and 7-8 of every document, from overlapping ranges."""
     docs = text_corpus(spark, d)
     ranges = docs.select("corpus", "source", F.explode(F.expr("array(struct(2 as line_start, 3 as line_end), struct(3 as line_start, 4 as line_end), struct(7 as line_start, 8 as line_end))")).alias("r")).select("corpus", "source", "r.*", F.col("r.line_start").alias("chunk_index"))
-    content = docorder.rebuild_text(chunk.explode_lines(docs), docorder.interval_union(ranges))
-    return content.join(docs.select("corpus", "source"), "source").select("corpus", "source", "content")
+    return docorder.rebuild_text(chunk.explode_lines(docs), docorder.interval_union(ranges))
 
 
 @query("hash_embed_search")
 def hash_embed_search(spark, d):
-    return embedding.search_texts(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.9, embedding.HashedWords()).withColumn("score", F.round("score", 6))
+    return match.search_texts(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.9, embedding.HashedWords()).withColumn("score", F.round("score", 6))
 
 
 _HASHED = "select {key}, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as bucket, count(*) as n from (select {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) as w from {table}) group by all"
@@ -384,7 +441,17 @@ def l2_normalize(spark, d):
     return units.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"), F.round(F.sqrt(vector.dot(F.col("u"), F.col("u"))), 6).alias("norm"))
 
 
-@query("normalize_text", r"""select doc_id, trim(nfc_normalize(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, null), '[\x{0591}-\x{05C7}\x{05F3}\x{05F4}\x{00AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}]', '', 'g'), '[ \t]+', ' ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' +([.,;:!?])', '\1', 'g'), '(?m)^[ \t]*[•●○▪▫■□][ \t]+', '- ', 'g')), ' ' || chr(10) || chr(9) || chr(13)) as text from documents""")
+_WS = r" \t\r\f\v\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_STEPS = [  # (pattern, replacement), in order; every match of each
+    (r"[\x{0591}-\x{05C7}\x{05F3}\x{05F4}]", ""), (r"\x{00AD}", ""), (r"[\x{200B}-\x{200D}\x{FEFF}]", ""), (r"[^\P{C}\n\t]", ""),
+    (" {2,}", " "), (rf"[{_WS}]+(\n|$)", r"\1"), (r"\n{3,}", "\n\n"), (r" +([.,;:!?])", r"\1"), (rf"(?m)^[{_WS}\n]*[•·∙●○◦▪▫■□▬▭▮▯◆◇◈◊][{_WS}\n]+", "- "),
+]
+_NORMAL = "text"
+for _pattern, _new in _STEPS:
+    _NORMAL = f"regexp_replace({_NORMAL}, '{_pattern}', '{_new}', 'g')"
+
+
+@query("normalize_text", rf"select doc_id, regexp_replace(nfc_normalize({_NORMAL}), '^[{_WS}\n]+|[{_WS}\n]+$', '', 'g') as text from documents")
 def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("text"))
 
@@ -415,9 +482,9 @@ def location_parse(spark, d):
     return said.select("conv_id", "turn", text.parse_location(F.col("location")).alias("p")).select("conv_id", "turn", "p.*")
 
 
-@query("comma_list", "select doc_id, list_filter(list_transform(string_split(left(text, 200), ','), lambda x: trim(x)), lambda x: x <> '') as parts from documents")
+@query("comma_list", "select doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> '') as parts from documents")
 def comma_list(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.comma_list(F.substring("text", 1, 200)).alias("parts"))
+    return table(spark, d, "documents").select("doc_id", text.comma_list(F.col("text")).alias("parts"))
 
 
 @query("markdown_front_matter", r"select page_id, '---' || chr(10) || 'source: ' || regexp_extract(url, '([^/]*)$', 1) || chr(10) || 'pages: 1' || chr(10) || 'characters: ' || length(html) || chr(10) || '---' || chr(10) as header from pages")

@@ -1,6 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import docorder, setops
+from quarry.operators import docorder, match, report, setops
 
 SCHEMA = "corpus string, location string, score double, chunk string"
 
@@ -89,6 +91,30 @@ def test_document_order(spark):
 
 
 def test_rebuild_text(spark):
-    lines = spark.createDataFrame([("f", i, f"line {i}") for i in range(1, 11)], "source string, line_no int, text string")
-    ranges = docorder.interval_union(places(spark, ("c", "f", 2, 3, 0.9), ("c", "f", 3, 4, 0.9), ("c", "f", 8, 8, 0.9)))
-    assert docorder.rebuild_text(lines, ranges).first()["content"] == "line 2\nline 3\nline 4\n\nline 8\n"
+    lines = spark.createDataFrame([(c, "f", i, f"{c} line {i}") for c in "cd" for i in range(1, 11)], "corpus string, source string, line_no int, text string")
+    ranges = docorder.interval_union(places(spark, ("c", "f", 2, 3, 0.9), ("c", "f", 3, 4, 0.9), ("c", "f", 8, 8, 0.9), ("d", "f", 10, 12, 0.9)))
+    content = {r["corpus"]: r["content"] for r in docorder.rebuild_text(lines, ranges).collect()}
+    assert content == {"c": "c line 2\nc line 3\nc line 4\n\nc line 8\n", "d": "d line 10\n"}
+
+
+def test_numbered_over_bands_of_score(spark):
+    scores = [0.5, 0.50001, 0.50002, 0.9, -0.3, 0.5, None, 0.49999]
+    df = spark.createDataFrame([(x, "c", i) for i, x in enumerate(scores)], "score double, corpus string, chunk_index int").repartition(3)
+    got = {r["chunk_index"]: r["i"] for r in report.numbered(df).collect()}
+    order = sorted(range(len(scores)), key=lambda i: (scores[i] is None, -(scores[i] or 0), i))
+    assert got == {i: n for n, i in enumerate(order, 1)}
+
+
+@pytest.mark.parametrize("block", [10_000, 3])
+def test_matches_in_blocks(spark, block):
+    rng = np.random.default_rng(2)
+    left, right = rng.normal(size=(40, 4)).astype(np.float32), rng.normal(size=(13, 4)).astype(np.float32)
+    a = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(left)] + [(99, None)], "doc_id long, embedding array<float>")
+    b = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(right)], "item_id string, embedding array<float>")
+    scores = left.astype(float) @ right.astype(float).T
+    pairs = {(r["item_id"], r["doc_id"]): r["score"] for r in match.close_pairs(a.where("doc_id < 99"), b, 1.0, block).collect()}
+    assert pairs == pytest.approx({(str(j), i): scores[i, j] for i, j in zip(*np.nonzero(scores >= 1.0), strict=True)})
+    best = a.join(match.best_match(a, b, block), "embedding").collect()
+    assert {r["doc_id"]: r["similarity"] for r in best} == pytest.approx(dict(enumerate(scores.max(1))))
+    assert match.best_match(a, b.limit(0), block).count() == match.close_pairs(a, b.limit(0), 0.0, block).count() == 0
+    assert match.best_match(a.limit(0), b, block).count() == match.close_pairs(a.limit(0), b, 0.0, block).count() == 0

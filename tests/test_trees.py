@@ -1,68 +1,130 @@
+"""Trees against a plain evaluation of set operators over made-up search results."""
+
+import itertools
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from quarry.operators import setops
 from quarry.plans import sql, tree
 
-FOUND = {
-    "security": [("docs", "security.md", 1, 50, 0.85), ("docs", "security.md", 51, 100, 0.80), ("backend", "auth.py", 1, 30, 0.75)],
-    "authentication": [("docs", "security.md", 51, 100, 0.88), ("backend", "auth.py", 1, 30, 0.82), ("backend", "login.py", 1, 40, 0.76)],
-    "deprecated": [("backend", "legacy.py", 1, 50, 0.70), ("docs", "old_docs.md", 1, 100, 0.65)],
-    "testing": [("tests", "test_auth.py", 1, 50, 0.90), ("tests", "test_api.py", 1, 50, 0.85)],
-    "api": [("backend", "api.py", 1, 100, 0.92), ("backend", "api.py", 101, 200, 0.87), ("tests", "test_api.py", 1, 50, 0.83)],
-}
-SCHEMA = "corpus string, source string, chunk_index int, line_start int, line_end int, location string, score double, chunk string"
+SCHEMA = "corpus string, source string, chunk_index int, line_start int, line_end int, location string, score double, chunk string, embedding array<float>, _ord int"
+TOPICS = ["bread", "soup", "salad", "tea"]
+
+
+def made():
+    """For each topic rows (corpus, source, chunk_index, from, to, score); pieces of a long line share a place."""
+    rng = random.Random(9)
+    places = [(c, f, i, 20 * i + 1, 20 * i + 20 - 5 * (i % 2)) for c, f in itertools.product("pq", ("a.txt", "b.txt")) for i in range(6)]
+    places += [("p", "a.txt", 6 + i, 200, 200) for i in range(3)]
+    return {t: [(*p, round(rng.random(), 2)) for p in rng.sample(places, 14)] for t in TOPICS}
+
+
+FOUND = made()
+LOW = 0.2
+
+
+def plain(node):
+    """Rows of a node as (corpus, location, score), by definition."""
+    if isinstance(node, str):
+        return [((r[0], f"{r[1]}:{r[3]}-{r[4]}"), r[5]) for r in FOUND[node] if r[5] >= LOW]
+    op = node.get("op", "difference" if "exclude" in node else "leaf").lower()
+    if op == "leaf":
+        return plain(node["query"])
+    sets = [plain(q) for q in node.get("queries", [node.get("left", node.get("query")), node.get("right", node.get("exclude"))])]
+    every = list(itertools.chain(*sets))
+    keys = [{k for k, _ in s} for s in sets]
+    best = {k: max(x for other, x in every if other == k) for k, _ in every}
+    if op == "union_all":
+        return every
+    if op == "union":
+        return list(best.items())
+    if op == "intersect":
+        return [(k, x) for k, x in best.items() if all(k in own for own in keys)]
+    if op == "difference":
+        return [(k, x) for k, x in sets[0] if k not in keys[1]]
+    out = []
+    for k in keys[0]:
+        mine = sorted((x for other, x in sets[0] if other == k), reverse=True)
+        out += [(k, x) for x in mine[sum(other == k for other, _ in sets[1]) :]]
+    return out
 
 
 @pytest.fixture
-def run(spark):
-    def leaf(text, options):
-        rows = [(c, s, a, a, b, f"{s}:{a}-{b}", x, f"{text} {a}") for c, s, a, b, x in FOUND[text]]
-        df = spark.createDataFrame(rows, SCHEMA)
-        return df.where(df.score >= options["min_score"])
+def search(spark):
+    def run(texts, options):
+        rows = [(c, s, i, a, b, f"{s}:{a}-{b}", x, f"{t} {i}", [1.0, 0.0] if i % 2 else [0.0, 1.0], n) for n, t in enumerate(texts) for c, s, i, a, b, x in FOUND[t]]
+        return spark.createDataFrame(rows, SCHEMA).where(F.col("score") >= options["min_score"])
 
-    def go(spec, merge=False):
-        if isinstance(spec, str):
-            spec = sql.parse(spec)
-        elif isinstance(spec, dict):
-            spec = spec | {"merge_adjacent": merge}
-        return [(r["location"], r["score"]) for r in tree.lower(spec, leaf).collect()]
-
-    return go
+    return run
 
 
 def op(name, *queries):
     return {"op": name, "queries": list(queries)}
 
 
-def test_leaf_and_min_score(run):
-    assert len(run({"query": "security"})) == 3
-    assert len(run({"query": "security", "min_score": 0.8})) == 2
-
-
-def test_union_intersect_difference(run):
-    both = dict(run(op("union", "security", "authentication")))
-    assert len(both) == 4 and both["security.md:51-100"] == 0.88
-    assert len(run(op("intersect", "security", "authentication"))) == 2
-    assert run({"op": "difference", "left": "security", "right": "authentication"}) == [("security.md:1-50", 0.85)]
-    assert run({"query": "security", "exclude": "authentication"}) == [("security.md:1-50", 0.85)]
-    assert run({"op": "intersect", "left": "testing", "right": "api"}) == [("test_api.py:1-50", 0.85)]
-
-
-def test_nested_and_order(run):
-    rows = run({"op": "difference", "left": op("union", "security", {"op": "union", "queries": ["authentication", "api"]}), "right": {"query": "deprecated"}})
-    assert len(rows) == 7 and rows[0][0] == "api.py:1-100"
-    assert len(run(op("UNION", op("intersect", "testing", "api"), "security"))) == 4
+def minus(a, b, name="difference"):
+    return {"op": name, "left": a, "right": b}
+
+
+TREES = [
+    {"query": "bread"},
+    op("union", "bread", "soup", "salad"),
+    op("INTERSECT", "bread", "soup"),
+    op("intersect", "bread", op("intersect", "soup", "salad")),
+    minus("bread", "soup"),
+    {"query": "bread", "exclude": "soup"},
+    minus(op("union", "bread", {"op": "union", "queries": ["soup", "tea"]}), {"query": "salad"}),
+    op("union", op("intersect", "bread", "soup"), minus("tea", op("union", "bread", "salad"))),
+    op("intersect", minus("bread", "tea"), op("union", "soup", "salad")),
+    op("union_all", "bread", "bread", op("union", "soup", "tea")),
+    minus(op("union_all", "bread", "bread", "tea"), op("union_all", "bread", "soup"), "difference_all"),
+    minus("bread", "bread"),
+]
+
+
+@pytest.mark.parametrize("spec", TREES)
+def test_set_operators(search, spec):
+    got = tree.lower(spec | {"min_score": LOW, "merge_adjacent": False}, search).collect()
+    assert sorted(((r["corpus"], r["location"]), r["score"]) for r in got) == sorted(plain(spec))
+    order = [(r["corpus"], r["source"], r["line_start"]) for r in got]
+    assert order == sorted(order)
+    used = tree._operators(tree.read(spec, []))
+    if "difference_all" not in used:
+        texts: list[str] = []
+        node = tree.read(spec, texts)
+        frames = tree._by_frames(node, search(texts, {"min_score": LOW}), 2.0)
+        assert sorted(((r["corpus"], r["location"]), r["score"]) for r in frames.collect()) == sorted(plain(spec))
+
+
+def test_one_scan_one_shuffle(search):
+    rows = tree.lower(TREES[6] | {"min_score": LOW, "merge_adjacent": False, "sort": False}, search)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1
+
+
+def test_semantic_difference_in_a_tree(search):
+    spec = minus("bread", "soup") | {"min_score": LOW, "merge_adjacent": False, "semantic": True, "threshold": 0.5}
+    assert tree.lower(spec, search).count() == 0  # soup has passages of both kinds
+    assert tree.lower(spec | {"threshold": 1.5}, search).count() == len(plain(minus("bread", "soup")))
+    with pytest.raises(ValueError):
+        tree.lower(minus("bread", "soup", "difference_all") | {"semantic": True}, search)
 
 
-def test_merge_is_default(run):
-    assert [x for x, _ in run("SELECT * FROM search('security')")] == ["auth.py:1-30", "security.md:1-100"]
+def test_merge_is_default_and_limit_is_of_the_whole(search):
+    merged = tree.lower({"query": "bread", "min_score": 0.0}, search)
+    assert merged.count() < 14 and merged.columns == [c for c in setops.Passages(search(["bread"], {"min_score": 0})).columns if c != "embedding"]
+    best = tree.lower(op("union", "bread", "soup") | {"min_score": 0.0, "merge_adjacent": False, "limit": 3}, search).collect()
+    assert sorted(r["score"] for r in best) == sorted(sorted((x for _, x in plain(op("union", "bread", "soup"))), reverse=True)[:3])
 
 
 @pytest.mark.parametrize(
-    "spec", ["text", {}, {"op": "bogus", "queries": ["a", "b"]}, {"op": "union"}, {"op": "union", "queries": ["security"]}, {"op": "difference", "left": "security"}, op("union", "security", 3)]
+    "spec", ["text", {}, {"op": "bogus", "queries": ["a", "b"]}, {"op": "union"}, {"op": "union", "queries": ["bread"]}, {"op": "difference", "left": "bread"}, op("union", "bread", 3)]
 )
-def test_errors(run, spec):
+def test_errors(spec):
     with pytest.raises(ValueError):
-        tree.lower(spec, lambda text, options: None)
+        tree.lower(spec, lambda texts, options: None)
 
 
 S = "SELECT * FROM search('{}')".format
@@ -74,7 +136,9 @@ S = "SELECT * FROM search('{}')".format
         (S("a"), {"query": "a"}),
         ('select * from search("it\'s") ;', {"query": "it's"}),
         ("SELECT * FROM search('it''s (x)')", {"query": "it's (x)"}),
-        (f"{S('a')} UNION {S('b')} union all {S('c')}", op("union", {"query": "a"}, {"query": "b"}, {"query": "c"})),
+        (f"{S('a')} UNION {S('b')} union {S('c')}", op("union", {"query": "a"}, {"query": "b"}, {"query": "c"})),
+        (f"{S('a')} UNION ALL {S('b')} union all {S('c')}", op("union_all", {"query": "a"}, {"query": "b"}, {"query": "c"})),
+        (f"{S('a')} UNION {S('b')} EXCEPT ALL {S('c')}", minus(op("union", {"query": "a"}, {"query": "b"}), {"query": "c"}, "difference_all")),
         (f"{S('a')} EXCEPT {S('b')} EXCEPT {S('c')}", {"op": "difference", "left": {"op": "difference", "left": {"query": "a"}, "right": {"query": "b"}}, "right": {"query": "c"}}),
         (f"{S('a')} UNION {S('b')} INTERSECT {S('c')}", op("union", {"query": "a"}, op("intersect", {"query": "b"}, {"query": "c"}))),
         (f"SELECT * FROM ({S('a')} UNION {S('b')}) AS t EXCEPT {S('c')}", {"op": "difference", "left": op("union", {"query": "a"}, {"query": "b"}), "right": {"query": "c"}}),
