@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,10 @@ from quarry.operators import docorder, report, retrieve
 from quarry.operators.chunk import explode_lines
 from quarry.plans import sql as dialect
 from quarry.plans import tree
-from quarry.sources.catalog import Catalog, read_texts
+from quarry.sources.catalog import Catalog, Inputs, input_error, pairs_of, read_texts
 
 Generator = Callable[[str], str]
+PROMPT = "{context}\nQuestion: {question}\nAnswer:"
 
 
 def first_lines(prompt: str) -> str:
@@ -25,12 +26,32 @@ def first_lines(prompt: str) -> str:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, generator: Generator = first_lines):
-        self.spark, self.generator = spark, generator
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, generator: Generator = first_lines, prompt: str = PROMPT):
+        self.spark, self.generator, self.prompt = spark, generator, prompt
         self.catalog = Catalog(spark, root, embedder)
 
-    def index(self, paths: Sequence[str], size: int | None = None) -> DataFrame:
-        return self.catalog.index(read_texts(self.spark, paths), size)
+    def index(self, inputs: Inputs, size: int | None = None) -> DataFrame:
+        """Catalog rows of the files that were new or changed. `inputs` are paths, each a corpus by its stem, or {corpus: path or paths}; what is no file is refused."""
+        return self.catalog.index(read_texts(self.spark, inputs), size)
+
+    def index_each(self, inputs: Inputs, size: int | None = None) -> DataFrame:
+        """corpus, file_path, chunk_count, error of what was indexed and of each input that could not be; none stops the others."""
+        pairs = [(corpus, path, input_error(self.spark, path)) for corpus, path in pairs_of(inputs)]
+        bad = self.spark.createDataFrame([(c, p, 0, e) for c, p, e in pairs if e], "corpus string, file_path string, chunk_count long, error string")
+        good = [(c, p) for c, p, e in pairs if not e]
+        if not good:
+            return bad
+        if isinstance(inputs, Mapping):
+            named = {corpus: [p for c, p in good if c == corpus] for corpus, _ in good}
+        else:
+            named = [p for _, p in good]
+        return self.index(named, size).select("corpus", "file_path", "chunk_count", "error").unionByName(bad)
+
+    def register_search(self, name: str = "search") -> None:
+        """`name('text')` as a table function of Spark SQL over all corpora, with any clause around it."""
+        self.catalog.chunks().createOrReplaceTempView(f"{name}_chunks")
+        embedder = self.catalog.embedder
+        retrieve.register_search(self.spark, name, f"{name}_chunks", lambda text: embed_query(text, embedder))
 
     def _corpora(self, corpora: Sequence[str] | None) -> list[str]:
         names = list(corpora) if corpora else [r["corpus"] for r in self.catalog.listing().collect()]
@@ -62,7 +83,7 @@ class Engine:
         return {"answer": answer, "sources": sources, "quality_results": gate["quality_results"], "filtered_count": gate["filtered_count"]}
 
     def answer(self, text: str, rows: DataFrame) -> str:
-        return self.generator(f"{retrieve.assemble_context(rows).first()['context']}\nQuestion: {text}\nAnswer:")
+        return self.generator(self.prompt.format(context=retrieve.assemble_context(rows).first()["context"], question=text))
 
     def query(self, spec: Any) -> DataFrame:
         def search(texts: list[str], o: dict[str, Any]) -> DataFrame:

@@ -46,19 +46,23 @@ def chunk_lines(text: str, size: int) -> list[tuple[str, int, int]]:
     return [c for c in out if c[0].strip()]
 
 
-def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE) -> DataFrame:
-    """docs (corpus, source, text) -> corpus, source, chunk_index, line_start, line_end, chunk."""
+def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...] = ("corpus", "source")) -> DataFrame:
+    """docs (keys, text) -> keys (strings), chunk_index, line_start, line_end, chunk."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for corpus, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(corpus, source, i, a, b, c) for i, (c, a, b) in enumerate(chunk_lines(text or "", size))]
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            names = ["corpus", "source", "chunk_index", "line_start", "line_end", "chunk"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
-
-    return docs.select("corpus", "source", "text").mapInArrow(run, "corpus string, source string, chunk_index int, line_start int, line_end int, chunk string")
+            at, rows = [], []
+            for row, text in enumerate(batch.column(len(keys)).to_pylist()):
+                found = [(i, a, b, c) for i, (c, a, b) in enumerate(chunk_lines(text or "", size))]
+                rows += found
+                at += [row] * len(found)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
+            kept = [batch.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
+            made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keys, "chunk_index", "line_start", "line_end", "chunk"])
+
+    schema = ", ".join(f"{k} string" for k in keys) + ", chunk_index int, line_start int, line_end int, chunk string"
+    return docs.select(*keys, "text").mapInArrow(run, schema)
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import location
@@ -48,6 +50,26 @@ def search_many(
     return rows.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= max_results).drop("_rank")
 
 
+def register_search(spark: SparkSession, name: str, chunks: str, vector: Callable[[str], Sequence[float]]) -> None:
+    """Table function `name(text)` over the view `chunks` for Spark's SQL: all chunks with their score. `vector` gives a text's unit vector; in a task it is asked once for each text of a batch."""
+
+    def score(vectors: pa.Array, texts: pa.Array) -> pa.Array:
+        out, asked = [None] * len(vectors), {}
+        for i, (v, t) in enumerate(zip(vectors, texts.to_pylist(), strict=True)):
+            if v.is_valid and t is not None:
+                if t not in asked:
+                    asked[t] = np.array(vector(t), np.float64)
+                out[i] = float(v.values.to_numpy(zero_copy_only=False).astype(np.float64) @ asked[t])
+        return pa.array(out, pa.float64())
+
+    spark.udf.register(f"{name}_score", F.arrow_udf(score, "double").asNondeterministic())
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query STRING)
+        RETURNS TABLE (corpus STRING, source STRING, chunk_index BIGINT, line_start BIGINT, line_end BIGINT, location STRING, score DOUBLE, chunk STRING)
+        RETURN SELECT corpus, source, chunk_index, line_start, line_end, concat(source, ':', line_start, '-', line_end), {name}_score(embedding, query), chunk FROM {chunks}"""
+    )
+
+
 def top_k_per_corpus(rows: DataFrame, k: int) -> DataFrame:
     """The k best of each corpus; Spark keeps k rows of a corpus in each task before it shuffles."""
     best = Window.partitionBy("corpus").orderBy(F.desc("score"), "chunk_index")

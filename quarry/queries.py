@@ -340,9 +340,11 @@ def boolean_flags(spark, d):
     f"with {VIEW} select corpus, count(*) as hits, round(max(score), 6) as best from {L0} group by corpus",
 )
 def spark_sql_search_function(spark, d):
-    """Searches as a view under plain Spark SQL, where any clause may follow."""
-    leaf(spark, d, 0).drop("embedding").createOrReplaceTempView("quarry_search")
-    return spark.sql("SELECT corpus, count(*) AS hits, round(max(score), 6) AS best FROM quarry_search GROUP BY corpus")
+    """Search as a table function of plain Spark SQL, where any clause may follow."""
+    known = {"query 0": query_vector(spark, d, 0)}
+    vector_corpus(spark, d).createOrReplaceTempView("quarry_chunks")
+    retrieve.register_search(spark, "quarry_search", "quarry_chunks", known.__getitem__)
+    return spark.sql("SELECT corpus, count(*) AS hits, round(max(score), 6) AS best FROM quarry_search('query 0') WHERE score >= 0.1 GROUP BY corpus")
 
 
 # ---- document order
@@ -527,12 +529,12 @@ _MANIFEST = "m as (select source as corpus, count(*) as chunk_count, sum(n_chars
 
 @query("catalog_list", f"with {_MANIFEST} select corpus from m")
 def catalog_list(spark, d):
-    return manifest(spark, d).select("corpus").orderBy("corpus")
+    return catalog.listing_of(manifest(spark, d))
 
 
 @query("corpus_info_counts", f"with {_MANIFEST} select corpus, chunk_count, file_size from m")
 def corpus_info_counts(spark, d):
-    return manifest(spark, d).select("corpus", "chunk_count", "file_size")
+    return catalog.totals(manifest(spark, d)).select("corpus", "chunk_count", "file_size")
 
 
 @query("compatibility_check", f"with {_MANIFEST} select count(distinct corpus) as corpora, count(distinct normalized) as settings from m")
@@ -545,7 +547,7 @@ def incremental_skip(spark, d):
     """Documents whose manifest row is new or differs from the stored one: every third is not stored, odd sizes were other."""
     now = table(spark, d, "documents").select("doc_id", "source", "n_chars")
     stored = now.where("doc_id % 3 <> 0").withColumn("n_chars", F.when(F.col("n_chars") % 2 == 1, F.col("n_chars") + 1).otherwise(F.col("n_chars")))
-    return now.join(stored, ["doc_id", "source", "n_chars"], "left_anti")
+    return catalog.stale_rows(now, stored, ["doc_id", "source", "n_chars"])
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -1,17 +1,22 @@
-"""Corpora as one Parquet table partitioned by corpus, with a catalog of what is indexed.
+"""Corpora as one Parquet table, with a catalog of the files that are indexed.
 
-    <root>/chunks/corpus=<name>/...   <root>/corpora/corpus=<name>/...
+    <root>/chunks/corpus=<name>/file=<id>/...   <root>/corpora/corpus=<name>/file=<id>/...
 
-Both are written by dynamic partition overwrite, so one job indexes any number of
-corpora and replaces just these. A corpus is skipped when its file's path, time
-and size, the embedding model and the chunk size are those it was indexed with.
+A corpus has one file or many. Both tables are written by dynamic partition
+overwrite, so one job indexes any number of files and replaces just these, each
+on its own; every file has a row in both, with chunk -1 in the first, so one that
+became blank loses its old chunks. A file is skipped when its path, time and size,
+the embedding model and the chunk size are those it was indexed with.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import uuid
+from collections.abc import Mapping, Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.embedding import Embedder, HashedWords, embed
@@ -22,27 +27,105 @@ from quarry.schema import CHUNKS, CORPORA, names
 SETTINGS = ["embedding_model", "embedding_dim", "index_type", "normalized"]
 SEEN = ["corpus", "file_path", "file_modified", "file_size", "embedding_model", "chunk_size"]
 REMOTE = ("http://", "https://", "git@", "ssh://", "git://")
+BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
+Inputs = Sequence[str] | Mapping[str, str | Sequence[str]]
 
 
-def check_input(path: str) -> str:
-    """Refuses what is not a plain file's path: addresses, repositories."""
-    if path.startswith(REMOTE):
-        raise ValueError(f"not a file but an address: {path}")
-    if path.rstrip("/").endswith(".git"):
-        raise ValueError(f"not a file but a repository: {path}")
-    return path
+# ---- input
+
+
+def _status(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of any store."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), found
 
 
-def read_texts(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """corpus (the file's stem), source (its name), text, and the manifest columns; one job for all paths and patterns."""
-    files = spark.read.text([check_input(p) for p in paths], wholetext=True)
-    meta = F.col("_metadata")
+def input_error(spark: SparkSession, path: str) -> str | None:
+    """Why a path cannot be indexed: an address, nothing there, a directory or a repository; null for a file and for a pattern."""
+    if path.startswith(REMOTE):
+        return f"not a file but an address: {path}"
+    if path.rstrip("/").rsplit("/", 1)[-1].endswith(".git"):
+        return f"not a file but a repository: {path}"
+    if re.search(r"[*?\[{]", path):
+        return None
+    files, found = _status(spark, path)
+    if not files.exists(found):
+        return f"file not found: {path}"
+    if files.getFileStatus(found).isDirectory():
+        kind = "repository" if files.exists(spark._jvm.org.apache.hadoop.fs.Path(found, ".git")) else "directory"
+        return f"not a file but a {kind}: {path}"
+    return None
+
+
+def pairs_of(inputs: Inputs) -> list[tuple[str | None, str]]:
+    """(corpus or null, path) of what a caller names: paths, or {corpus: path or paths}."""
+    if not isinstance(inputs, Mapping):
+        return [(None, p) for p in inputs]
+    return [(corpus, p) for corpus, paths in inputs.items() for p in ([paths] if isinstance(paths, str) else paths)]
+
+
+def describe_files(files: DataFrame, corpus: Column | None = None) -> DataFrame:
+    """Rows of Spark's binary files as corpus (else the file's stem), source (its name), text, error, and the manifest columns."""
+    said = F.col("content").cast("string")
+    good = F.is_valid_utf8(said)
     return files.select(
-        stem(meta["file_path"]).alias("corpus"), meta["file_name"].alias("source"), F.col("value").alias("text"),
-        meta["file_path"].alias("file_path"), meta["file_modification_time"].alias("file_modified"), meta["file_size"].alias("file_size"),
+        F.coalesce(corpus, stem(F.col("path"))).alias("corpus") if corpus is not None else stem(F.col("path")).alias("corpus"),
+        F.regexp_extract("path", "([^/]*)$", 1).alias("source"), F.when(good, said).alias("text"), F.when(~good, F.lit("not UTF-8 text")).alias("error"),
+        F.col("path").alias("file_path"), F.col("modificationTime").alias("file_modified"), F.col("length").alias("file_size"),
     )
 
 
+def read_texts(spark: SparkSession, inputs: Inputs) -> DataFrame:
+    """The named files, empty ones too, by one job for all paths and patterns; refuses paths that are no files."""
+    pairs = pairs_of(inputs)
+    errors = [e for e in (input_error(spark, p) for _, p in pairs) if e]
+    if errors:
+        raise ValueError("; ".join(errors))
+    wanted, empty = [], []
+    for corpus, path in pairs:
+        store, pattern = _status(spark, path)
+        for f in store.globStatus(pattern) or []:
+            name = f.getPath().toString()
+            if isinstance(inputs, Mapping):
+                wanted.append((name, corpus))
+            if f.isFile() and not f.getLen():  # these Spark's readers pass over
+                empty.append((name, datetime.fromtimestamp(f.getModificationTime() / 1000), 0, b""))
+    files = spark.read.format("binaryFile").load([p for _, p in pairs])
+    if empty:
+        files = files.unionByName(spark.createDataFrame(empty, BINARY_FILES))
+    if not isinstance(inputs, Mapping):
+        return describe_files(files)
+    known = spark.createDataFrame(wanted, "path string, _corpus string")  # what the caller named
+    return describe_files(files.dropDuplicates(["path"]).join(F.broadcast(known), "path"), F.col("_corpus"))
+
+
+# ---- the catalog's rows
+
+
+def stale_rows(manifest: DataFrame, stored: DataFrame, seen: Sequence[str] = SEEN) -> DataFrame:
+    """Rows of a manifest that are not stored as they stand."""
+    return manifest.join(stored.select(*seen), list(seen), "left_anti")
+
+
+def totals(corpora: DataFrame) -> DataFrame:
+    """One row for each corpus: its files, size, chunks and settings."""
+    counts = [F.count("*").alias("files"), F.sum("file_size").alias("file_size"), F.sum("chunk_count").alias("chunk_count")]
+    return corpora.groupBy("corpus").agg(*counts, *[F.first(c).alias(c) for c in SETTINGS])
+
+
+def listing_of(corpora: DataFrame) -> DataFrame:
+    return corpora.select("corpus").distinct().orderBy("corpus")
+
+
+def named(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """files (corpus, source, file_path) with sources that are one file's each: a name that another file of the corpus has gives way to the path."""
+    first = files.groupBy("corpus", "source").agg(F.min("file_path").alias("_first"))
+    taken = stored.select("corpus", "source", F.col("file_path").alias("_taken"))
+    owners = first.join(taken, ["corpus", "source"], "left").select("corpus", "source", F.coalesce("_taken", "_first").alias("_owner"))
+    source = F.when(F.col("file_path") == F.col("_owner"), F.col("source")).otherwise(F.col("file_path"))
+    return files.join(owners, ["corpus", "source"]).withColumn("source", source).drop("_owner")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, context_length: int = 256):
         self.spark, self.root, self.embedder, self.context_length = spark, root.rstrip("/"), embedder or HashedWords(), context_length
@@ -56,53 +139,60 @@ class Catalog:
             raise
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self._read("chunks", CHUNKS).where("chunk_index >= 0")
 
     def corpora(self) -> DataFrame:
+        """A row for each file."""
         return self._read("corpora", CORPORA)
 
     def stale(self, manifest: DataFrame) -> DataFrame:
-        """Rows of a manifest that are not indexed as they stand."""
-        return manifest.join(self.corpora().select(*SEEN), SEEN, "left_anti")
+        return stale_rows(manifest, self.corpora())
 
     def index(self, texts: DataFrame, size: int | None = None) -> DataFrame:
-        """Indexes the texts that are new or changed (see `read_texts`) and returns their catalog rows."""
-        size = size or chunk_size(self.context_length)
-        manifest = texts.withColumns({"embedding_model": F.lit(self.embedder.model), "chunk_size": F.lit(size)})
-        todo = self.stale(manifest)
-        chunks = chunk_documents(todo, size).withColumn("embedding", embed(F.col("chunk"), self.embedder))
-        self._write(chunks.select(*names(CHUNKS)), "chunks")
-        counts = self.chunks().groupBy("corpus").agg(F.count("*").alias("chunk_count"))
-        rows = todo.drop("text").join(counts, "corpus", "left").withColumns(
+        """Indexes the files that are new or changed (see `read_texts`) and returns their catalog rows; one that is no text is a row with its error."""
+        size, run = size or chunk_size(self.context_length), uuid.uuid4().hex
+        settings = {"embedding_model": F.lit(self.embedder.model), "chunk_size": F.lit(size), "file": F.md5("file_path")}
+        todo = self.stale(texts.drop("text", "error").withColumns(settings))
+        staged = f"{self.root}/staged/{run}"  # what is to be done is fixed before the catalog changes
+        named(todo, self.corpora()).write.parquet(staged)
+        todo = self.spark.read.schema(todo.schema).parquet(staged)
+        docs = texts.select("corpus", "file_path", "text", "error").join(todo.select("corpus", "file_path", "file", "source"), ["corpus", "file_path"])
+        chunks = chunk_documents(docs, size, ("corpus", "file", "source")).withColumn("embedding", embed(F.col("chunk"), self.embedder))
+        marks = docs.select("corpus", "file", "source", F.lit(-1).alias("chunk_index"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.col("error").alias("chunk"), F.lit(None).cast("array<float>").alias("embedding"))
+        self._write(chunks.select(*names(CHUNKS)).unionByName(marks), "chunks")
+        counts = self._read("chunks", CHUNKS).groupBy("corpus", "file").agg(F.count_if(F.col("chunk_index") >= 0).alias("chunk_count"), F.max(F.when(F.col("chunk_index") < 0, F.col("chunk"))).alias("error"))
+        rows = todo.join(counts, ["corpus", "file"]).withColumns(
             {
                 "embedding_dim": F.lit(self.embedder.dim), "index_type": F.lit("inner product"), "normalized": F.lit(True),
-                "context_length": F.lit(self.context_length), "chunk_count": F.coalesce("chunk_count", F.lit(0)),
+                "context_length": F.lit(self.context_length), "run": F.lit(run),
             }
         )
-        # the rows are taken before the catalog changes, as they depend on it
-        rows = self.spark.createDataFrame(rows.select(*names(CORPORA)).collect(), CORPORA)  # one for each file
-        self._write(rows, "corpora")
-        return rows
+        self._write(rows.select(*names(CORPORA)), "corpora")
+        self._remove(staged)
+        return self.corpora().where(F.col("run") == run)
 
     def _write(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus").parquet(f"{self.root}/{name}")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", "file").parquet(f"{self.root}/{name}")
+
+    def _remove(self, path: str) -> None:
+        store, found = _status(self.spark, path)
+        store.delete(found, True)
 
     def listing(self) -> DataFrame:
-        return self.corpora().select("corpus").orderBy("corpus")
+        return listing_of(self.corpora())
 
     def info(self, corpus: str) -> DataFrame:
         found = self.corpora().where(F.col("corpus") == corpus)
         if not found.take(1):
             raise FileNotFoundError(f"no corpus named {corpus}")
-        return found
+        return totals(found)
 
     def delete(self, corpus: str) -> None:
         """Drops the partitions of a corpus, on whatever file system they are."""
         self.info(corpus)
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        folder = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(corpus)
         for name in ("chunks", "corpora"):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/corpus={corpus}")
-            path.getFileSystem(conf).delete(path, True)
+            self._remove(f"{self.root}/{name}/corpus={folder}")
         self.spark.catalog.refreshByPath(self.root)
 
     def compatible(self, corpora: Sequence[str]) -> dict:

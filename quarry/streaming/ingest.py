@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.functions.text import stem
-from quarry.sources.catalog import Catalog
+from quarry.sources.catalog import BINARY_FILES, Catalog, describe_files
 
 
-def watch(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, once: bool = False) -> StreamingQuery:
+def watch(spark: SparkSession, folder: str, catalog: Catalog, checkpoint: str, once: bool = False, corpus: Column | None = None) -> StreamingQuery:
     """A batch that is replayed after a failure finds its files indexed and skips them."""
-    files = spark.readStream.format("text").option("wholetext", True).load(folder)
-    meta = F.col("_metadata")
-    texts = files.select(
-        stem(meta["file_path"]).alias("corpus"), meta["file_name"].alias("source"), F.col("value").alias("text"),
-        meta["file_path"].alias("file_path"), meta["file_modification_time"].alias("file_modified"), meta["file_size"].alias("file_size"),
-    )
+    files = spark.readStream.format("binaryFile").schema(BINARY_FILES).load(folder)
 
     def index(batch: DataFrame, _: int) -> None:
-        catalog.index(batch)
+        catalog.index(describe_files(batch, corpus))
 
-    writer = texts.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
+    writer = files.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,14 +1,17 @@
 import io
+import re
+import unicodedata
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.engine import Engine
-from quarry.functions import text
+from quarry.functions import embedding, text
 from quarry.operators.chunk import chunk_lines
 from quarry.sources import convert
-from quarry.sources.catalog import check_input, read_texts
+from quarry.sources.catalog import input_error, read_texts
 from quarry.streaming.ingest import watch
 
 
@@ -19,13 +22,13 @@ def one(spark, column, value):
 @pytest.mark.parametrize(
     "value, expected",
     [
-        ("src/main.py:10-20", ("src/main.py", 10, 20)),
-        ("path/to/deep/file.txt:557-659", ("path/to/deep/file.txt", 557, 659)),
-        ("data.csv:10000-20000", ("data.csv", 10000, 20000)),
+        ("notes/may.md:3-9", ("notes/may.md", 3, 9)),
+        ("a b/c/d.rst:71-1204", ("a b/c/d.rst", 71, 1204)),
+        ("big.log:500000-700000", ("big.log", 500000, 700000)),
         ("a:b:3-4", ("a:b", 3, 4)),
-        ("invalid_format", ("invalid_format", 0, 0)),
-        ("file.txt:100", ("file.txt:100", 0, 0)),
-        ("file.txt:abc-def", ("file.txt:abc-def", 0, 0)),
+        ("no place", ("no place", 0, 0)),
+        ("plan.md:12", ("plan.md:12", 0, 0)),
+        ("plan.md:x-y", ("plan.md:x-y", 0, 0)),
     ],
 )
 def test_parse_location(spark, value, expected):
@@ -37,9 +40,28 @@ def test_tokens_count_unicode_space(spark):
     assert one(spark, text.estimate_tokens, "") == 0
 
 
+def normal(said):
+    """The steps of the cleaning, in order, on one text."""
+    out = re.sub("[֑-ׇ׳״]", "", said)
+    out = "".join(c for c in out if c not in "­​‌‍﻿")
+    out = "".join(c for c in out if c in "\n\t" or not unicodedata.category(c).startswith("C"))
+    while "  " in out:
+        out = out.replace("  ", " ")
+    out = "\n".join(line.rstrip() for line in out.split("\n"))
+    while "\n\n\n" in out:
+        out = out.replace("\n\n\n", "\n\n")
+    out = re.sub(" +(?=[.,;:!?])", "", out)
+    out = re.sub("(?m)^\\s*[•·∙●○◦▪▫■□▬▭▮▯◆◇◈◊]\\s+", "- ", out)
+    return unicodedata.normalize("NFC", out).strip()
+
+
 def test_normalize(spark):
     raw = "﻿é­  x , y​  \n\n\n\n• item\u0007\n"
-    assert one(spark, text.normalize_text, raw) == "é x, y\n\n- item"
+    texts = [raw, None, "", "  　 ", "a\tb \t\nc  \n\n \n\nd", "שׁלום ׳x", "é ‪‎x y", "a\r\nb", "   , x  !  ?"]
+    texts += [f"x\n\n {b}  item\n{b}no\n{b}\n\n{b} y" for b in text.BULLETS]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.normalize_text(F.col("t")).alias("x")).collect()
+    assert {r["i"]: r["x"] for r in found} == {i: None if t is None else normal(t) for i, t in enumerate(texts)}
+    assert normal(raw) == "é x, y\n- item" and len(text.BULLETS) == 18
 
 
 def test_language(spark):
@@ -88,10 +110,14 @@ def test_page_text(spark):
     assert one(spark, convert.page_text, html) == "A & b\nc\nd"
 
 
-def test_inputs_refused():
-    for bad in ("https://x/y", "git@host:x", "repo.git"):
-        with pytest.raises(ValueError):
-            check_input(bad)
+def test_inputs_refused(spark, tmp_path):
+    (tmp_path / "repo" / ".git").mkdir(parents=True)
+    (tmp_path / "a.txt").write_text("x")
+    for bad, why in (("https://x/y", "address"), ("git@host:x", "address"), ("repo.git", "repository"), (str(tmp_path), "directory"), (str(tmp_path / "repo"), "repository"), (str(tmp_path / "none"), "not found")):
+        assert why in input_error(spark, bad)
+        with pytest.raises(ValueError, match=why):
+            read_texts(spark, [bad])
+    assert input_error(spark, str(tmp_path / "a.txt")) is None and input_error(spark, str(tmp_path / "*.txt")) is None
 
 
 @pytest.fixture
@@ -137,6 +163,65 @@ def test_incremental_delete_and_compatibility(engine, tmp_path, spark):
         engine.catalog.compatible(["auth", "food"])
 
 
+def chunks_of(engine):
+    return sorted((r["corpus"], r["source"], r["chunk"]) for r in engine.catalog.chunks().collect())
+
+
+def test_named_corpora_of_several_files(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_text(f"words of {folder}\n")
+    a, b = (str(tmp_path / f / "x.txt") for f in "ab")
+    engine = Engine(spark, str(tmp_path / "root"))
+    engine.index([a])
+    engine.index([b])  # of the same stem
+    path = f"file:{b}"
+    assert chunks_of(engine) == [("x", path, "words of b\n"), ("x", "x.txt", "words of a\n")]
+    engine.index({"one": [a, b], "two words": a})
+    assert [r["corpus"] for r in engine.catalog.listing().collect()] == ["one", "two words", "x"]
+    (tmp_path / "b" / "x.txt").write_text("other words\n")
+    assert engine.index({"one": [a, b]}).count() == 1
+    assert [c for c in chunks_of(engine) if c[0] == "one"] == [("one", path, "other words\n"), ("one", "x.txt", "words of a\n")]
+    info = engine.catalog.info("one").first()
+    assert (info["files"], info["chunk_count"], info["file_size"]) == (2, 2, 23)
+    engine.catalog.delete("two words")
+    assert [r["corpus"] for r in engine.catalog.listing().collect()] == ["one", "x"]
+
+
+def test_files_that_become_blank_or_are_no_text(spark, tmp_path):
+    engine, path = Engine(spark, str(tmp_path / "root")), tmp_path / "f.txt"
+    (tmp_path / "g.txt").write_text("stays\n")
+    for said, left in (("old words\n", ["old words\n"]), (" \n", []), ("back\n", ["back\n"]), ("", [])):
+        path.write_text(said)
+        assert [r["chunk_count"] for r in engine.index({"c": [str(path), str(tmp_path / "g.txt")]}).where("source = 'f.txt'").collect()] == [len(left)]
+        assert [c[2] for c in chunks_of(engine)] == sorted([*left, "stays\n"])
+    path.write_bytes(b"\xff\xfe bad")
+    got = engine.index_each({"c": str(path), "d": str(tmp_path / "none.txt"), "e": str(tmp_path / "g.txt")}).collect()
+    assert {(r["corpus"], r["chunk_count"], bool(r["error"])) for r in got} == {("c", 0, True), ("d", 0, True), ("e", 1, False)}
+
+
+def test_search_as_a_table_function(engine, spark):
+    engine.register_search("find")
+    rows = spark.sql("SELECT corpus, max(score) AS best FROM find('bread butter') WHERE score > 0.1 GROUP BY corpus ORDER BY best DESC").collect()
+    assert [r["corpus"] for r in rows] == ["food"] and rows[0]["best"] == pytest.approx(engine.rows("bread butter", min_score=0.1).first()["score"], abs=1e-6)
+    assert spark.sql("SELECT * FROM find('login') a JOIN find('password') b USING (location) WHERE a.score > 0 AND b.score > 0").count() >= 1
+
+
+def test_texts_over_an_embedders_context_are_cut():
+    class Short:
+        model, dim = "short", 1
+
+        def embed(self, texts):
+            if any(len(t) > 50 for t in texts):
+                raise embedding.TooLong
+            return np.array([[float(len(t))] for t in texts])
+
+    assert embedding.embed_within("x" * 100, Short()).tolist() == [49.0] and embedding.embed_within("x" * 60, Short()).tolist() == [42.0]
+    assert embedding.embed_all(["x" * 100, "y"], Short()).tolist() == [[1.0], [1.0]]
+    with pytest.raises(embedding.TooLong):
+        embedding.embed_within("x" * 1000, Short())
+
+
 def test_streaming_ingest(engine, tmp_path, spark):
     (tmp_path / "new").mkdir()
     (tmp_path / "new" / "later.txt").write_text("fresh words\n")
