@@ -1,8 +1,14 @@
 """From raw documents to packed sequences: quality, near duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of their input. Stages may be run one by one over written
-Parquet, as `run` does.
+return the columns of their input, whatever further ones it has. Stages may be
+run one by one over written Parquet, as `run` does.
+
+Defined cases, for every stage: an empty table gives an empty table; a repeated
+row is a row of its own until near duplicates go; a null id is an id like no
+other. Null and empty texts are judged by the quality model as an empty text,
+are no one's duplicates, lose no words, hold no benchmark words, and pack as the
+end mark alone; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, near_dedup, packing, quality, substring_dedup
-from quarry.llm.common import cut, id_bucket
+from quarry.llm.common import CUTS, cut, drop_cuts, id_bucket
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,14 +32,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays, that of the smallest id, of equal ids by hash of the text."""
     return near_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows of 50 that an earlier document has go; what is left keeps its row, with n_chars counted anew."""
-    left = substring_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    """Words in windows of 50 that an earlier document has go; what is left keeps its row, with n_chars, where there is one, counted anew."""
+    left = substring_dedup.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of `documents`. What a stage wrote for itself goes as soon as its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = len(CUTS)
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs)
+            drop_cuts(spark, max(0, before - (i > 0)), -1)
     return docs
