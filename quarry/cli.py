@@ -1,14 +1,16 @@
-"""Command line: index, search, extract, sql, list, delete, convert."""
+"""Command line: index, search, extract, sql, query, list, delete, convert, gpu-info."""
 
 from __future__ import annotations
 
 import argparse
 import json
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from quarry.engine import Engine
 from quarry.operators import report
+from quarry.plans import sql as dialect
 from quarry.plans.tree import boolean_query
 from quarry.sources import convert
 
@@ -27,12 +29,22 @@ def count(text: str) -> int:
     return value
 
 
+def read_spec(text: str) -> dict:
+    """A query tree from JSON text, or from a file."""
+    return json.loads(text if text.lstrip().startswith("{") else Path(text).read_text())
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quarry")
     top.add_argument("--root", default="corpora", help="where the tables are")
     commands = top.add_subparsers(dest="command", required=True)
     add = commands.add_parser
-    add("index").add_argument("paths", nargs="+")
+    p = add("index")
+    p.add_argument("paths", nargs="+")
+    p.add_argument("--corpus", help="one corpus for all files, in place of one for each stem")
+    p = add("query")
+    p.add_argument("spec", help="a query tree as JSON, or the path of a file with one")
+    p.add_argument("--output")
     for name in ("search", "extract"):
         p = add(name)
         p.add_argument("query")
@@ -48,6 +60,8 @@ def parser() -> argparse.ArgumentParser:
     p = add("sql")
     p.add_argument("query")
     p.add_argument("--output")
+    p.add_argument("--tree", action="store_true", help="print the query tree as JSON and stop")
+    add("gpu-info")
     add("list")
     add("delete").add_argument("corpus")
     p = add("convert")
@@ -59,10 +73,13 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "sql" and a.tree:
+        print(json.dumps(dialect.parse(a.query), indent=2))
+        return 0
     spark = SparkSession.builder.getOrCreate()
     engine = Engine(spark, a.root)
     if a.command == "index":
-        engine.index(a.paths).show(truncate=False)
+        engine.index({a.corpus: a.paths} if a.corpus else a.paths).show(truncate=False)
     elif a.command in ("search", "extract") and (a.union or a.exclude):
         spec = boolean_query(a.query, a.exclude, a.union, a.corpus, a.min_score, a.max_chunks, a.semantic, a.threshold)
         rows = engine.query(spec)
@@ -74,9 +91,12 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(engine.search(a.query, a.corpus, a.top_k, a.min_score), indent=2))
     elif a.command == "extract":
         engine.extract(a.query, a.output, corpora=a.corpus, min_score=a.min_score, max_chunks=a.max_chunks).show()
-    elif a.command == "sql":
-        rows = engine.sql(a.query)
+    elif a.command in ("sql", "query"):
+        rows = engine.sql(a.query) if a.command == "sql" else engine.query(read_spec(a.spec))
         report.write_report(report.result_lines(rows), a.output) if a.output else rows.show(truncate=80)
+    elif a.command == "gpu-info":
+        amount = spark.conf.get("spark.executor.resource.gpu.amount", None)
+        print(json.dumps({"executor_gpus": int(amount or 0), "used": False}))
     elif a.command == "list":
         engine.catalog.corpora().orderBy("corpus").show(truncate=False)
     elif a.command == "delete":
@@ -85,6 +105,7 @@ def main(argv: list[str] | None = None) -> int:
         done = convert.convert(convert.read_files(spark, a.paths)).persist()
         body = "markdown" if a.format == "markdown" else "text"
         done.where("error is null").select("file_name", body).write.mode("overwrite").partitionBy("file_name").text(a.output)
+        done.where("error is not null").select("path", "error").show(truncate=False)
         convert.conversion_stats(done).show()
     return 0
 

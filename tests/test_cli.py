@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from quarry import cli
@@ -22,6 +24,16 @@ def test_index_list_sql_extract_delete(spark, tmp_path, capsys):
     assert "bread and butter" in capsys.readouterr().out
     cli.main([*root, "sql", "SELECT * FROM search('bread butter') WHERE min_score >= 0.1", "--output", str(tmp_path / "sql")])
     assert "[1] one - one.txt:1-3" in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "sql")).collect())
+    cli.main(["sql", "SELECT * FROM search('a') EXCEPT SELECT * FROM search('b')", "--tree"])
+    spec = json.loads(capsys.readouterr().out)
+    assert spec == {"op": "difference", "left": {"query": "a"}, "right": {"query": "b"}}
+    (tmp_path / "spec.json").write_text(json.dumps({"query": "bread butter", "exclude": "jam", "min_score": 0.1}))
+    cli.main([*root, "query", str(tmp_path / "spec.json"), "--output", str(tmp_path / "query")])
+    assert "one - one.txt:1-3" in "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "query")).collect())
+    cli.main([*root, "index", str(tmp_path / "one.txt"), "--corpus", "mine"])
+    assert "mine" in capsys.readouterr().out
+    cli.main(["gpu-info"])
+    assert json.loads(capsys.readouterr().out) == {"executor_gpus": 0, "used": False}
     cli.main([*root, "extract", "bread", "--exclude", "jam", "--min-score", "0.1", "--output", str(tmp_path / "cut")])
     cli.main([*root, "delete", "two"])
     cli.main([*root, "list"])

@@ -102,7 +102,17 @@ def test_docx_keeps_order_after_a_table(spark):
     assert done["/x/Doc.DOCX"]["markdown"].startswith("---\nsource: Doc.DOCX\npages: 2\nlanguage: english\n")
     assert "BadZipFile" in done["/x/bad.docx"]["error"] and "unsupported" in done["/x/y.odt"]["error"]
     stats = convert.conversion_stats(convert.convert(files)).first()
-    assert (stats["converted"], stats["failed"]) == (1, 2)
+    assert (stats["converted"], stats["failed"], stats["skipped"], stats["pages"]) == (1, 1, 1, 2)
+    assert stats["seconds"] > 0 and stats["seconds_per_page"] == pytest.approx(stats["seconds"] / 2)
+    none = convert.conversion_stats(convert.convert(files.where("path = '/x/y.odt'"))).first()
+    assert (none["converted"], none["skipped"], none["seconds"], none["seconds_per_file"]) == (0, 1, 0, None)
+
+
+def test_options_go_to_the_converters_that_know_them(spark, monkeypatch):
+    monkeypatch.setitem(convert.CONVERTERS, ".scan", lambda data, dpi=300: (f"at {dpi}", 1))
+    files = spark.createDataFrame([("/x/a.scan", b""), ("/x/b.txt", b"plain"), ("/x/c.txt", b" ")], "path string, content binary")
+    done = {r["path"]: (r["text"], r["error"]) for r in convert.convert(files, dpi=72, language="eng").collect()}
+    assert done == {"/x/a.scan": ("at 72", None), "/x/b.txt": ("plain", None), "/x/c.txt": (None, "ValueError: no text found")}
 
 
 def test_page_text(spark):
