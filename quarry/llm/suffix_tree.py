@@ -13,10 +13,9 @@ bytes sum to one. Scoring uses the longest retained suffix at each byte; the tre
 holds what follows retained contexts and nothing else, so it grows with what the
 corpus bears out.
 
-The tree goes to the tasks while it has at most `broadcast_entries`; beyond that
-each document's distinct runs are joined to it by shuffles, level by level. A run
-that most documents have is a skewed key of the documents' side, which Spark
-splits at run time, as a run stands once in the tree. Word counts, of the simple
+The tree goes to the tasks in blocks of about `broadcast_entries`, mostly one. Of
+more than one, each is a pass over the texts, which scores the bytes behind the
+pairs of bytes that the block has; runs of the texts are never shuffled. Word counts, of the simple
 model that the score is held against, stay distributed: only the `head_words`
 most frequent words, a fixed number, go to the tasks; all others are joined.
 
@@ -27,7 +26,9 @@ columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -201,10 +202,10 @@ class Tree:
 
 
 class TreeScores:
-    """Scores texts one after the other, some hundred thousand bytes at a time."""
+    """Scores texts one after the other, some hundred thousand bytes at a time; with `own`, only bytes behind these pairs."""
 
-    def __init__(self, tree: Tree):
-        self.tree, self.held, self.size, self.out = tree, [], 0, []
+    def __init__(self, tree: Tree, own: np.ndarray | None = None):
+        self.tree, self.own, self.held, self.size, self.out = tree, own, [], 0, []
 
     def add(self, tokens: list[bytes]) -> None:
         self.held.append(runs(tokens, self.tree.depth))
@@ -215,8 +216,12 @@ class TreeScores:
     def flush(self) -> None:
         if self.held:
             starts = np.cumsum([0, *map(len, self.held[:-1])])
-            keys, where = np.unique(np.concatenate(self.held), return_inverse=True)
-            self.out.append(np.add.reduceat(self.tree.score(keys)[where], starts))
+            every = np.concatenate(self.held)
+            mine = slice(None) if self.own is None else self.own[(every >> np.uint64(8 * (self.tree.depth - 2))) & np.uint64(PAIRS - 1)]
+            keys, where = np.unique(every[mine], return_inverse=True)
+            scores = np.zeros(len(every))
+            scores[mine] = self.tree.score(keys)[where]
+            self.out.append(np.add.reduceat(scores, starts))
             self.held, self.size = [], 0
 
     def done(self) -> np.ndarray:
@@ -224,29 +229,47 @@ class TreeScores:
         return np.concatenate(self.out) if self.out else np.zeros(0)
 
 
-def _score_by_joins(texts: DataFrame, found: DataFrame, contexts: DataFrame, depth: int, nothing: float) -> DataFrame:
-    """texts (_uid, _text) -> _uid, score: each document's runs meet the tables level by level, longest first."""
+PAIRS = 1 << 16
 
-    def run(batch: pa.RecordBatch) -> list:
-        each = [np.unique(runs(lower_words(t.as_py()), depth), return_counts=True) for t in batch.column(0)]
-        return [pa.array([k.view(np.int64) for k, _ in each], pa.list_(pa.int64())), pa.array([n for _, n in each], pa.list_(pa.int64()))]
-
-    seen = with_columns_from(texts, run, "runs array<long>, times array<long>", {"text": F.col("_text")}, ["_uid"])
-    open_ = seen.select("_uid", F.explode(F.arrays_zip("runs", "times")).alias("x")).select("_uid", F.col("x.runs").alias("all"), F.col("x.times").alias("times"), F.lit(0.0).alias("back"))
-    parts = []
-    for d in range(depth, -1, -1):
-        keyed = open_.withColumn("run", _shorter(F.col("all"), depth - d))
-        met = cut(keyed.join(found.where(F.col("level") == d).select("run", "log_p"), "run", "left"))
-        parts.append(met.where("log_p is not null").select("_uid", (F.col("times") * (F.col("log_p") + F.col("back"))).alias("s")))
-        open_ = met.where("log_p is null").select("_uid", "all", "times", "back", _context(F.col("run"), d).alias("context"))
-        if d:
-            open_ = open_.join(contexts.where(F.col("level") == d).select("context", "log_back"), "context", "left")
-            open_ = open_.select("_uid", "all", "times", (F.col("back") + F.coalesce("log_back", F.lit(0.0))).alias("back"))
-    parts.append(open_.select("_uid", (F.col("times") * (F.col("back") + nothing)).alias("s")))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy("_uid").agg(F.sum("s").alias("score"))
+
+def _pair(key: Column, level: Column) -> Column:
+    """The two bytes before the predicted one, of a run or a context of a level: what a tree is dealt out by."""
+    return F.call_function("shiftrightunsigned", key, level * 8 - 16).bitwiseAND(F.lit(PAIRS - 1)).cast("int")
+
+
+def deal(sizes: dict[int, int], blocks: int) -> np.ndarray:
+    """For each pair of bytes its block, of which each gets about as many entries: the largest first to the least filled."""
+    out, filled = np.zeros(PAIRS, np.int32), [(0, b) for b in range(blocks)]
+    for pair, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        held, b = heapq.heappop(filled)
+        out[pair] = b
+        heapq.heappush(filled, (held + n, b))
+    return out
+
+
+def _score_in_blocks(texts: DataFrame, found: DataFrame, contexts: DataFrame, depth: int, nothing: float, blocks: int) -> DataFrame:
+    """texts (_uid, _text) -> _uid, score: one pass over the texts for each block of the tree, which scores the bytes that follow this block's pairs. Levels 0 and 1 are in every block."""
+    by_pair = lambda df, key: df.withColumn("pair", F.when(F.col("level") >= 2, _pair(F.col(key), F.col("level"))))
+    found, contexts = by_pair(found, "run"), by_pair(contexts, "context")
+    both = found.select("pair").unionByName(contexts.select("pair")).where("pair is not null")
+    block_of = deal({r["pair"]: r["count"] for r in both.groupBy("pair").count().collect()}, blocks)  # at most 65,536 rows
+    passes = []
+    for b in range(blocks):
+        mine = texts.sparkSession.createDataFrame([(int(x),) for x in np.flatnonzero(block_of == b)], "pair int")
+        part = lambda df: df.join(F.broadcast(mine), "pair", "left_semi").drop("pair").unionByName(df.where("pair is null").drop("pair")).toArrow()  # noqa: B023, E731
+        sent = texts.sparkSession.sparkContext.broadcast((Tree(part(found), part(contexts), depth, nothing), block_of == b))
+
+        def run(batch: pa.RecordBatch, sent=sent) -> list:
+            tree, own = sent.value
+            scores = TreeScores(tree, own)
+            for text in batch.column(0):
+                scores.add(lower_words(text.as_py()))
+            return [pa.array(scores.done())]
+
+        # written, so that each block is held by its own pass alone
+        passes.append(cut(with_columns_from(texts, run, "part double", {"text": F.col("_text")}, ["_uid"])))
+        sent.unpersist()
+    return reduce(DataFrame.unionByName, passes).groupBy("_uid").agg(F.sum("part").alias("score"))
 
 
 def score_texts(
@@ -267,10 +290,10 @@ def score_texts(
     found, contexts = cut(found), cut(contexts)
     n_runs = counted.agg(F.sum("n")).first()[0] or 0
     nothing = float(np.log10(0.5 / (n_runs + 128)))
-    small = found.count() + contexts.count() <= broadcast_entries
+    blocks = max(1, -(-(found.count() + contexts.count()) // broadcast_entries)) if depth > 2 else 1
     context = docs.sparkSession.sparkContext
     head = context.broadcast((top.column("word").to_pylist(), top.column("c").to_pylist()))
-    tree = context.broadcast(Tree(found.toArrow(), contexts.toArrow(), depth, nothing)) if small else None
+    tree = context.broadcast(Tree(found.toArrow(), contexts.toArrow(), depth, nothing)) if blocks == 1 else None
     made: dict = {}
 
     def run(batch: pa.RecordBatch) -> list:
@@ -306,7 +329,7 @@ def score_texts(
         return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores.done() if scores else np.zeros(len(n))), lists]
 
     new = "n_tokens long, head_known long, head_base double, tree_score double, rare array<struct<word:binary,times:long>>"
-    keep = ["doc_id", "learned", "_uid", *([] if small else ["_text"])]
+    keep = ["doc_id", "learned", "_uid", *([] if blocks == 1 else ["_text"])]
     # the ids are written with the rows, so they stay the same from here on
     scored = cut(with_columns_from(texts.withColumn("_uid", F.monotonically_increasing_id()), run, new, {"text": F.col("_text")}, keep))
     rare = scored.select("_uid", F.explode("rare").alias("x")).select("_uid", F.col("x.word").alias("word"), F.col("x.times").alias("times"))
@@ -314,8 +337,8 @@ def score_texts(
     met = rare.join(words, "word").groupBy("_uid").agg(F.sum("times").alias("rare_known"), F.sum(gain).alias("rare_gain"))
     out = scored.join(met, "_uid", "left")
     score = F.col("tree_score")
-    if not small:
-        out = out.join(_score_by_joins(scored.select("_uid", "_text"), found, contexts, depth, nothing), "_uid")
+    if blocks > 1:
+        out = out.join(_score_in_blocks(scored.select("_uid", "_text"), found, contexts, depth, nothing, blocks), "_uid")
         score = F.col("score")
     n_rare = F.aggregate("rare", F.lit(0).cast("long"), lambda a, x: a + x["times"])
     return out.select(

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -105,7 +107,7 @@ def judge_urls(
         known = outcomes.where("page_id is not null and bad is not null").select("page_id", F.col("bad").cast("int").alias("bad"))
         seen = judged.select("page_id", "host").join(known, "page_id", "left").select("host", "bad")
     counts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    verdicts = host_reputation(counts, suffixes, z)
+    verdicts = host_reputation(cut(counts), suffixes, z)  # read for each level and its strength
     learned = F.when(F.col("bad_bound") >= block_rate, "block").otherwise("allow")
     return judged.join(verdicts, "host").select(
         "page_id",

@@ -61,6 +61,33 @@ def test_quality(spark, labelled):
     assert quality.score_quality(docs, None).first()["score"] == 0.5 and quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_risk_and_prior_against_plain_ones():
+    """Two known densities: the prior is bounded from above and near, and the fit has the least non-negative risk."""
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (4000, 3))
+    for prior in (0.3, 0.7):
+        n = int(4000 * prior)
+        mixed = np.concatenate([good[:n], bad[: 4000 - n]])
+        mixed = mixed[rng.permutation(len(mixed))]
+        trusted = rng.normal(1.5, 1, (3000, 3))
+        ones = lambda x: np.hstack([x, np.ones((len(x), 1))])
+        found = quality.estimate_prior(ones(trusted), ones(mixed))
+        assert prior - 0.05 < found < prior + 0.12
+        model = quality.fit(trusted, mixed)
+
+        def risk(w, b, own=model):
+            z = lambda x: np.clip((x - own.centre) / own.scale, -8, 8) @ w + b
+            loss = lambda s: np.log1p(np.exp(-s))
+            return own.prior * loss(z(trusted)).mean() + max(0.0, loss(-z(mixed)).mean() - own.prior * loss(-z(trusted)).mean()) + 0.5e-4 * (w @ w + b * b)
+
+        least = risk(model.weights, model.bias)
+        for _ in range(50):
+            step = rng.normal(0, 0.3, 4)
+            assert least <= risk(model.weights + step[:3], model.bias + step[3]) + 1e-4
+        right = np.concatenate([model.score(good) >= 0.5, model.score(bad) < 0.5])
+        assert right.mean() > 0.97
+
+
 def test_quality_learns_without_negative_labels(spark, labelled):
     docs, labels, truth = labelled
     model = quality.train(docs, labels.where("quality = 1"), every())

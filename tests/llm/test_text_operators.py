@@ -228,7 +228,7 @@ def test_public_tokens_equal_the_whole_encoding(corpus):
 def test_suffix_tree(spark, corpus):
     docs = make(spark, corpus)
     train = F.col("doc_id") % 5 != 1
-    runs = [suffix_tree.score_texts(docs, train, depth=3, broadcast_entries=limit, head_words=head) for limit, head in ((1 << 20, 20), (0, 1000))]
+    runs = [suffix_tree.score_texts(docs, train, depth=3, broadcast_entries=limit, head_words=head) for limit, head in ((1 << 20, 20), (8000, 1000))]
     a, b = ({r["doc_id"]: r for r in df.collect()} for df in runs)
     counts = collections.Counter()
     for i, t in corpus:
@@ -289,7 +289,7 @@ def test_suffix_tree_scores_are_those_of_a_plain_one(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit("old"))
     for depth in (6, 7):
         plain = plain_tree([t or "" for i, t in texts if i is not None and i % 3], depth, 2, 0.3, 4.0)
-        for limit in (1 << 20, 0):
+        for limit in (1 << 20, 120):
             found = suffix_tree.score_texts(docs, F.col("doc_id") % 3 != 0, depth=depth, broadcast_entries=limit).collect()
             got = collections.defaultdict(list)
             for r in found:
