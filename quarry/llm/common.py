@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A-Z to a-z on UTF-8 bytes.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -104,6 +105,13 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % modulus
 
 
+def integer_ids(docs: DataFrame) -> DataFrame:
+    """`docs`, if its doc_id is of an integer type; ids of other types have no order that the results could follow."""
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where all of the session is one process, as in tests."""
     context = spark.sparkContext

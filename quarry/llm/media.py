@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -158,19 +159,28 @@ PDF_END = re.compile(rb"startxref\s+(\d{1,12})\s*%%EOF")
 PDF_XREF = re.compile(rb"\s*(?:xref|\d+\s+\d+\s+obj)")
 
 
+@lru_cache(1)
+def _pdf_marks(b: bytes) -> tuple[list[int], list[int], list[re.Match]]:
+    """Where headers, first end marks and whole end marks stand; found once for all hits of a value."""
+    return [m.start() for m in re.finditer(rb"%PDF-", b)], [m.start() for m in re.finditer(rb"startxref", b)], list(PDF_END.finditer(b))
+
+
 def _pdf(b: bytes, at: int) -> int:
     """To the end mark of the last revision. One behind a further header is this file's if its offset, and not that of the nearest header, leads to a cross-reference."""
     if not b[at + 5 : at + 8].replace(b".", b"").isdigit():
         return 0
-    xref = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", xref) if xref >= 0 else -1
+    headers, xrefs, marks = _pdf_marks(b)
+    xref = bisect_left(xrefs, at)
+    end = b.find(b"%%EOF", xrefs[xref]) if xref < len(xrefs) else -1
     if end < 0:
         return 0
     end += 5
-    header, seen = -1, end
-    for mark in PDF_END.finditer(b, end):
-        near = b.rfind(b"%PDF-", seen, mark.start())
-        header, seen = max(header, near), mark.end()
+    after, last = end, len(marks)
+    for i in range(bisect_left(marks, end, key=re.Match.start), last):
+        mark = marks[i]
+        # the nearest header before the mark, if it is not this file's own
+        near = bisect_left(headers, mark.start()) - 1
+        header = headers[near] if near >= 0 and headers[near] >= after else -1
         offset = int(mark[1])
         leads = lambda base: PDF_XREF.match(b, base + offset, mark.start()) is not None  # noqa: B023, E731
         if header < 0 or (leads(at) and not leads(header)):
@@ -178,16 +188,23 @@ def _pdf(b: bytes, at: int) -> int:
     return end - at
 
 
-def _zip(b: bytes, at: int) -> int:
-    """To the first end record whose directory lies where it says; those of stored archives inside do not."""
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
+@lru_cache(1)
+def _zip_ends(b: bytes) -> dict[int, int]:
+    """Start of an archive to its end, by the first end record whose directory lies where that start says; those of stored archives inside say their own."""
+    out: dict[int, int] = {}
+    for mark in re.finditer(rb"PK\x05\x06", b):
+        end = mark.start()
+        if end > len(b) - 22:
+            break
         size, start, note = struct.unpack_from("<IIH", b, end + 12)
-        ok = at + start + size == end and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06")
-        if ok and end + 22 + note <= len(b):
-            return end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return 0
+        at = end - size - start
+        if at >= 0 and b[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end + 22 + note <= len(b):
+            out.setdefault(at, end + 22 + note)
+    return out
+
+
+def _zip(b: bytes, at: int) -> int:
+    return max(0, _zip_ends(b).get(at, 0) - at)
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -266,7 +283,7 @@ def _sniff(data: pa.Array) -> pa.Array:
 
 
 def sniff(df: DataFrame, media: str, declared: str, into: str = "sniffed") -> DataFrame:
-    """Adds struct `into` (see SNIFF_TYPE) and `corrected_type`: what the bytes prove, else what was declared."""
+    """Adds struct `into` (see SNIFF_TYPE) and `corrected_type`: what the bytes prove, else what was declared. Columns of these names give way."""
     found = F.arrow_udf(_sniff, SNIFF_TYPE)
     return df.withColumn(into, found(F.col(media))).withColumn(
         "corrected_type", F.when(F.col(f"{into}.valid"), F.col(f"{into}.type")).otherwise(F.col(declared))
@@ -274,14 +291,11 @@ def sniff(df: DataFrame, media: str, declared: str, into: str = "sniffed") -> Da
 
 
 def carve(df: DataFrame, media: str, into: str = "sniffed") -> DataFrame:
-    """One row for each embedded medium of each row: `carved_start`, `carved_type`, `carved` (its bytes); sliced in the JVM."""
-    return (
-        df.select("*", F.explode(f"{into}.embedded").alias("_span"))
-        .withColumn("carved_start", F.col("_span.start"))
-        .withColumn("carved_type", F.col("_span.type"))
-        .withColumn("carved", F.substring(F.col(media), (F.col("_span.start") + 1).cast("int"), F.col("_span.length").cast("int")))
-        .drop("_span")
-    )
+    """One row for each embedded medium of each row: `carved_start`, `carved_type`, `carved` (its bytes); sliced in the JVM. Columns of these names give way; _quarry_span is the operator's own."""
+    span = F.col("_quarry_span")
+    spread = df.select("*", F.explode(f"{into}.embedded").alias("_quarry_span"))
+    cut = F.substring(F.col(media), (span["start"] + 1).cast("int"), span["length"].cast("int"))
+    return spread.withColumns({"carved_start": span["start"], "carved_type": span["type"], "carved": cut}).drop("_quarry_span")
 
 
 def padded(data: Column, to: int = 64) -> Column:

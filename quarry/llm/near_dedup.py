@@ -18,7 +18,7 @@ there are as many bands as bring that to `miss`.
 
 Defined cases: a text with fewer words than a shingle is one shingle; texts
 without words, and null texts, have none and are linked with nothing; each row
-is a document of its own, so an id that repeats, or is null, links nothing; a
+is a document of its own (ids are integers), so an id that repeats, or is null, links nothing; a
 null id counts as the largest. A component has the smallest id in it as
 `component_id`, one of rows without ids a negative number made from a hash of
 its first text; one row of it is `kept`, the first by id and hash of the text.
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import RollingHash, as_bytes, components, cut, ints_of, lower_words, mix, with_columns_from, word_hashes
+from quarry.llm.common import RollingHash, as_bytes, components, cut, integer_ids, ints_of, lower_words, mix, with_columns_from, word_hashes
 
 ROLLING = RollingHash()
 ROWS = 5
@@ -255,7 +255,7 @@ def _rest_tasks(members: DataFrame, rows: int, items: int) -> DataFrame:
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     text = as_bytes()
-    return docs.select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_high"), F.xxhash64(F.lit(1), text).alias("_low"), text.alias("_text"))
+    return integer_ids(docs).select(*more, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_high"), F.xxhash64(F.lit(1), text).alias("_low"), text.alias("_text"))
 
 
 def near_duplicates(

@@ -20,6 +20,7 @@ window of words lose none; a repeat within one document alone stays; documents
 with equal ids lose nothing to each other, and each loses what a smaller id has;
 a null id counts as larger than all others, and documents without one come in
 the order of 128 bits of hash of their texts, of exact copies one first.
+Ids are integers; others are refused.
 A row is known by its id and 64 bits of hash of the text, without an id by 128.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import RollingHash, as_bytes, mix, no_rows, sliding_min, word_hashes, words
+from quarry.llm.common import RollingHash, as_bytes, integer_ids, mix, no_rows, sliding_min, word_hashes, words
 
 ROLLING = RollingHash()
 #: A row's key: `_id` is the id or, where that is null, further bits of the text's hash.
@@ -182,6 +183,7 @@ def tagged(docs: DataFrame, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """`_null`, `_id`, `_k`, `_text` and, if any are to be kept, a struct `_row` of these columns. Where none are, the shuffle of the texts by `_k` is one for all joins of a query."""
     row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")] if keep else []
     doc_id, text = F.col("doc_id").cast("long"), as_bytes()
+    integer_ids(docs)
     key = [doc_id.isNull().alias("_null"), F.coalesce(doc_id, F.xxhash64(F.lit(1), text)).alias("_id"), F.xxhash64(doc_id, text).alias("_k")]
     return docs.select(*row, *key, text.alias("_text"))
 

@@ -61,6 +61,17 @@ def test_quality(spark, labelled):
     assert quality.score_quality(docs, None).first()["score"] == 0.5 and quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_of_odd_rows(spark, labelled):
+    """String ids, clashing names, a repeated row, one very long text."""
+    docs, labels, _ = labelled
+    model = quality.train(docs, labels, every())
+    odd = spark.createDataFrame([("a", "some words", 1), ("a", "some words", 1), (None, None, 2), ("b", "good day " * 100_000, 3)], "doc_id string, text string, predicted int")
+    out = quality.score_quality(odd, model)
+    assert out.columns == ["doc_id", "text", "score", "predicted"]
+    rows = out.collect()
+    assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows) and len({r["score"] for r in rows if r["doc_id"] == "a"}) == 1
+
+
 def test_quality_risk_and_prior_against_plain_ones():
     """Two known densities: the prior is bounded from above and near, and the fit has the least non-negative risk."""
     rng = np.random.default_rng(5)

@@ -389,6 +389,22 @@ def test_media_to_the_last_end_mark():
     assert spans(outer[:-30])[0] == 0
 
 
+def test_media_of_many_marks_takes_no_square_of_time():
+    import time
+
+    text = b"%PDF-1.4 PK\x03\x04 startxref x PK\x05\x06 " * 20_000
+    began = time.time()
+    assert media.sniff_bytes(text)["embedded"] == []
+    assert time.time() - began < 10
+
+
+def test_ids_of_other_types_are_refused(spark):
+    docs = spark.createDataFrame([("a", "some words")], "doc_id string, text string")
+    for run in (near_dedup.near_duplicates, near_dedup.drop_near_duplicates, substring_dedup.remove_repeats):
+        with pytest.raises(TypeError):
+            run(docs)
+
+
 def test_media_at_block_edges():
     for at in (media.BLOCK - 3, media.BLOCK, media.BLOCK + 1):
         found = media.sniff_bytes(b"." * at + PNG)
@@ -404,6 +420,11 @@ def test_chat(spark):
     assert ann["rendered"] == "<|system|>\nBe kind.<|end|>\n<|assistant|>\nHi < |end|><|end|>\n<|user:bob|>\n<|end|>\n<|user:unknown|>\n?<|end|>\n"
     assert [ann["rendered"][s["start"] : s["end"]] for s in ann["train_spans"]] == ["Hi < |end|><|end|>"]
     assert (ann["n_turns"], ann["n_trained"], got[1, "bob", 0]["n_trained"], got[3, "ann", 1]["n_trained"]) == (4, 1, 1, 0)
+    alike = [(1, 0, "a|b", "x"), (1, 1, "a_b", "y"), (1, 2, "a%7Cb", "z"), (1, 3, "<\n>", "w " * 200_000)]
+    odd = chat.rotate_perspectives(spark.createDataFrame(alike, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("old"))).collect()
+    assert {r["speaker"]: r["n_trained"] for r in odd} == {"a%7Cb": 1, "a_b": 1, "a%257Cb": 1, "%3C%0A%3E": 1}
+    assert all(len(r["rendered"]) > 400_000 for r in odd)
+    assert chat.rotate_perspectives(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_urls(spark):
