@@ -26,6 +26,7 @@ from quarry.schema import CHUNKS, CORPORA, names
 
 SETTINGS = ["embedding_model", "embedding_dim", "index_type", "normalized"]
 SEEN = ["corpus", "file_path", "file_modified", "file_size", "embedding_model", "chunk_size"]
+CONTEXT_LENGTH = 256
 REMOTE = ("http://", "https://", "git@", "ssh://", "git://")
 BINARY_FILES = "path string, modificationTime timestamp, length long, content binary"
 Inputs = Sequence[str] | Mapping[str, str | Sequence[str]]
@@ -127,8 +128,10 @@ def named(files: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, context_length: int = 256):
-        self.spark, self.root, self.embedder, self.context_length = spark, root.rstrip("/"), embedder or HashedWords(), context_length
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, context_length: int | None = None):
+        self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or HashedWords()
+        # what the caller says, else the model
+        self.context_length = context_length or getattr(self.embedder, "context_length", None) or CONTEXT_LENGTH
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:

@@ -11,7 +11,7 @@ from quarry.engine import Engine
 from quarry.functions import embedding, text
 from quarry.operators.chunk import chunk_lines
 from quarry.sources import convert
-from quarry.sources.catalog import input_error, read_texts
+from quarry.sources.catalog import Catalog, input_error, read_texts
 from quarry.streaming.ingest import watch
 
 
@@ -210,6 +210,16 @@ def test_files_that_become_blank_or_are_no_text(spark, tmp_path):
     assert {(r["corpus"], r["chunk_count"], bool(r["error"])) for r in got} == {("c", 0, True), ("d", 0, True), ("e", 1, False)}
 
 
+def test_a_search_reads_its_corpora_alone(engine, spark, tmp_path):
+    plan = engine.rows("bread", ["food"], 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*corpus[^\]]*food", plan)
+
+    class Long(embedding.HashedWords):
+        context_length = 1000
+
+    assert Catalog(spark, str(tmp_path), Long()).context_length == 1000 and engine.catalog.context_length == 256
+
+
 def test_search_as_a_table_function(engine, spark):
     engine.register_search("find")
     rows = spark.sql("SELECT corpus, max(score) AS best FROM find('bread butter') WHERE score > 0.1 GROUP BY corpus ORDER BY best DESC").collect()
