@@ -186,7 +186,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << SHIFT) | table[:, 1], "first": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 10_000, spread: tuple[str, ...] = ("doc_id", "piece", "ids_crc32", "turn")) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 1_000, spread: tuple[str, ...] = ("doc_id", "piece", "ids_crc32", "turn")) -> DataFrame:
     """parts (..., length from 1 to capacity) -> the same rows with sequence_id and offset.
 
     Pieces of one length are numbered in groups of about `group_rows`, which the
