@@ -208,9 +208,10 @@ def _chunks(n: Column, weight: Column, rows: int, items: int) -> Column:
 def _star_tasks(members: DataFrame, rows: int, items: int) -> DataFrame:
     degree = members.groupBy("_id").agg(F.sum("size").alias("degree"))
     ranked = members.join(degree, "_id")
-    hubs = ranked.groupBy("bucket").agg(F.min_by("_id", F.struct(-F.col("degree"), "_id")).alias("hub"))
+    # written, as a join with a scan is split at run time where a bucket or hub is hot, and one with an aggregate is not
+    hubs = cut(ranked.groupBy("bucket").agg(F.min_by("_id", F.struct(-F.col("degree"), "_id")).alias("hub")))
     pairs = members.join(hubs, "bucket").where("_id <> hub").groupBy("hub", "_id").agg(F.max("n").alias("n"))
-    spread = pairs.groupBy("hub").agg(_chunks(F.count("*"), F.sum("n"), rows, items).alias("chunks"))
+    spread = cut(pairs.groupBy("hub").agg(_chunks(F.count("*"), F.sum("n"), rows, items).alias("chunks")))
     dealt = pairs.join(spread, "hub").select("hub", "_id", F.pmod(F.xxhash64("_id"), "chunks").alias("chunk"))
     task = F.xxhash64("hub", "chunk").alias("task")
     of_hub = dealt.select("hub", "chunk").distinct().select(task, F.col("hub").alias("_id"), F.lit(True).alias("left"))
@@ -232,7 +233,7 @@ def _rest_tasks(members: DataFrame, rows: int, items: int) -> DataFrame:
             _chunks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w"), rows, items).alias("rest_chunks"),
         )
     )
-    inside = members.join(buckets, "bucket")
+    inside = members.join(cut(buckets), "bucket")
     main = F.col("root") == F.col("main")
     own = F.pmod(F.xxhash64("_id"), F.when(main, F.col("main_chunks")).otherwise(F.col("rest_chunks"))).cast("int")
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
