@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import docorder, match, report, setops
+from quarry.operators import docorder, match, report, retrieve, setops
 
 SCHEMA = "corpus string, location string, score double, chunk string"
 
@@ -118,3 +118,17 @@ def test_matches_in_blocks(spark, block):
     assert {r["doc_id"]: r["similarity"] for r in best} == pytest.approx(dict(enumerate(scores.max(1))))
     assert match.best_match(a, b.limit(0), block).count() == match.close_pairs(a, b.limit(0), 0.0, block).count() == 0
     assert match.best_match(a.limit(0), b, block).count() == match.close_pairs(a.limit(0), b, 0.0, block).count() == 0
+
+
+def test_search_many_is_each_search_by_itself(spark):
+    rng = np.random.default_rng(3)
+    vectors = [v / np.linalg.norm(v) for v in rng.normal(size=(60, 4))]
+    schema = "corpus string, source string, chunk_index int, line_start int, line_end int, chunk string, embedding array<double>"
+    chunks = spark.createDataFrame([("ab"[i % 2], "f", i, i, i, f"t{i}", v.tolist()) for i, v in enumerate(vectors)] + [("a", "f", 99, 99, 99, "none", None)], schema).repartition(3)
+    asked = [v.tolist() for v in vectors[:3]]
+    for corpora, least, most in ((None, 0.2, None), (["b"], 0.2, 3), (None, 0.5, 4), (["a"], -1.0, None)):
+        rows = retrieve.search_many(chunks, asked, corpora, least, most).collect()
+        for i, v in enumerate(asked):
+            alone = retrieve.search_rows(chunks, v, corpora, least, most).collect()
+            key = lambda r: (r["corpus"], r["chunk_index"], r["location"], round(r["score"], 9))
+            assert sorted(key(r) for r in rows if r["_ord"] == i) == sorted(map(key, alone))
