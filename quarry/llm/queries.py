@@ -37,10 +37,42 @@ def op2_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The WAVE file and its digests by bytes; `feature` holds for texts that have no media of their own, as those of the tables.
+OP2_SQL = """
+with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
+padded as (select doc_id, octet_length(b) as n, b || unhex(repeat('00', case when n = 0 then 64 else (64 - n % 64) % 64 end)) as payload from raw),
+stored as (
+  select *, octet_length(payload) as size, hex(payload) as digits,
+         'RIFF'::blob || unhex(printf('%02X%02X%02X%02X', (size + 36) & 255, (size + 36) >> 8 & 255, (size + 36) >> 16 & 255, (size + 36) >> 24 & 255)) || 'WAVEfmt '::blob
+         || unhex('1000000001000100401F0000401F000001000800') || 'data'::blob || unhex(printf('%02X%02X%02X%02X', size & 255, size >> 8 & 255, size >> 16 & 255, size >> 24 & 255)) || payload as media
+  from padded
+)
+select doc_id, n::bigint as n_bytes, size::bigint as payload_bytes, sha256(payload) as payload_sha256,
+       xor(list_reduce(list_transform(range(64), lambda i: ('0x' || substr(digits, len(digits) - 127 + 2 * i, 2))::bigint),
+           lambda c, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, byte)), 4294967295::bigint), 4294967295) as tail_crc32,
+       octet_length(media)::bigint as media_bytes, sha256(media) as media_sha256, 'audio/wav;valid=true;embedded=' as feature
+from stored
+"""
+
+
 def op3_rabin_karp_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
 
 
+_BLANK = r"[\x20\x09-\x0D]+"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP3_SQL = rf"""
+with parted as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}'), lambda w: w <> '') as ws from documents),
+windows as (select doc_id, i, array_to_string(ws[i:i + 49], ' ') as said from (select *, unnest(range(1, len(ws) - 48)) as i from parted)),
+firsts as (select said, min(doc_id) as least from windows group by said),
+gone as (select distinct doc_id, i + o as i from windows join firsts using (said), range(50) r(o) where least < doc_id),
+each as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as i from parted),
+kept as (select doc_id, count(*) as n, string_agg(w, ' ' order by i) as said from each anti join gone using (doc_id, i) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(said, '')) as kept_sha256 from parted left join kept using (doc_id)
+"""
+
+
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("train_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
@@ -135,6 +167,18 @@ def op6_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+OP6_SQL = rf"""
+with recursive parted as (select doc_id, list_filter(string_split_regex({_LOW}, '{_BLANK}'), lambda w: w <> '') as ws from documents),
+sets as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as said from (select *, unnest(range(1, greatest(2, len(ws) - 3))) as i from parted where len(ws) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from sets a join sets b on a.said = b.said and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+ways as (select a, b from links union all select b, a from links),
+reached as (select doc_id, doc_id as other from documents union select doc_id, b from reached join ways on other = a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, min(other) as component_id, doc_id = min(other) as kept from reached left join sizes using (doc_id) group by doc_id, n
+"""
+
+
 def op7_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 4) != 2)
@@ -154,6 +198,19 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = rf"""
+with d as (select doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select item_id::varchar as item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws, least(10, len(ws)) as m from benchmark),
+asked as (select distinct item_id, m, array_to_string(ws[i:i + m - 1], ' ') as said from (select *, unnest(range(1, len(ws) - m + 2)) as i from b where m > 0)),
+windows as (select doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') as said from (select *, unnest(range(1, len(ws) - m + 2)) as i from d, (select distinct m from asked) where len(ws) >= m)),
+met as (select doc_id, m, i, item_id from windows join asked using (m, said)),
+hits as (select doc_id, count(distinct i + o) as n_hit from met, range(10) r(o) where o < m group by doc_id),
+names as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as listed from (select distinct doc_id, item_id from met where item_id is not null) group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join names using (doc_id)
+"""
+
+
 def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), id_bucket("doc_id", 3) != 1)
@@ -173,4 +230,11 @@ QUERIES = {
     "op9_host_reputation": op9_host_reputation,
     "op10_nearest_toxic": op10_nearest_toxic,
 }
-ORACLE_SQL = {"op4_perspective_rotation": OP4_SQL, "op9_host_reputation": OP9_SQL}
+ORACLE_SQL = {
+    "op2_media_signatures": OP2_SQL,
+    "op3_rabin_karp_windows": OP3_SQL,
+    "op6_bayesian_minhash": OP6_SQL,
+    "op8_winnowing": OP8_SQL,
+    "op4_perspective_rotation": OP4_SQL,
+    "op9_host_reputation": OP9_SQL,
+}
