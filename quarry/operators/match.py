@@ -1,7 +1,7 @@
 """Vectors against vectors: best match and all close pairs, exactly, in blocks.
 
-The right side goes to the tasks while it has at most `block` vectors, counted
-first. Beyond that both sides are dealt into blocks of about that size, each left
+The right side goes to the tasks while it has at most `block` vectors: one more is
+asked for, to see. Beyond that both sides are dealt into blocks of about that size, each left
 block meets each right block in one task, and only what was asked for leaves it.
 """
 
@@ -35,12 +35,17 @@ def _meet(left: DataFrame, right: DataFrame, n_right: int, block: int, run, sche
     return sides[0].groupBy("a", "b").cogroup(sides[1].groupBy("a", "b")).applyInArrow(run, schema)
 
 
+def few_vectors(rows: DataFrame, block: int = BLOCK) -> list | None:
+    """The distinct embeddings, if there are at most `block`."""
+    found = rows.where("embedding is not null").select("embedding").distinct().limit(block + 1).collect()
+    return [r["embedding"] for r in found] if len(found) <= block else None
+
+
 def best_match(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct `embedding`s of `left` with `similarity`, the largest inner product with any of `right`; none where `right` is empty. Rows without an embedding are left out."""
     left, right = (x.where("embedding is not null").select("embedding").distinct() for x in (left, right))
-    n = right.count()
-    if n <= block:
-        vectors = [r["embedding"] for r in right.limit(block).collect()]
+    vectors = few_vectors(right, block)
+    if vectors is not None:
         return left.withColumn("similarity", best_similarity(F.col("embedding"), vectors)) if vectors else left.limit(0).withColumn("similarity", F.lit(0.0))
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
@@ -52,7 +57,7 @@ def best_match(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFra
         return pa.Table.from_arrays([vectors, pa.array(best)], schema=kind)
 
     kind = left.schema["embedding"].dataType.simpleString()
-    return _meet(left, right, n, block, run, f"embedding {kind}, similarity double").groupBy("embedding").agg(F.max("similarity").alias("similarity"))
+    return _meet(left, right, right.count(), block, run, f"embedding {kind}, similarity double").groupBy("embedding").agg(F.max("similarity").alias("similarity"))
 
 
 def close_pairs(left: DataFrame, right: DataFrame, min_score: float, block: int = 4096) -> DataFrame:
@@ -66,9 +71,9 @@ def close_pairs(left: DataFrame, right: DataFrame, min_score: float, block: int
         return pa.RecordBatch.from_arrays([items.take(pa.array(item)), ids.take(pa.array(row)), pa.array(scores[row, item])], names=["item_id", "doc_id", "score"])
 
     left, right = left.select("doc_id", "embedding"), right.select("item_id", "embedding")
-    n = right.count()
+    asked = right.limit(block + 1).toArrow().combine_chunks()
+    n = asked.num_rows
     if n <= block:
-        asked = right.limit(block).toArrow().combine_chunks()
         items = asked.column("item_id").combine_chunks()
         matrix = matrix_of(asked.column("embedding").combine_chunks()).T if n else np.zeros((0, 0))
 
@@ -85,7 +90,7 @@ def close_pairs(left: DataFrame, right: DataFrame, min_score: float, block: int
             return pa.Table.from_arrays([columns[2].slice(0, 0), columns[0].slice(0, 0), pa.array([], pa.float64())], names=["item_id", "doc_id", "score"])
         return pa.Table.from_batches([pairs(columns[0], columns[1], columns[2], matrix_of(columns[3]).T)])
 
-    return _meet(left, right, n, block, run, schema)
+    return _meet(left, right, right.count(), block, run, schema)
 
 
 def search_texts(texts: DataFrame, queries: DataFrame, min_score: float, embedder: Embedder, block: int = 4096) -> DataFrame:

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.match import BLOCK, best_match
+from quarry.functions.vector import best_similarity
+from quarry.operators.match import BLOCK, best_match, few_vectors
 from quarry.schema import KEY
 
 
@@ -49,7 +50,10 @@ def semantic_difference(a: DataFrame, b: DataFrame, threshold: float = 0.7, bloc
     Both sides carry unit `embedding`s; rows without one stay. The exact
     difference comes first, as it is cheap.
     """
-    left = difference(a, b)
+    left, few = difference(a, b), few_vectors(b, block)
+    if few is not None:
+        near = left.withColumn("_near", best_similarity(F.col("embedding"), few)) if few else left.withColumn("_near", F.lit(None).cast("double"))
+        return near.where(F.col("_near").isNull() | (F.col("_near") < threshold)).select(*a.columns)
     near = best_match(left, b, block).where(F.col("similarity") >= threshold).select("embedding")
     return left.join(near, "embedding", "left_anti").select(*a.columns)
 
