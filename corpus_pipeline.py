@@ -22,13 +22,18 @@ from quarry.llm import decontamination, near_dedup, packing, quality, substring_
 from quarry.llm.common import CUTS, cut, drop_cuts, id_bucket
 
 
+def apart(docs: DataFrame, *but: str) -> DataFrame:
+    """doc_id and text, and all columns, `but` some, packed away, so that none of them meets a new column of its name."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("_row"))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier rejects go; where no label lets one be learned, all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, id_bucket("doc_id", 4) != 2)
     if model is None:
         return docs
-    return quality.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score_quality(apart(docs), model, keep=["_row"]).where("predicted = 1").select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,17 +43,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 50 that an earlier document has go; what is left keeps its row, with n_chars, where there is one, counted anew."""
-    left = substring_dedup.remove_repeats(docs)
+    left = substring_dedup.remove_repeats(apart(docs, "text"), keep=["_row"])
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten or more words of a benchmark item in a row go; an item of fewer words has no such row."""
     words = F.regexp_count("text", F.lit(r"[^\x00-/:-@\[-`{-\x7f]+"))  # as alnum_words parts them
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(words >= 10)
-    return decontamination.find_contamination(docs, benchmark).where("n_hit = 0").select(*docs.columns)
+    return decontamination.find_contamination(apart(docs), benchmark, keep=["_row"]).where("n_hit = 0").select("_row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
