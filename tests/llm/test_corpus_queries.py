@@ -119,7 +119,7 @@ def odd_rows(spark):
     """Nulls, empties, repeats, ties, a long text, a null id, and a column more than documents have."""
     say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     rows = [(1, say("a", 60)), (2, say("a", 60)), (2, say("a", 60)), (3, None), (4, ""), (4, ""), (None, say("b", 70)), (None, say("c", 70)), (5, say("b", 70) + " end of it"), (6, "x y " * 30_000), (7, say("q", 10)), (8, " \n")]
-    return spark.createDataFrame([(i, t, "la", "s", len(t or ""), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string")
+    return spark.createDataFrame([(i, t, "la", "s", len(t or ""), "extra", "extra", "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score string, n_words string, n_hit string")
 
 
 @pytest.fixture
@@ -138,7 +138,8 @@ def test_stages_on_odd_rows(spark, folder, stage):
     got = [(r["doc_id"], r["text"]) for r in out.collect()] if name != "packing" else []
     key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
     if name != "packing":
-        assert out.columns == docs.columns and {r["score"] for r in out.collect()} <= {"extra"}
+        assert out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()
+        assert {x for r in out.collect() for x in (r["score"], r["n_words"], r["n_hit"])} <= {"extra"}
     if name == "quality":
         assert set(got) <= set(kept)
     elif name == "near_dedup":
