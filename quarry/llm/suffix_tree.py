@@ -135,7 +135,8 @@ def grow(counted: DataFrame, depth: int, least: int = 2, cost: float = 0.3, trus
     """counted (run, n) -> (level, run, log_p) of every run seen after a retained context, the empty one (level 0) among them, and (level, context, log_back) of these contexts."""
     levels = [counted]
     for _ in range(depth):
-        levels.insert(0, levels[0].groupBy(_shorter(F.col("run")).alias("run")).agg(F.sum("n").alias("n")))
+        # each written once, as the next shorter one and its own join read it
+        levels.insert(0, cut(levels[0].groupBy(_shorter(F.col("run")).alias("run")).agg(F.sum("n").alias("n"))))
     total = F.coalesce(F.sum("n"), F.lit(0))
     root = levels[0].withColumn("total", levels[0].agg(total).scalar())
     done = cut(root.select("run", ((F.col("n") + 0.5) / (F.col("total") + 128)).alias("p")))
