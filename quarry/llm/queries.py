@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontamination, media, near_dedup, packing, quality, substring_dedup, suffix_tree, toxicity, url_reputation
+from quarry.llm import chat, collocation, decontamination, media, mixing, near_dedup, packing, quality, substring_dedup, suffix_tree, toxicity, url_reputation, whitening
 from quarry.llm.common import id_bucket
 
 
@@ -218,6 +218,35 @@ def op10_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "examples", "terms")
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = rf"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+parted as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') as ws from pieces),
+totals as (select lang, sum(len(ws))::bigint as n from parted group by lang),
+f as (select lang, m, array_to_string(ws[i:i + m - 1], ' ') as phrase, count(*)::hugeint as a
+      from (select *, unnest(range(1, len(ws) - m + 2)) as i from parted, (select unnest([1, 2, 3, 4]) as m) where len(ws) >= m) group by all having count(*) >= 30),
+long as (select *, string_split(phrase, ' ') as ws from f where m > 1),
+cuts as (select *, array_to_string(ws[1:k], ' ') as left_part, array_to_string(ws[k + 1:], ' ') as right_part from (select *, unnest(range(1, m)) as k from long)),
+scored as (select c.*, x.a as l, y.a as r, 2000000 * c.a // (x.a + y.a) as score from cuts c join f x on x.lang = c.lang and x.phrase = left_part join f y on y.lang = c.lang and y.phrase = right_part),
+worst as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (select lang, array_to_string(ws[i:i + w - 1], ' ') as phrase, max(a) as whole from (select *, unnest(range(1, m - w + 2)) as i from long, (select unnest([2, 3]) as w) where w < m) group by all),
+kept as (select worst.* from worst left join inner_parts p using (lang, phrase) where p.whole is null or 100 * p.whole < 80 * worst.a)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) join totals using (lang) where rank <= 2000
+"""
+
+
+def op12_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_media_signatures": op2_media_signatures,
@@ -229,6 +258,9 @@ QUERIES = {
     "op8_winnowing": op8_winnowing,
     "op9_host_reputation": op9_host_reputation,
     "op10_nearest_toxic": op10_nearest_toxic,
+    "op11_toivonen_phrases": op11_toivonen_phrases,
+    "op12_entropy_balancing": op12_entropy_balancing,
+    "op13_bidiagonal_whitening": op13_bidiagonal_whitening,
 }
 ORACLE_SQL = {
     "op2_media_signatures": OP2_SQL,
@@ -237,4 +269,5 @@ ORACLE_SQL = {
     "op8_winnowing": OP8_SQL,
     "op4_perspective_rotation": OP4_SQL,
     "op9_host_reputation": OP9_SQL,
+    "op11_toivonen_phrases": OP11_SQL,
 }
