@@ -39,7 +39,7 @@ STOP = b"."
 BLANK = pa.scalar(" ", pa.large_string())
 #: Lower case, tabs to spaces, and all that ends a piece to one mark, which so is in no word.
 PIECES = LOWER.translate(bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)))
-SLICE = 16_000_000
+SLICE = 5_000_000
 ROWS = 50_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ALL = ""  # the phrase that stands for all words of a language
@@ -107,7 +107,7 @@ def _tokens(data: bytes) -> tuple[np.ndarray, pa.Array, int]:
 
 
 def count_slice(data: bytes, lang: str, old: Marks | None, new: Marks | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(phrases, how often) of one slice of text: with `new` longer phrases only where both parts are in it and so counted themselves, and with `old` none that a pass by `old` has counted; without both every phrase."""
+    """(phrases, how often) of one slice of text: with `new` longer phrases only where both parts are in it and so counted themselves, and with `old` none that a pass by `old` has counted. Without both, as of a sample, longer phrases only where both parts occur twice in the slice, for pairs any."""
     at, names, stop = _tokens(data)
     own = np.bincount(at, minlength=len(names))
     own[stop] = 0
@@ -119,11 +119,13 @@ def count_slice(data: bytes, lang: str, old: Marks | None, new: Marks | None) ->
     words = np.arange(len(names))[None]
     last, place, earlier = words[0], at.astype(np.int64), np.ones(len(names), bool)
     place[at == stop] = -1
-    for _ in range(1, LONGEST):
-        alive = np.ones(len(hashes), bool) if new is None else new.has(hashes)
+    n = np.zeros(0)
+    for k in range(1, LONGEST):
+        alive = new.has(hashes) if new is not None else np.ones(len(hashes), bool) if k == 1 else n > 1
         place = np.where((place >= 0) & alive[place], place, -1)
         both = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0))
         code, inverse, n = np.unique((place[both] << 32) | place[both + 1], return_inverse=True, return_counts=True)
+        inverse = inverse.astype(np.int32)
         if not len(code):
             return
         left, right = code >> 32, code & 0xFFFFFFFF
