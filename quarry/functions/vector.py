@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Rows of a matrix product at a time, so that what a task holds is bounded by this and the other side.
+TILE = 256
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
@@ -60,8 +64,8 @@ def best_similarity(vector: Column, queries: Sequence[Sequence[float]]) -> Colum
     def score(vectors: pa.Array) -> pa.Array:
         rows, good = _matrix(vectors, matrix.shape[0])
         out = np.full(len(vectors), np.nan)
-        if len(good):
-            out[good] = (rows @ matrix).max(1)
+        for i in range(0, len(good), TILE):
+            out[good[i : i + TILE]] = (rows[i : i + TILE] @ matrix).max(1)
         return pa.array(out, mask=np.isnan(out))
 
     return F.arrow_udf(score, "double").asNondeterministic()(vector)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.vector import best_similarity
-from quarry.operators.match import BLOCK, best_match, few_vectors
+from quarry.operators.match import BLOCK, best_above, few_vectors, vector_key
 from quarry.schema import KEY
 
 
@@ -52,10 +52,15 @@ def semantic_difference(a: DataFrame, b: DataFrame, threshold: float = 0.7, bloc
     """
     left, few = difference(a, b), few_vectors(b, block)
     if few is not None:
-        near = left.withColumn("_near", best_similarity(F.col("embedding"), few)) if few else left.withColumn("_near", F.lit(None).cast("double"))
+        near = left.withColumn("_near", best_similarity(F.col("embedding"), few)) if len(few) else left.withColumn("_near", F.lit(None).cast("double"))
         return near.where(F.col("_near").isNull() | (F.col("_near") < threshold)).select(*a.columns)
-    near = best_match(left, b, block).where(F.col("similarity") >= threshold).select("embedding")
-    return left.join(near, "embedding", "left_anti").select(*a.columns)
+    return semantic_difference_by_cells(left, b, threshold, block)
+
+
+def semantic_difference_by_cells(a: DataFrame, b: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Rows of `a` without a row of `b` at `threshold` or nearer, for sides of any size; rows meet by a hash of their vectors."""
+    near = best_above(a, b, threshold, block).select(vector_key(F.col("embedding")).alias("_key"))
+    return a.withColumn("_key", vector_key(F.col("embedding"))).join(near, "_key", "left_anti").select(*a.columns)
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import embedding, text, vector
-from quarry.operators import chunk, docorder, match, report, retrieve, setops
+from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops
 from quarry.plans import sql as dialect
 from quarry.plans import tree
 from quarry.sources import catalog, convert
+from quarry.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,6 +157,21 @@ def topk_per_corpus(spark, d):
     return retrieve.top_k_per_corpus(rows, 5).select("corpus", "rank", "chunk_index", F.round("score", 6).alias("score"))
 
 
+def vector_index(spark: SparkSession, d: str) -> cells.VectorIndex:
+    return cells.VectorIndex.build(vector_corpus(spark, d), shared_path(spark, "index"), most=64)
+
+
+@query("index_topk_per_corpus", f"with {VIEW} select corpus, rank::int as rank, chunk_index, round(score, 6) as score from {_TOP} where rank <= 5")
+def index_topk_per_corpus(spark, d):
+    """From the cells that can reach the fifth score."""
+    return vector_index(spark, d).top_k_per_corpus(query_vector(spark, d, 0), 5).select("corpus", "rank", "chunk_index", F.round("score", 6).alias("score"))
+
+
+@query("index_min_score", sql_tidy(sql_leaf(0, 0.3, "'c0', 'c1'")))
+def index_min_score(spark, d):
+    return tidy(vector_index(spark, d).search(query_vector(spark, d, 0), 0.3, ["c0", "c1"]))
+
+
 _TOP10 = f"(select * from {_TOP} where rank <= 5 order by score desc, corpus, chunk_index limit 10)"
 
 
@@ -291,6 +307,17 @@ def batch_search(spark, d):
     return match.close_pairs(rows.withColumnRenamed("vec_id", "doc_id"), asked, 0.3).withColumn("score", F.round("score", 6))
 
 
+SQL["batch_search_by_cells"] = SQL["batch_search"]
+
+
+@query("batch_search_by_cells")
+def batch_search_by_cells(spark, d):
+    """The way of more queries than can be sent to every task."""
+    rows = table(spark, d, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("item_id"), "embedding")
+    return match.close_pairs_by_cells(rows.withColumnRenamed("vec_id", "doc_id"), asked, 0.3, block=256).withColumn("score", F.round("score", 6))
+
+
 # ---- trees and SQL
 
 
