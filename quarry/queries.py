@@ -8,6 +8,7 @@ with id i. The text corpus is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,7 +19,7 @@ from quarry.functions import embedding, text, vector
 from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops
 from quarry.plans import sql as dialect
 from quarry.plans import tree
-from quarry.sources import catalog, convert
+from quarry.sources import catalog, convert, snapshot
 from quarry.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,6 +173,17 @@ def index_min_score(spark, d):
     return tidy(vector_index(spark, d).search(query_vector(spark, d, 0), 0.3, ["c0", "c1"]))
 
 
+@query("data_source_search", sql_tidy(sql_leaf(0, 0.1, "'c0', 'c2'")))
+def data_source_search(spark, d):
+    """Written and read by the library's own format; corpus and score are decided in its reader."""
+    snapshot.register(spark)
+    path = shared_path(spark, "chunks")
+    vector_corpus(spark, d).write.format("quarry").mode("overwrite").save(path)
+    rows = spark.read.format("quarry").option("vector", json.dumps(list(query_vector(spark, d, 0)))).load(path)
+    found = rows.where(F.col("corpus").isin("c0", "c2") & (F.col("score") >= 0.1))
+    return tidy(found.withColumn("location", text.location(F.col("source"), F.col("line_start"), F.col("line_end"))))
+
+
 _TOP10 = f"(select * from {_TOP} where rank <= 5 order by score desc, corpus, chunk_index limit 10)"
 
 
