@@ -5,30 +5,53 @@ Merging works in document order whatever the order of its input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import location
 
 ORDER = ["corpus", "source", "line_start", "chunk_index"]
+#: Lines of a file that one task numbers the ranges of.
+BLOCK_LINES = 100_000
 
 
 def document_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy(*ORDER)
 
 
-def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Numbers runs of touching line ranges: a range that starts behind the furthest line so far, plus one, opens a run."""
-    by = Window.partitionBy(*keys).orderBy("line_start", "line_end", "chunk_index")
-    so_far = F.max("line_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(so_far.isNull() | (F.col("line_start") > so_far + 1), 1).otherwise(0)
-    return rows.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+def _islands(rows: DataFrame, keys: list[str], lines: int) -> DataFrame:
+    """Numbers runs of touching line ranges: a range that starts behind the furthest line so far, plus one, opens a run.
+
+    The ranges of a file are dealt into blocks of `lines` lines. Each block is
+    summed up by its furthest line, then by the runs that it opens; scans over the
+    sums, one row a block, give every block what lies before it, so no task holds a
+    file. `rows` is read three times, by one shuffle where Spark finds the same plan.
+    """
+    block = [*keys, "_block"]
+    rows = rows.withColumn("_block", F.floor(F.col("line_start") / lines))
+    inside = Window.partitionBy(*block).orderBy("line_start", "line_end", "chunk_index")
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(sums: DataFrame, total: Column, name: str) -> DataFrame:
+        return sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(block)], total.alias(name))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        on = [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(block)]
+        return left.join(right, on).drop(*[f"_k{i}" for i in range(len(block))])
+
+    reach = rows.groupBy(*block).agg(F.max("line_end").alias("_far"))
+    rows = met(rows, before(reach, F.max("_far").over(earlier), "_reached"))
+    so_far = F.greatest("_reached", F.max("line_end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_opens", F.when(so_far.isNull() | (F.col("line_start") > so_far + 1), 1).otherwise(0))
+    opened = rows.groupBy(*block).agg(F.sum("_opens").alias("_n"))
+    rows = met(rows, before(opened, F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_opened"))
+    return rows.withColumn("island", F.col("_opened") + F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens", "_opened", "_reached", "_block")
 
 
-def merge_adjacent(rows: DataFrame) -> DataFrame:
+def merge_adjacent(rows: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     """Touching or overlapping passages of one file become one: widest range, highest score, texts joined by newlines."""
     said = F.array_sort(F.collect_list(F.struct("line_start", "line_end", "chunk_index", "chunk")))
-    merged = _islands(rows, ["corpus", "source"]).groupBy("corpus", "source", "island").agg(
+    merged = _islands(rows, ["corpus", "source"], lines).groupBy("corpus", "source", "island").agg(
         F.min("chunk_index").alias("chunk_index"),
         F.min("line_start").alias("line_start"),
         F.max("line_end").alias("line_end"),
@@ -40,24 +63,26 @@ def merge_adjacent(rows: DataFrame) -> DataFrame:
     )
 
 
-def interval_union(rows: DataFrame) -> DataFrame:
+def interval_union(rows: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
     """Line ranges of each source with touching ones joined."""
     return (
-        _islands(rows, ["corpus", "source"])
+        _islands(rows, ["corpus", "source"], lines)
         .groupBy("corpus", "source", "island")
         .agg(F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"))
         .drop("island")
     )
 
 
-def rebuild_text(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+def rebuild_text(lines: DataFrame, ranges: DataFrame, bin_lines: int = 1024) -> DataFrame:
     """lines (corpus, source, line_no, text) under joined ranges -> corpus, source, content: lines in order, a blank line between ranges.
 
-    Ranges of one source do not overlap, so a line is in one at most; each range
-    asks for its lines by number, so the join is dealt out by line.
+    A range is cut at bin edges and meets the lines of its bins, whose bounds are then
+    checked: as many rows as bins are touched, whatever the range's length. Ranges of
+    one source do not overlap, so a line is in one at most.
     """
-    asked = ranges.select("corpus", "source", "line_start", F.explode(F.sequence(F.col("line_start").cast("int"), F.col("line_end").cast("int"))).alias("line_no"))
-    met = lines.join(asked, ["corpus", "source", "line_no"])
+    bin_of = lambda c: F.floor(F.col(c) / bin_lines)
+    cut = ranges.select("corpus", "source", "line_start", "line_end", F.explode(F.sequence(bin_of("line_start"), bin_of("line_end"))).alias("_bin")).where("line_start <= line_end")
+    met = lines.withColumn("_bin", bin_of("line_no")).join(cut, ["corpus", "source", "_bin"]).where("line_no between line_start and line_end")
     texts = met.groupBy("corpus", "source", "line_start").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("said"))
     parts = texts.select("corpus", "source", "line_start", F.concat(F.array_join(F.transform("said", lambda x: x["text"]), "\n"), F.lit("\n")).alias("part"))
     whole = F.array_sort(F.collect_list(F.struct("line_start", "part")))

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions.embedding import Embedder, embed
 from quarry.functions.vector import TILE, best_similarity, matrix_of
@@ -121,9 +123,11 @@ def _meet(left: DataFrame, right: DataFrame, bundles: Bundles, min_score: float
     theirs = theirs.where(_number(cut, F.col("_bundle")) > 0).withColumn("_part", F.pmod(salt[1], _number(bundles.parts, F.col("_bundle"))))
     theirs = theirs.withColumn("_cut", every(_number(cut, F.col("_bundle"))))
     keys = ["_bundle", "_cut", "_part"]
-    columns = [left.columns, right.columns]
+    columns, nothing = [left.columns, right.columns], to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     def each(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return nothing
         return run(a.select(columns[0]).combine_chunks(), b.select(columns[1]).combine_chunks())
 
     typed = [x.withColumns({k: F.col(k).cast("long") for k in keys}) for x in (mine, theirs)]
@@ -155,8 +159,6 @@ def _best(left: DataFrame, right: DataFrame, min_score: float | None, block: int
 
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         kind = pa.schema([("embedding", mine.schema.field("embedding").type), ("similarity", pa.float64())])
-        if not mine.num_rows or not theirs.num_rows:
-            return kind.empty_table()
         vectors, matrix = mine.column("embedding").combine_chunks(), matrix_of(theirs.column("embedding").combine_chunks()).T
         best = np.concatenate([(matrix_of(vectors.slice(i, TILE)) @ matrix).max(1) for i in range(0, len(vectors), TILE)])
         return pa.Table.from_arrays([vectors, pa.array(best)], schema=kind)
@@ -198,8 +200,6 @@ def close_pairs_by_cells(left: DataFrame, right: DataFrame, min_score: float, bl
     def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         ids, vectors, items = mine.column("doc_id").combine_chunks(), mine.column("embedding").combine_chunks(), theirs.column("item_id").combine_chunks()
         kind = pa.schema([("item_id", items.type), ("doc_id", ids.type), ("score", pa.float64())])
-        if not mine.num_rows or not theirs.num_rows:
-            return kind.empty_table()
         return pa.Table.from_batches(_close(ids, vectors, items, matrix_of(theirs.column("embedding").combine_chunks()).T, min_score), kind)
 
     return _meet(left, right, bundles, min_score, block, ["doc_id", "item_id"], run, schema)

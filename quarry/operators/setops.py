@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vector import best_similarity
@@ -77,6 +77,64 @@ def intersect_all(sets: list[DataFrame]) -> DataFrame:
     return _best(tagged, columns).join(everywhere, KEY, "left_semi").select(*columns)
 
 
+class Leaves:
+    """Several sets of one scan, met by passage in one shuffle with map-side combine: which sets have the passage as bits, and each set's best row.
+
+    A set expression is then a condition on the bits with the row that stands for
+    it, the best of the sets that take part; nothing is gathered. The rows of one
+    set less others, its repeats too, are picked by `rows_of`. Operators that count
+    repeated rows need `Passages`.
+    """
+
+    WORD = 62
+
+    def __init__(self, tagged: DataFrame, n: int):
+        self.columns, self.tagged = [c for c in tagged.columns if c != "_ord"], tagged
+        early = -F.coalesce(F.col("chunk_index"), F.lit(0)) if "chunk_index" in self.columns else F.lit(0)
+        rest = [c for c in self.columns if c not in [*KEY, "score"]]
+        # fields in the order in which rows are preferred: score, first set, first chunk
+        row = F.struct("score", (-F.col("_ord")).alias("_first"), early.alias("_early"), *rest)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_ord") % self.WORD)
+        self.words = {f"_bits{w}": F.bit_or(F.when(F.floor(F.col("_ord") / self.WORD) == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(-(-n // self.WORD))}
+        self.rows = tagged.groupBy(*KEY).agg(*[bits.alias(name) for name, bits in self.words.items()], *[F.max(F.when(F.col("_ord") == i, row)).alias(f"_row{i}") for i in range(n)])
+
+    def of(self, i: int) -> tuple[Column, Column]:
+        return F.col(f"_bits{i // self.WORD}").bitwiseAND(F.lit(1 << i % self.WORD)) != 0, F.col(f"_row{i}")
+
+    @staticmethod
+    def _best(sets: tuple) -> Column:
+        return F.greatest(*[row for _, row in sets]) if len(sets) > 1 else sets[0][1]
+
+    def union(self, *sets: tuple[Column, Column]) -> tuple[Column, Column]:
+        return reduce(lambda a, b: a | b, [there for there, _ in sets]), self._best(sets)
+
+    def intersect(self, *sets: tuple[Column, Column]) -> tuple[Column, Column]:
+        there = reduce(lambda a, b: a & b, [there for there, _ in sets])
+        return there, F.when(there, self._best(sets))
+
+    def difference(self, a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+        return a[0] & ~b[0], F.when(~b[0], a[1])
+
+    def _fields(self, extra: list[str]) -> list[Column]:
+        return [F.col(c) if c in [*KEY, *extra] else F.col(f"_row.{c}").alias(c) for c in [*extra, *self.columns]]
+
+    def select(self, chosen: tuple[Column, Column]) -> DataFrame:
+        """The result of an expression over sets as rows."""
+        return self.rows.where(chosen[0]).select(*KEY, chosen[1].alias("_row")).select(*self._fields([]))
+
+    def rows_of(self, i: int, but: list[tuple[Column, Column]]) -> DataFrame:
+        """All rows of set `i` whose passage none of the others has."""
+        passage = Window.partitionBy(*KEY)
+        known = self.tagged.withColumns({name: bits.over(passage) for name, bits in self.words.items()})
+        return known.where((F.col("_ord") == i) & reduce(lambda a, b: a & b, [~there for there, _ in but])).select(*self.columns)
+
+    def select_many(self, chosen: list[tuple[Column, Column]]) -> DataFrame:
+        """The results of several expressions, `tree` saying of which each row is."""
+        hits = F.filter(F.array(*[F.when(there, F.struct(F.lit(i).alias("tree"), row.alias("row"))) for i, (there, row) in enumerate(chosen)]), lambda x: x.isNotNull())
+        out = self.rows.select(*KEY, F.explode(hits).alias("_hit")).select(*KEY, F.col("_hit.tree").alias("tree"), F.col("_hit.row").alias("_row"))
+        return out.select(*self._fields(["tree"]))
+
+
 class Passages:
     """Several sets of one scan, met by passage in one shuffle; set operators are then column expressions.
 

@@ -28,6 +28,7 @@ from quarry.operators import docorder, setops
 Search = Callable[[list[str], dict[str, Any]], DataFrame]
 OPTIONS = {"corpuses": None, "min_score": 0.3, "max_results": None, "semantic": False, "threshold": 0.7, "sort": True, "merge_adjacent": True, "limit": None}
 DIFFERENCES = ("difference", "difference_all")
+KEEP_ALL = {"union_all", "difference_all"}
 
 
 def _operands(node: dict, op: str) -> list:
@@ -66,11 +67,20 @@ def read(node: Any, texts: list[str]) -> tuple:
     raise ValueError(f"unknown operation: {op}")
 
 
-def _by_passage(node: tuple, sets: setops.Passages):
+def _by_passage(node: tuple, sets: setops.Leaves | setops.Passages):
     op, parts = node
     return sets.of(parts) if op == "leaf" else getattr(sets, op)(*(_by_passage(p, sets) for p in parts))
 
 
+def _one_leaf_less(node: tuple) -> tuple[tuple, list[tuple]]:
+    """What stands leftmost in a chain of differences, and all that is taken away from it."""
+    but: list[tuple] = []
+    while node[0] == "difference":
+        but.append(node[1][1])
+        node = node[1][0]
+    return node, but
+
+
 def _by_frames(node: tuple, rows: DataFrame, threshold: float) -> DataFrame:
     op, parts = node
     if op == "leaf":
@@ -102,8 +112,13 @@ def lower(spec: Any, search: Search) -> DataFrame:
     elif node[0] == "leaf":
         rows = rows.drop("_ord", "embedding")
     else:
-        sets = setops.Passages(rows.drop("embedding"))
-        rows = sets.select(_by_passage(node, sets))
+        rows = rows.drop("embedding")
+        sets = setops.Passages(rows) if used & KEEP_ALL else setops.Leaves(rows, len(texts))
+        left, but = _one_leaf_less(node)
+        if isinstance(sets, setops.Leaves) and left[0] == "leaf":
+            rows = sets.rows_of(left[1], [_by_passage(b, sets) for b in but])
+        else:
+            rows = sets.select(_by_passage(node, sets))
     if options["merge_adjacent"]:
         rows = docorder.merge_adjacent(rows)
     if options["limit"] is not None:
@@ -111,6 +126,19 @@ def lower(spec: Any, search: Search) -> DataFrame:
     return docorder.document_order(rows) if options["sort"] else rows
 
 
+def lower_many(specs: list, search: Search) -> DataFrame:
+    """Result rows of several trees by one scan and one shuffle, one for each passage, `tree` giving the place in `specs`. Options that the search needs must be the same in all; merging, order and limits are left to the caller."""
+    texts: list[str] = []
+    nodes = [read(spec, texts) for spec in specs]
+    given = [{k: (spec if isinstance(spec, dict) else {}).get(k, OPTIONS[k]) for k in ("corpuses", "min_score", "max_results", "semantic")} for spec in specs]
+    if any(g != given[0] for g in given) or given[0]["semantic"]:
+        raise ValueError("trees of one scan need the same corpora, minimum score and limit, and no semantic difference")
+    if any(_operators(node) & KEEP_ALL for node in nodes):
+        raise ValueError("trees of one scan have no operator that keeps repeated rows")
+    sets = setops.Leaves(search(texts, OPTIONS | given[0]).drop("embedding"), len(texts))
+    return sets.select_many([_by_passage(node, sets) for node in nodes])
+
+
 def boolean_query(
     query: str, exclude: list[str] | None = None, union: bool = False, corpuses: list[str] | None = None, min_score: float = 0.3,
     max_chunks: int | None = None, semantic: bool = False, threshold: float = 0.7,

@@ -69,9 +69,9 @@ def scan(spark: SparkSession, sf_dir: str, ids: list[int], min_score: float | No
     return retrieve.search_many(vector_corpus(spark, sf_dir), query_vectors(spark, sf_dir, ids), corpora, min_score, most)
 
 
-def passages(spark: SparkSession, sf_dir: str, n: int) -> tuple[setops.Passages, list]:
+def passages(spark: SparkSession, sf_dir: str, n: int) -> tuple[setops.Leaves, list]:
     """Searches 0 to n - 1, met by passage."""
-    sets = setops.Passages(scan(spark, sf_dir, list(range(n))).drop("embedding"))
+    sets = setops.Leaves(scan(spark, sf_dir, list(range(n))).drop("embedding"), n)
     return sets, [sets.of(i) for i in range(n)]
 
 
@@ -252,8 +252,8 @@ def set_union_all(spark, d):
 
 @query("set_difference_exact", sql_tidy(sql_minus(L0, L1)))
 def set_difference_exact(spark, d):
-    p, (a, b) = passages(spark, d, 2)
-    return tidy(p.select(p.difference(a, b)))
+    p, (_, b) = passages(spark, d, 2)
+    return tidy(p.rows_of(0, [b]))
 
 
 @query("set_difference_frames", sql_tidy(sql_minus(L0, L1)))
@@ -267,7 +267,8 @@ def sql_far(a: str, b: str, t: float) -> str:
 
 @query("set_difference_semantic", sql_tidy(sql_far(L0, L1, 0.35)))
 def set_difference_semantic(spark, d):
-    return tidy(setops.semantic_difference(leaf(spark, d, 0), leaf(spark, d, 1), 0.35))
+    rows = scan(spark, d, [0, 1])
+    return tidy(setops.semantic_difference(*[rows.where(F.col("_ord") == i).drop("_ord") for i in (0, 1)], 0.35))
 
 
 @query("set_difference_semantic_blocks", sql_tidy(sql_far(L0, L1, 0.35)))
@@ -368,6 +369,22 @@ def json_nested(spark, d):
     return tidy(tree.lower(spec, tree_search(spark, d)))
 
 
+_TREES = [
+    ({"op": "union", "queries": [f"query {i}", f"query {i + 1}"]}, sql_union(sql_leaf(i), sql_leaf(i + 1))) for i in range(4)
+] + [
+    ({"op": "difference", "left": {"op": "union", "queries": ["query 0", f"query {i}"]}, "right": f"query {i + 1}"}, sql_minus(sql_union(L0, sql_leaf(i)), sql_leaf(i + 1))) for i in range(1, 4)
+] + [
+    ({"op": "intersect", "queries": ["query 0", f"query {i}"]}, sql_meet(L0, sql_leaf(i))) for i in range(1, 4)
+]
+
+
+@query("ten_trees", f"with {VIEW} " + " union all ".join(f"select {i} as tree, corpus, location, round(score, 6) as score, chunk from {rows}" for i, (_, rows) in enumerate(_TREES)))
+def ten_trees(spark, d):
+    """Ten trees over five searches by one scan and one shuffle."""
+    rows = tree.lower_many([t | {"min_score": 0.1} for t, _ in _TREES], tree_search(spark, d))
+    return rows.select("tree", "corpus", "location", F.round("score", 6).alias("score"), "chunk")
+
+
 @query("boolean_flags", sql_tree(sql_minus(sql_union(L0, L1), sql_union(L2, L3))))
 def boolean_flags(spark, d):
     spec = tree.boolean_query("query 0, query 1", exclude=["query 2", "query 3"], union=True, min_score=0.1)
@@ -391,17 +408,27 @@ def spark_sql_search_function(spark, d):
 
 @query("document_order", sql_tidy(sql_union(L0, L1)))
 def document_order(spark, d):
-    return tidy(docorder.document_order(setops.union([leaf(spark, d, 0), leaf(spark, d, 1)])))
+    p, sets = passages(spark, d, 2)
+    return tidy(docorder.document_order(p.select(p.union(*sets))))
 
 
 @query("merge_adjacent", sql_tree(sql_union(L0, L1, L2)))
 def merge_adjacent(spark, d):
-    return tidy(docorder.merge_adjacent(setops.union([leaf(spark, d, i) for i in range(3)])))
+    p, sets = passages(spark, d, 3)
+    return tidy(docorder.merge_adjacent(p.select(p.union(*sets))))
+
+
+@query("merge_adjacent_blocks", SQL["merge_adjacent"])
+def merge_adjacent_blocks(spark, d):
+    """A file in blocks of fewer lines than its islands have."""
+    p, sets = passages(spark, d, 3)
+    return tidy(docorder.merge_adjacent(p.select(p.union(*sets)), lines=15))
 
 
 @query("interval_union", f"with {VIEW} select corpus, source, line_start, line_end from {sql_merge(sql_union(L0, L1, L2))}")
 def interval_union(spark, d):
-    return docorder.interval_union(setops.union([leaf(spark, d, i) for i in range(3)]))
+    p, sets = passages(spark, d, 3)
+    return docorder.interval_union(p.select(p.union(*sets)))
 
 
 _SUMMARY = "count(*) as total_chunks, count(distinct corpus || source) as n_sources, round(coalesce(min(score), 0), 6) as min_score, round(coalesce(max(score), 0), 6) as max_score"
@@ -491,6 +518,14 @@ def rebuild_text(spark, d):
     return docorder.rebuild_text(chunk.explode_lines(docs), docorder.interval_union(ranges))
 
 
+@query("rebuild_long_ranges", "select source as corpus, 'doc_' || doc_id as source, text || chr(10) as content from documents where text is not null")
+def rebuild_long_ranges(spark, d):
+    """Every document by one range of a million lines, cut at bins."""
+    docs = text_corpus(spark, d)
+    ranges = docs.select("corpus", "source", F.lit(1).alias("line_start"), F.lit(1_000_000).alias("line_end"))
+    return docorder.rebuild_text(chunk.explode_lines(docs), ranges, bin_lines=16_384)
+
+
 @query("hash_embed_search")
 def hash_embed_search(spark, d):
     return match.search_texts(table(spark, d, "documents"), table(spark, d, "benchmark"), 0.9, embedding.HashedWords()).withColumn("score", F.round("score", 6))

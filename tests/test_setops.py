@@ -132,3 +132,48 @@ def test_search_many_is_each_search_by_itself(spark):
             alone = retrieve.search_rows(chunks, v, corpora, least, most).collect()
             key = lambda r: (r["corpus"], r["chunk_index"], r["location"], round(r["score"], 9))
             assert sorted(key(r) for r in rows if r["_ord"] == i) == sorted(map(key, alone))
+
+
+@pytest.mark.parametrize("lines", [3, 40, 1_000_000])
+def test_islands_in_blocks(spark, lines):
+    """Ranges that span blocks, lie within earlier ones, touch at edges, and files with null names."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for corpus, source in (("c", "f"), ("c", "g"), ("d", None), (None, "f")):
+        for i in range(60):
+            a = int(rng.integers(1, 300))
+            rows.append((corpus, source, i, a, a + int(rng.choice([0, 1, 2, 5, 40])), f"{source}:{i}", float(i) / 60, f"t{i}"))
+    df = spark.createDataFrame(rows, "corpus string, source string, chunk_index int, line_start int, line_end int, location string, score double, chunk string").repartition(5)
+    want = []
+    for key in {r[:2] for r in rows}:
+        end = None
+        for r in sorted([r for r in rows if r[:2] == key], key=lambda r: (r[3], r[4], r[2])):
+            if end is None or r[3] > end + 1:
+                want.append([*key, r[3], r[4], r[6], [r[7]]])
+            else:
+                want[-1][3], want[-1][4] = max(want[-1][3], r[4]), max(want[-1][4], r[6])
+                want[-1][5].append(r[7])
+            end = want[-1][3]
+    got = docorder.merge_adjacent(df, lines).collect()
+    assert sorted([[r["corpus"], r["source"], r["line_start"], r["line_end"], r["score"], r["chunk"].split("\n")] for r in got], key=str) == sorted(want, key=str)
+    joined = docorder.interval_union(df, lines).collect()
+    assert sorted([list(r[:4]) for r in joined], key=str) == sorted([w[:4] for w in want], key=str)
+
+
+def test_one_large_file_goes_to_many_tasks(spark):
+    """A file of a million chunks, two islands in all: no window gets more than a block of it."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("'c' corpus", "'f' source", "cast(id as int) chunk_index", "cast(id * 10 + if(id >= 500000, 100, 0) as int) line_start", "cast(id * 10 + 9 + if(id >= 500000, 100, 0) as int) line_end")
+    got = docorder.interval_union(df.repartition(4)).collect()
+    assert sorted((r["line_start"], r["line_end"]) for r in got) == [(0, n * 5 - 1), (n * 5 + 100, n * 10 + 99)]
+    blocks = df.groupBy((df["line_start"] / docorder.BLOCK_LINES).cast("int")).count()
+    assert blocks.count() > 90 and blocks.agg({"count": "max"}).first()[0] <= docorder.BLOCK_LINES / 10
+
+
+def test_rebuild_by_bins(spark):
+    lines = spark.range(1, 5001).selectExpr("'c' corpus", "'f' source", "cast(id as int) line_no", "concat('l', id) text")
+    ranges = spark.createDataFrame([("c", "f", 1, 1_000_000_000), ("c", "g", 1, 5), ("c", "f", 0, -1)], "corpus string, source string, line_start long, line_end long").where("line_start = 1")
+    got = docorder.rebuild_text(lines, ranges, bin_lines=1_000_000).collect()
+    assert [(r["source"], r["content"]) for r in got] == [("f", "".join(f"l{i}\n" for i in range(1, 5001)))]
+    few = spark.createDataFrame([("c", "f", 15, 17), ("c", "f", 4999, 7000)], "corpus string, source string, line_start long, line_end long")
+    assert docorder.rebuild_text(lines, few, bin_lines=8).first()["content"] == "l15\nl16\nl17\n\nl4999\nl5000\n"

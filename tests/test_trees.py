@@ -17,8 +17,12 @@ def made():
     """For each topic rows (corpus, source, chunk_index, from, to, score); pieces of a long line share a place."""
     rng = random.Random(9)
     places = [(c, f, i, 20 * i + 1, 20 * i + 20 - 5 * (i % 2)) for c, f in itertools.product("pq", ("a.txt", "b.txt")) for i in range(6)]
-    places += [("p", "a.txt", 6 + i, 200, 200) for i in range(3)]
-    return {t: [(*p, round(rng.random(), 2)) for p in rng.sample(places, 14)] for t in TOPICS}
+    pieces = [("p", "a.txt", 6 + i, 200, 200) for i in range(3)]
+    found = {t: [(*p, round(rng.random(), 2)) for p in rng.sample(places + pieces, 14)] for t in TOPICS}
+    # of the tea all pieces, of the soup none
+    found["tea"] = [r for r in found["tea"] if r[3] != 200] + [(*p, 0.5 + i / 10) for i, p in enumerate(pieces)]
+    found["soup"] = [r for r in found["soup"] if r[3] != 200]
+    return found
 
 
 FOUND = made()
@@ -74,6 +78,9 @@ TREES = [
     op("INTERSECT", "bread", "soup"),
     op("intersect", "bread", op("intersect", "soup", "salad")),
     minus("bread", "soup"),
+    minus("tea", "soup"),
+    minus(minus("tea", "soup"), op("intersect", "bread", "salad")),
+    op("union", minus("tea", "soup"), "bread"),
     {"query": "bread", "exclude": "soup"},
     minus(op("union", "bread", {"op": "union", "queries": ["soup", "tea"]}), {"query": "salad"}),
     op("union", op("intersect", "bread", "soup"), minus("tea", op("union", "bread", "salad"))),
@@ -102,6 +109,36 @@ def test_one_scan_one_shuffle(search):
     rows = tree.lower(TREES[6] | {"min_score": LOW, "merge_adjacent": False, "sort": False}, search)
     plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange") == 1
+    assert "collect_list" not in plan and "bit_or" in plan
+
+
+def test_many_trees_are_each_tree_by_itself(search):
+    specs = [TREES[i] | {"min_score": LOW} for i in range(len(TREES)) if not tree._operators(tree.read(TREES[i], [])) & tree.KEEP_ALL]
+    together = tree.lower_many(specs, search)
+    plan = together._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1
+    rows = together.collect()
+    for i, spec in enumerate(specs):
+        alone = tree.lower(spec | {"merge_adjacent": False, "sort": False}, search).collect()
+        best = {}
+        for r in sorted(alone, key=lambda r: r["score"]):  # a passage is one row here
+            best[r["corpus"], r["location"]] = (r["chunk_index"], r["score"])
+        mine = [r for r in rows if r["tree"] == i]
+        assert len(mine) == len(best) and {(r["corpus"], r["location"]): (r["chunk_index"], r["score"]) for r in mine} == best
+    with pytest.raises(ValueError, match="same corpora"):
+        tree.lower_many([{"query": "a", "min_score": 0.1}, {"query": "b", "min_score": 0.2}], search)
+    with pytest.raises(ValueError, match="repeated"):
+        tree.lower_many([{"op": "union_all", "queries": ["a", "b"]}], search)
+
+
+def test_more_leaves_than_bits_of_a_word(search):
+    """Sets 62 and more have their bits in a second word."""
+    made = search(TOPICS, {"min_score": LOW}).withColumn("_ord", F.col("_ord") * 30)
+    sets = setops.Leaves(made.drop("embedding"), 91)
+    key = lambda rows: sorted(((r["corpus"], r["location"]), r["score"]) for r in rows.collect())
+    assert key(sets.select(sets.union(*[sets.of(30 * i) for i in range(4)]))) == sorted(plain(op("union", *TOPICS)))
+    assert key(sets.rows_of(90, [sets.of(30)])) == sorted(plain(minus("tea", "soup")))
+    assert key(sets.select(sets.intersect(sets.of(0), sets.of(60)))) == sorted(plain(op("intersect", "bread", "salad")))
 
 
 def test_semantic_difference_in_a_tree(search):
