@@ -11,7 +11,8 @@ and looks up each one's sequence and place in the plan.
 
 Defined cases: null and empty texts are the end id alone; documents longer than
 the capacity are cut into pieces of just the capacity behind a shorter first
-one; repeated documents are packed each.
+one; repeated documents, and rows of null or equal ids, are packed each; an empty
+table has no pieces. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -114,7 +115,18 @@ def pieces(docs: DataFrame, tokens: Callable[[], Tokens], capacity: int = 2048,
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, how many such sequences) that use every piece of `counts` (length to number) once."""
+    """(lengths, how many such sequences) that use every piece of `counts` (length to number) once.
+
+    Triples and pairs use up small pieces that the residuals may need more, so it
+    is planned with complements of up to three, two, one and no pieces, and the plan of
+    the fewest sequences stands, of equal ones that of most complements. The last is
+    best-fit decreasing alone, so there are never more than by that.
+    """
+    found = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(found, key=lambda patterns: sum(n for _, n in patterns))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     free = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
@@ -136,14 +148,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
     take(capacity)
     for a in range(capacity - 1, 0, -1):
         gap = capacity - a
-        if free[a] and gap <= a:
+        if most >= 1 and free[a] and gap <= a:
             take(a, gap)
-        if free[a]:
+        if most >= 2 and free[a]:
             for b, c in pairs(gap, a):
                 take(a, b, c)
                 if not free[a]:
                     break
-        if free[a]:
+        if most >= 3 and free[a]:
             for b in np.flatnonzero(free[: min(a, gap - 2) + 1])[::-1].tolist():
                 if not free[a]:
                     break

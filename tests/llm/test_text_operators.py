@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,6 +213,31 @@ def test_packing_plan_uses_every_piece_once():
         assert used == counts
         tight = max(-(-sum(k * n for k, n in counts.items()) // cap), sum(n for k, n in counts.items() if 2 * k > cap))
         assert sum(n for _, n in plan) <= tight * 1.03 + 2
+        assert sum(n for _, n in plan) <= best_fit_decreasing(counts, cap)
+
+
+def best_fit_decreasing(counts, cap):
+    """Number of sequences, piece by piece."""
+    rooms = collections.Counter()
+    for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
+        room = min((r for r, n in rooms.items() if n and r >= length), default=None)
+        if room is None:
+            room = cap
+        else:
+            rooms[room] -= 1
+        rooms[room - length] += 1
+    return sum(rooms.values())
+
+
+@pytest.mark.parametrize("sf,most", [("sf0.001", None), ("sf0.01", 481), ("sf0.1", 4936)])
+def test_packing_is_never_above_best_fit_decreasing(spark, sf, most):
+    documents = Path(f"/root/testdata/{sf}/documents.parquet")
+    if not documents.exists():
+        pytest.skip("no test tables")
+    parts = packing.pieces(spark.read.parquet(str(documents)), packing.public_tokens())
+    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
+    used = sum(n for _, n in packing.plan(counts, 2048))
+    assert used <= best_fit_decreasing(counts, 2048) and (most is None or used <= most)
 
 
 def test_public_tokens_equal_the_whole_encoding(corpus):
