@@ -136,12 +136,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, rate: f
 
 
 def draw(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """About n rows of `df`, by a hash of doc_id: all if there are fewer."""
-    total = df.count()
-    if total <= n:
+    """n rows of `df`, or all if there are fewer: those of the smallest hashes of the row, so the same ones in every layout. Rows that are equal count each."""
+    mark = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    least = sorted(r["_mark"] for r in df.select(mark.alias("_mark")).orderBy("_mark").limit(n + 1).collect())  # n + 1 numbers
+    if len(least) <= n:
         return df
-    share = int(n / total * (1 << 30))
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share)
+    last = least[n - 1]
+    return df.where(mark < last).unionByName(df.where(mark == last).limit(n - least.index(last)))  # the latter are equal
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 12_000) -> Model | None:
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, sample: int = 12_
     trusted = labels.where(allowed & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
     chosen = draw(trusted, sample, 1).withColumn("positive", F.lit(1))
     texts = docs.select("doc_id", "text")
-    positives = texts.join(F.broadcast(chosen), "doc_id")  # about `sample` ids
+    positives = draw(texts.join(F.broadcast(chosen), "doc_id"), sample, 1)  # ids may have any number of rows
     unlabelled = draw(texts, sample, 2).withColumn("positive", F.lit(0))
     both = positives.unionByName(unlabelled)
     kept = with_columns_from(both, lambda b: [pa.array([features(x.as_py()) for x in b.column(0)], pa.list_(pa.float32()))], "x array<float>", {"text": as_bytes()}, ["doc_id", "positive"])

@@ -271,7 +271,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tupl
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, examples: int = 4_000, k: int = 100) -> Model | None:
     """labels (doc_id, toxic) where `allowed` (a condition on doc_id) says they may be learned from."""
     known = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(draw(known, examples, 3)), "doc_id"))  # about `examples` ids
+    rows = cut(draw(docs.select("doc_id", "text").join(F.broadcast(draw(known, examples, 3)), "doc_id"), examples, 3))  # ids may have any number of rows
     kinds = {r["toxic"] for r in rows.select("toxic").distinct().collect()}
     if len(kinds) < 2:
         return None

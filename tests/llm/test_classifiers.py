@@ -220,3 +220,18 @@ def test_toxicity_of_odd_rows(spark):
 def test_isotonic():
     x, y = toxicity._isotonic(np.array([1.0, 2, 2, 3, 4]), np.array([0.0, 1, 0, 0, 1]))
     assert np.all(np.diff(y) >= 0) and np.interp(2.0, x, y) == np.interp(3.0, x, y) == pytest.approx(1 / 3)
+
+
+def test_draws_keep_their_bound(spark):
+    """One id of very many rows, rows that are all equal, and null ids."""
+    from quarry.llm import quality
+
+    same = spark.range(30_000).selectExpr("7L as doc_id", "'x' as text").repartition(5)
+    assert quality.draw(same, 100, 1).count() == 100
+    nulls = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "concat('t', id) as text").repartition(3)
+    for seed in range(4):
+        assert quality.draw(nulls, 100, seed).distinct().count() == 100
+    assert quality.draw(nulls, 20_000, 1).count() == quality.draw(nulls, 30_000, 1).count() == 20_000
+    mixed = same.unionByName(nulls)
+    drawn = quality.draw(mixed, 25_000, 2).collect()
+    assert len(drawn) == 25_000 and sorted(map(str, drawn)) == sorted(map(str, quality.draw(mixed.repartition(2), 25_000, 2).collect()))
