@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import RollingHash, alnum_words, as_bytes, sliding_min, with_columns_from, word_hashes
+from quarry.llm.common import RollingHash, alnum_words, as_bytes, cut, sliding_min, with_columns_from, word_hashes
 
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 TEXT_KEY = ["_quarry_high", "_quarry_low"]
@@ -118,7 +118,8 @@ def find_contamination(
     """docs (doc_id, text, ...) and benchmark (item_id, text) -> `keep` columns and n_words, n_hit, items (ids as strings), spans (of words hit, end exclusive)."""
     keep = docs.columns if keep is None else keep
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), as_bytes().alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = items.where(F.col("text").cast("string").rlike(r"[^\x00-/:-@\[-`{-\x7f]"))  # others have no words
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 64)).first()[0] or 0  # what a row takes besides
     if size <= broadcast_bytes:
         sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], bytes(r["text"] or b"")) for r in items.collect()])
         built: dict = {}
@@ -196,7 +197,7 @@ def _text_windows(texts: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, window: int, k: int, keep: list[str]) -> DataFrame:
-    of_items = _item_windows(items, window, k)
+    of_items = cut(_item_windows(items, window, k))
     asked = of_items.select("size", "print").distinct()
     sizes = sorted(r["size"] for r in asked.select("size").distinct().collect())  # at most `window` values
     # each window with the list of its items, lists known by a key of 128 bits
