@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -124,14 +127,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders written by `cut` and not dropped yet, in order.
+#: Folders written by `cut` outside of any `owned_cuts` and not dropped yet, in order.
 CUTS: list[str] = []
+_owners = threading.local()
+
+
+@contextmanager
+def owned_cuts(spark: SparkSession) -> Iterator[list[str]]:
+    """A list of its own for the folders that this thread cuts in here; where it fails they are removed."""
+    stack = _owners.__dict__.setdefault("stack", [])
+    made: list[str] = []
+    stack.append(made)
+    try:
+        yield made
+    except BaseException:
+        remove(spark, made)
+        raise
+    finally:
+        stack.pop()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared folder as Parquet and reads them back: a lost executor re-reads them, and the lineage ends here. `drop_cuts` removes them when results are done."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    CUTS.append(path)
+    (_owners.__dict__.get("stack") or [CUTS])[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -140,6 +159,10 @@ def drop_cuts(spark: SparkSession, first: int = 0, last: int | None = None) -> N
     """Removes the folders `CUTS[first:last]`. Results that are not yet written or collected may still read theirs."""
     gone = CUTS[first:last]
     del CUTS[first:last]
+    remove(spark, gone)
+
+
+def remove(spark: SparkSession, gone: list[str]) -> None:
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     for name in gone:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

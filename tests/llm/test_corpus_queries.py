@@ -167,6 +167,30 @@ def test_run_drops_what_it_wrote_on_the_way(spark):
     assert len(common.CUTS) == before
 
 
+def test_runs_in_threads_leave_each_other_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = len(common.CUTS)
+    with ThreadPoolExecutor(2) as pool:
+        runs = [pool.submit(lambda: corpus_pipeline.run(spark, str(DATA)).count()) for _ in range(2)]
+        assert len({r.result() for r in runs}) == 1
+    common.drop_cuts(spark, before)
+
+
+def test_a_failed_stage_leaves_no_folder(spark):
+    frame = spark.range(3)
+    with pytest.raises(ZeroDivisionError), common.owned_cuts(spark) as made:
+        path = made
+        common.cut(frame)
+        folder = Path(made[0].removeprefix("file://"))
+        assert folder.exists()
+        1 / 0  # noqa: B018
+    assert path and not folder.exists()
+    with common.owned_cuts(spark) as made:
+        assert common.cut(frame).count() == 3
+    common.remove(spark, made)
+
+
 def test_a_shared_folder_is_asked_for_off_a_local_session():
     class Cluster:
         master = "spark://host:7077"
