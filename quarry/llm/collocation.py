@@ -39,7 +39,7 @@ STOP = b"."
 BLANK = pa.scalar(" ", pa.large_string())
 #: Lower case, tabs to spaces, and all that ends a piece to one mark, which so is in no word.
 PIECES = LOWER.translate(bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)))
-SLICE = 5_000_000
+SLICE = 3_000_000
 ROWS = 50_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ALL = ""  # the phrase that stands for all words of a language
