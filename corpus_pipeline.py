@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontamination, near_dedup, packing, quality, substring_dedup
-from quarry.llm.common import CUTS, cut, drop_cuts, id_bucket
+from quarry.llm.common import CUTS, cut, id_bucket, owned_cuts, remove
 
 
 def apart(docs: DataFrame, *but: str) -> DataFrame:
@@ -75,12 +75,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of `documents`. What a stage wrote for itself goes as soon as its result is written."""
+    """The packed pieces of `documents`. What a stage wrote for itself goes as soon as its result is written, and all of a run that fails."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        before = len(CUTS)
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs)
-            drop_cuts(spark, max(0, before - (i > 0)), -1)
+    with owned_cuts(spark) as kept:
+        for i, (_, stage) in enumerate(STAGES):
+            with owned_cuts(spark) as made:
+                docs = stage(spark, docs, sf_dir)
+                if i + 1 < len(STAGES):
+                    docs = cut(docs)
+                    remove(spark, kept + made[:-1])
+                    del kept[:], made[:-1]
+            kept += made
+    CUTS.extend(kept)  # the result reads them
     return docs
