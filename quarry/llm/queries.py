@@ -33,14 +33,20 @@ def op2_media_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), F.octet_length("payload") - 63, F.lit(64))).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.col("corrected_type"), F.lit(";valid="), F.col("sniffed.valid").cast("string"), F.lit(";embedded="), spans).alias("feature"),
+        F.concat(F.col("corrected_type"), F.lit(";valid="), F.col("sniffed.valid").cast("string"), F.lit(";embedded="), spans, F.lit(";"), media.sample_features(F.col("payload"))).alias("feature"),
     )
 
 
-#: The WAVE file and its digests by bytes; `feature` holds for texts that have no media of their own, as those of the tables.
+#: The WAVE file, its digests and levels by bytes; `embedded` is that of texts that have no media of their own, as those of the tables.
 OP2_SQL = """
 with raw as (select doc_id, encode(coalesce(text, '')) as b from documents),
 padded as (select doc_id, octet_length(b) as n, b || unhex(repeat('00', case when n = 0 then 64 else (64 - n % 64) % 64 end)) as payload from raw),
+bytes as (select doc_id, i, ('0x' || substr(digits, 2 * i - 1, 2))::int as v from (select doc_id, hex(payload) as digits, unnest(range(1, octet_length(payload) + 1)) as i from padded)),
+levels as (
+  select doc_id, 'level=' || (sum(v) // count(*)) || ';crossings=' || count(*) filter ((v >= 128) <> (before >= 128)) || ';bands=' || count(*) filter (v < 32) || ',' || count(*) filter (v // 32 = 1) || ',' || count(*) filter (v // 32 = 2)
+         || ',' || count(*) filter (v // 32 = 3) || ',' || count(*) filter (v // 32 = 4) || ',' || count(*) filter (v // 32 = 5) || ',' || count(*) filter (v // 32 = 6) || ',' || count(*) filter (v // 32 = 7) as said
+  from (select *, lag(v) over (partition by doc_id order by i) as before from bytes) group by doc_id
+),
 stored as (
   select *, octet_length(payload) as size, hex(payload) as digits,
          'RIFF'::blob || unhex(printf('%02X%02X%02X%02X', (size + 36) & 255, (size + 36) >> 8 & 255, (size + 36) >> 16 & 255, (size + 36) >> 24 & 255)) || 'WAVEfmt '::blob
@@ -50,8 +56,8 @@ stored as (
 select doc_id, n::bigint as n_bytes, size::bigint as payload_bytes, sha256(payload) as payload_sha256,
        xor(list_reduce(list_transform(range(64), lambda i: ('0x' || substr(digits, len(digits) - 127 + 2 * i, 2))::bigint),
            lambda c, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, byte)), 4294967295::bigint), 4294967295) as tail_crc32,
-       octet_length(media)::bigint as media_bytes, sha256(media) as media_sha256, 'audio/wav;valid=true;embedded=' as feature
-from stored
+       octet_length(media)::bigint as media_bytes, sha256(media) as media_sha256, 'audio/wav;valid=true;embedded=;' || said as feature
+from stored join levels using (doc_id)
 """
 
 

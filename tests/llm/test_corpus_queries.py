@@ -56,7 +56,11 @@ def test_media_query_against_plain_bytes(spark):
         assert (mine["media_bytes"], mine["media_sha256"]) == (len(out.getvalue()), digest(out.getvalue()))
         found = media.sniff_bytes(out.getvalue())
         spans = ",".join(f"{s['type']}:{s['start']}:{s['length']}" for s in found["embedded"])
-        assert mine["feature"] == f"audio/wav;valid=true;embedded={spans}"
+        sides = [v >= 128 for v in payload]
+        bands = ",".join(str(sum(v // 32 == k for v in payload)) for k in range(8))
+        level = f"level={sum(payload) // len(payload)};crossings={sum(a != b for a, b in zip(sides, sides[1:], strict=False))};bands={bands}"
+        assert mine["feature"] == f"audio/wav;valid=true;embedded={spans};{level}"
+    assert len({r["feature"] for r in got.values()}) > len(got) / 2
 
 
 def test_native_queries_stay_in_the_jvm(spark):

@@ -415,6 +415,32 @@ def test_media_to_the_last_end_mark():
     assert spans(outer[:-30])[0] == 0
 
 
+def test_prose_about_pdf_is_no_pdf():
+    said = b"%PDF-1.4 is followed by startxref and %%EOF at the end."
+    for data in (said, b"x" + said, b"%PDF-1.4 startxref 3 %%EOF", b"%PDF-1.4 startxref 99999 %%EOF xref"):
+        found = media.sniff_bytes(data)
+        assert not found["valid"] and not found["embedded"]
+    assert media.sniff_bytes(said + pdf())["embedded"] == [{"start": len(said), "length": len(pdf()), "type": "application/pdf"}]
+
+
+def test_many_pdfs_take_no_square_of_time():
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        began = time.perf_counter()
+        found = media.sniff_bytes(pdf() * n)
+        took.append(time.perf_counter() - began)
+        assert found["length"] == len(pdf()) and len(found["embedded"]) == n - 1
+    assert took[1] < 8 * took[0] * 3 + 0.5
+
+
+def test_media_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "data binary, kind string")
+    found = media.sniff(none, "data", "kind")
+    assert found.collect() == [] and media.carve(found, "data").collect() == []
+
+
 def test_media_of_many_marks_takes_no_square_of_time():
     import time
 
