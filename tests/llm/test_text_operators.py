@@ -358,7 +358,7 @@ def test_media(spark):
     with zipfile.ZipFile(packed, "w") as z:
         z.writestr("a", "b" * 50)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02\x12\xff\x00\x34\xff\xd9"
-    page = b"<p>" + PNG + b"BM no" + GIF + jpeg + gzip.compress(b"x" * 99) + packed.getvalue() + wave(b"abc") + b"%PDF-1.4 startxref 5 %%EOF"
+    page = b"<p>" + PNG + b"BM no" + GIF + jpeg + gzip.compress(b"x" * 99) + packed.getvalue() + wave(b"abc") + pdf()
     values = [("a", "image/gif", PNG), ("b", "text/html", page), ("c", "image/png", PNG[:-5]), ("d", "x", b""), ("e", None, None), ("f", "text/plain", wave(b"..." + GIF))]
     df = spark.createDataFrame(values, "id string, declared string, media binary")
     found = media.sniff(df, "media", "declared")
