@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import embedding, text, vector
-from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops
+from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops, tablefunction
 from quarry.plans import sql as dialect
 from quarry.plans import tree
 from quarry.sources import catalog, convert, snapshot
@@ -403,6 +403,16 @@ def spark_sql_search_function(spark, d):
     return spark.sql("SELECT corpus, count(*) AS hits, round(max(score), 6) AS best FROM quarry_search('query 0') WHERE score >= 0.1 GROUP BY corpus")
 
 
+@query("top_k_table_function", SQL["topk_per_corpus"])
+def top_k_table_function(spark, d):
+    """A table function over a table, partitioned by corpus; parts of each corpus first."""
+    known = {"query 0": query_vector(spark, d, 0)}
+    vector_corpus(spark, d).createOrReplaceTempView("quarry_chunks")
+    tablefunction.register_top_k(spark, "quarry_top_k", known.__getitem__)
+    rows = spark.sql(tablefunction.top_k_statement("quarry_top_k", "quarry_chunks", "query 0", 5))
+    return rows.select("corpus", "rank", "chunk_index", F.round("score", 6).alias("score"))
+
+
 # ---- document order
 
 
