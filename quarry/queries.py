@@ -19,7 +19,7 @@ from quarry.functions import embedding, text, vector
 from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops, tablefunction
 from quarry.plans import sql as dialect
 from quarry.plans import tree
-from quarry.sources import catalog, convert, snapshot
+from quarry.sources import catalog, convert, snapshot, splits
 from quarry.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -520,6 +520,19 @@ def chunk_text(spark, d):
     return chunk.chunk_documents(text_corpus(spark, d), 128)
 
 
+_JOINED = "(select source as doc_id, source, string_agg(coalesce(text, ''), chr(10) order by doc_id) || chr(10) as text from documents group by source)"
+
+
+@query("chunk_split_files", f"select corpus, chunk_index, line_start, line_end, chunk from ({SQL['chunk_text'].replace('from documents', f'from {_JOINED}')})")
+def chunk_split_files(spark, d):
+    """The documents of each source as one text file, read by byte ranges and chunked in blocks of 64 KB."""
+    path = shared_path(spark, "texts")
+    said = table(spark, d, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    said.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").option("lineSep", "\n").text(path)
+    rows = splits.chunk_files(spark, [path], 128, block_bytes=1 << 16)
+    return rows.withColumn("corpus", F.regexp_extract("path", "source=([^/]*)", 1)).drop("path")
+
+
 @query("rebuild_text", r"select source as corpus, 'doc_' || doc_id as source, array_to_string(list_transform(string_split(text, chr(10))[2:4], lambda x: x || chr(10)), '') || case when len(string_split(text, chr(10))) >= 7 then chr(10) || array_to_string(list_transform(string_split(text, chr(10))[7:8], lambda x: x || chr(10)), '') else '' end as content from documents where len(string_split(text, chr(10))) >= 2")
 def rebuild_text(spark, d):
     """Lines 2-4 and 7-8 of every document, from overlapping ranges."""
