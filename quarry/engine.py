@@ -82,8 +82,10 @@ class Engine:
         top.unpersist()
         return {"answer": answer, "sources": sources, "quality_results": gate["quality_results"], "filtered_count": gate["filtered_count"]}
 
-    def answer(self, text: str, rows: DataFrame) -> str:
-        return self.generator(self.prompt.format(context=retrieve.assemble_context(rows).first()["context"], question=text))
+    def answer(self, text: str, rows: DataFrame, most: int = 20) -> str:
+        """The generator's answer from the `most` best rows; a prompt holds no more."""
+        best = rows.orderBy(F.desc("score"), "corpus", "chunk_index").limit(most)
+        return self.generator(self.prompt.format(context=retrieve.assemble_context(best).first()["context"], question=text))
 
     def query(self, spec: Any) -> DataFrame:
         def search(texts: list[str], o: dict[str, Any]) -> DataFrame:

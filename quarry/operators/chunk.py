@@ -46,14 +46,22 @@ def chunk_lines(text: str, size: int) -> list[tuple[str, int, int]]:
     return [c for c in out if c[0].strip()]
 
 
-def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...] = ("corpus", "source")) -> DataFrame:
-    """docs (keys, text) -> keys (strings), chunk_index, line_start, line_end, chunk."""
+def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...] = ("corpus", "source"), mark: str | None = None) -> DataFrame:
+    """docs (keys, text) -> keys (strings), chunk_index, line_start, line_end, chunk.
+
+    With `mark`, a string column, every document has one more row, chunk_index -1:
+    line_end is its number of chunks, chunk the column's value.
+    """
+    asked = ["text"] if mark is None else ["text", mark]
 
     def run(batches):
         for batch in batches:
             at, rows = [], []
+            said = batch.column(len(keys) + 1).to_pylist() if mark else ()
             for row, text in enumerate(batch.column(len(keys)).to_pylist()):
                 found = [(i, a, b, c) for i, (c, a, b) in enumerate(chunk_lines(text or "", size))]
+                if mark:
+                    found.append((-1, 0, len(found), said[row]))
                 rows += found
                 at += [row] * len(found)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())
@@ -62,7 +70,7 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str,
             yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keys, "chunk_index", "line_start", "line_end", "chunk"])
 
     schema = ", ".join(f"{k} string" for k in keys) + ", chunk_index int, line_start int, line_end int, chunk string"
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+    return docs.select(*keys, *asked).mapInArrow(run, schema)
 
 
 def explode_lines(docs: DataFrame) -> DataFrame:

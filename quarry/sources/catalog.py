@@ -160,10 +160,13 @@ class Catalog:
         named(todo, self.corpora()).write.parquet(staged)
         todo = self.spark.read.schema(todo.schema).parquet(staged)
         docs = texts.select("corpus", "file_path", "text", "error").join(todo.select("corpus", "file_path", "file", "source"), ["corpus", "file_path"])
-        chunks = chunk_documents(docs, size, ("corpus", "file", "source")).withColumn("embedding", embed(F.col("chunk"), self.embedder))
-        marks = docs.select("corpus", "file", "source", F.lit(-1).alias("chunk_index"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.col("error").alias("chunk"), F.lit(None).cast("array<float>").alias("embedding"))
-        self._write(chunks.select(*names(CHUNKS)).unionByName(marks), "chunks")
-        counts = self._read("chunks", CHUNKS).groupBy("corpus", "file").agg(F.count_if(F.col("chunk_index") >= 0).alias("chunk_count"), F.max(F.when(F.col("chunk_index") < 0, F.col("chunk"))).alias("error"))
+        # contents are read, chunked and embedded once; what is counted and written is this run's alone
+        made = chunk_documents(docs, size, ("corpus", "file", "source"), mark="error")
+        vector = F.when(F.col("chunk_index") >= 0, embed(F.col("chunk"), self.embedder))
+        made.withColumn("embedding", vector).select(*names(CHUNKS)).write.parquet(f"{staged}-chunks")
+        made = self.spark.read.schema(CHUNKS).parquet(f"{staged}-chunks")
+        self._write(made, "chunks")
+        counts = made.where("chunk_index < 0").select("corpus", "file", F.col("line_end").cast("long").alias("chunk_count"), F.col("chunk").alias("error"))
         rows = todo.join(counts, ["corpus", "file"]).withColumns(
             {
                 "embedding_dim": F.lit(self.embedder.dim), "index_type": F.lit("inner product"), "normalized": F.lit(True),
@@ -172,6 +175,7 @@ class Catalog:
         )
         self._write(rows.select(*names(CORPORA)), "corpora")
         self._remove(staged)
+        self._remove(f"{staged}-chunks")
         return self.corpora().where(F.col("run") == run)
 
     def _write(self, rows: DataFrame, name: str) -> None:

@@ -247,3 +247,30 @@ def test_streaming_ingest(engine, tmp_path, spark):
     (tmp_path / "new" / "later.txt").write_text("fresh words\n")
     watch(spark, str(tmp_path / "new"), engine.catalog, str(tmp_path / "state"), once=True).awaitTermination(120)
     assert engine.catalog.info("later").first()["chunk_count"] == 1
+
+
+def test_indexing_reads_this_run_alone(spark, tmp_path):
+    """One more file: nothing of the chunk table is read, and contents are read once."""
+    import json
+
+    from quarry.sources import catalog
+
+    for i in range(4):
+        (tmp_path / f"f{i}.txt").write_text(f"file {i}\n" * 30)
+    store = catalog.Catalog(spark, str(tmp_path / "root"))
+    assert store.index(catalog.read_texts(spark, [str(tmp_path / f"f{i}.txt") for i in range(3)])).count() == 3
+    read = []
+    original = store._read
+    store._read = lambda name, schema: (read.append(name), original(name, schema))[1]
+    rows = store.index(catalog.read_texts(spark, [str(tmp_path / "f3.txt")])).collect()
+    assert "chunks" not in read and [r["chunk_count"] for r in rows] == [store.chunks().where("corpus = 'f3'").count()] and rows[0]["chunk_count"] > 0
+    assert store.corpora().count() == 4 and not list((tmp_path / "root" / "staged").iterdir())
+    assert json.dumps(sorted(r["corpus"] for r in store.listing().collect())) == '["f0", "f1", "f2", "f3"]'
+
+
+def test_a_prompt_is_bounded(engine, spark):
+    rows = spark.range(1000).selectExpr("'c' corpus", "id chunk_index", "id / 1000 score", "'x:1-2' location", "concat('t', id) chunk")
+    seen = []
+    engine.generator = lambda prompt: seen.append(prompt) or "done"
+    assert engine.answer("q", rows, most=7) == "done"
+    assert seen[0].count("Source ") == 7 and "t999" in seen[0] and "t992" not in seen[0]
