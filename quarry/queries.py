@@ -15,7 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import embedding, text, vector
+from quarry.functions import bidi, embedding, text, vector
 from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops, tablefunction
 from quarry.plans import sql as dialect
 from quarry.plans import tree
@@ -585,6 +585,22 @@ def normalize_text(spark, d):
 _COUNTS = "length(regexp_replace(text, '[^\\x{0590}-\\x{05FF}]', '', 'g')) as h, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) as e"
 
 
+_ALPHABET, _HEBREW = "abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x5D0, 0x5EA)))
+_SPELT = f"translate(lower(regexp_replace(text, '[^a-zA-Z \\n]', '', 'g')), '{_ALPHABET}', '{_HEBREW}')"
+
+
+@query(
+    "bidi_visual_order",
+    f"""select doc_id, array_to_string(list_transform(list_transform(string_split({_SPELT}, chr(10)), lambda x: [regexp_extract(x, '^ *'), trim(x, ' '), regexp_extract(x, '[^ ]( *)$', 1)]),
+      lambda p: 'No. 1: ' || p[1] || reverse(p[2]) || p[3]), chr(10)) as text from documents""",
+)
+def bidi_visual_order(spark, d):
+    """Every document spelt in Hebrew letters, each line behind a Latin heading."""
+    spelt = F.translate(F.lower(F.regexp_replace("text", r"[^a-zA-Z \n]", "")), _ALPHABET, _HEBREW)
+    lines = F.regexp_replace(F.concat(F.lit("No. 1: "), spelt), "\n", "\nNo. 1: ")
+    return table(spark, d, "documents").select("doc_id", bidi.visual_order(lines).alias("text"))
+
+
 @query("detect_language", f"select doc_id, case when h > e then 'hebrew' when e > 0 then 'english' else 'unknown' end as language, case when h * 10 > h + e and e * 10 > h + e then 'hebrew,english' when h * 10 > h + e then 'hebrew' when e * 10 > h + e then 'english' else 'unknown' end as detected from (select doc_id, {_COUNTS} from documents)")
 def detect_language(spark, d):
     found = text.detect_languages(F.col("text"))
