@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from quarry.engine import Engine
+from quarry.functions import models
 from quarry.operators import report
 from quarry.plans import sql as dialect
 from quarry.plans.tree import boolean_query
@@ -37,6 +38,15 @@ def read_spec(text: str) -> dict:
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="quarry")
     top.add_argument("--root", default="corpora", help="where the tables are")
+    top.add_argument("--embed-url", help="server of an embedding model, in place of hashed words")
+    top.add_argument("--embed-model", default="all-minilm")
+    top.add_argument("--embed-dim", type=count, default=384)
+    top.add_argument("--embed-about-url", help="where that server tells of its models, to be asked for the context's length")
+    top.add_argument("--answer-url", help="server of a model that answers, in place of first lines")
+    top.add_argument("--answer-model", default="default")
+    top.add_argument("--answer-form", choices=sorted(models.FORMS), default="completion")
+    top.add_argument("--temperature", type=share, default=0.0)
+    top.add_argument("--header", action="append", default=[], metavar="NAME:VALUE", help="sent with every request to a model")
     commands = top.add_subparsers(dest="command", required=True)
     add = commands.add_parser
     p = add("index")
@@ -68,16 +78,28 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="+")
     p.add_argument("--output", default="converted_md")
     p.add_argument("--format", default="markdown", choices=["markdown", "text"])
+    p.add_argument("--dpi", type=count, default=300, help="for converters that read scans")
+    p.add_argument("--lang", help="languages for these")
+    p.add_argument("--force-ocr", action="store_true")
     return top
 
 
+def engine_of(spark: SparkSession, a: argparse.Namespace) -> Engine:
+    """The engine with the models that the options name."""
+    headers = dict((part.strip() for part in h.split(":", 1)) for h in a.header)
+    embedder = models.HttpEmbedder(a.embed_url, a.embed_model, a.embed_dim, headers=headers, about_url=a.embed_about_url) if a.embed_url else None
+    if not a.answer_url:
+        return Engine(spark, a.root, embedder)
+    return Engine(spark, a.root, embedder, models.HttpGenerator(a.answer_url, a.answer_model, models.FORMS[a.answer_form], a.temperature, headers))
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "sql" and a.tree:
         print(json.dumps(dialect.parse(a.query), indent=2))
         return 0
     spark = SparkSession.builder.getOrCreate()
-    engine = Engine(spark, a.root)
+    engine = engine_of(spark, a)
     if a.command == "index":
         engine.index({a.corpus: a.paths} if a.corpus else a.paths).show(truncate=False)
     elif a.command in ("search", "extract") and (a.union or a.exclude):
@@ -102,7 +124,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "delete":
         engine.catalog.delete(a.corpus)
     elif a.command == "convert":
-        done = convert.convert(convert.read_files(spark, a.paths)).persist()
+        done = convert.convert(convert.read_files(spark, a.paths), dpi=a.dpi, lang=a.lang, force_ocr=a.force_ocr).persist()
         body = "markdown" if a.format == "markdown" else "text"
         done.where("error is null").select("file_name", body).write.mode("overwrite").partitionBy("file_name").text(a.output)
         done.where("error is not null").select("path", "error").show(truncate=False)

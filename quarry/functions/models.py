@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Mapping
@@ -12,6 +13,7 @@ import numpy as np
 
 from quarry.functions.embedding import TooLong
 
+# The names of fields in requests and answers are the servers' own, the seed makes answers repeat.
 SEED = 42
 
 
@@ -25,6 +27,9 @@ def messages(model: str, prompt: str, temperature: float) -> dict[str, Any]:
     return {"model": model, "max_tokens": 4096, "temperature": temperature, "messages": [{"role": "user", "content": prompt}]}
 
 
+FORMS = {"completion": completion, "messages": messages}
+
+
 def post(url: str, body: dict[str, Any], headers: Mapping[str, str], timeout: float) -> dict[str, Any]:
     """The JSON answer, that of an error too."""
     request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
@@ -51,11 +56,27 @@ class HttpGenerator:
         return _said(post(self.url, self.form(self.model, prompt, self.temperature), self.headers, self.timeout)).strip()
 
 
+def context_length_of(url: str, model: str, headers: Mapping[str, str] | None = None, timeout: float = 10) -> int | None:
+    """The tokens that a served model takes, from what its server says of it: the length that is set, else the one it was built for; None where it says neither or cannot be asked."""
+    try:
+        said = post(url, {"model": model}, headers or {}, timeout)
+    except (OSError, ValueError):
+        return None
+    was_set = re.search(r"^\s*num_ctx\s+(\d+)", str(said.get("parameters") or ""), re.MULTILINE)
+    if was_set:
+        return int(was_set[1])
+    built = [v for k, v in (said.get("model_info") or {}).items() if k.rsplit(".", 1)[-1] == "context_length"]
+    return int(built[0]) if built else None
+
+
 class HttpEmbedder:
-    """A request for each text, from the task that embeds it; a refusal over the context's length is TooLong."""
+    """A request for each text, from the task that embeds it; a refusal over the context's length is TooLong. The context's length is what the caller says, else what the server answers at `about_url`."""
 
-    def __init__(self, url: str, model: str, dim: int, context_length: int | None = None, headers: Mapping[str, str] | None = None, timeout: float = 60):
-        self.url, self.model, self.dim, self.context_length, self.headers, self.timeout = url, model, dim, context_length, dict(headers or {}), timeout
+    def __init__(
+        self, url: str, model: str, dim: int, context_length: int | None = None, headers: Mapping[str, str] | None = None, timeout: float = 60, about_url: str | None = None
+    ):
+        self.url, self.model, self.dim, self.headers, self.timeout = url, model, dim, dict(headers or {}), timeout
+        self.context_length = context_length or (context_length_of(about_url, model, self.headers) if about_url else None)
 
     def embed(self, texts: list[str]) -> np.ndarray:
         return np.array([self._one(t) for t in texts], np.float64).reshape(len(texts), self.dim)

@@ -24,6 +24,8 @@ class Handler(http.server.BaseHTTPRequestHandler):
             out = {"response": f" {body['model']} {body['options']} {len(body['prompt'])} "}
         elif self.path == "/messages":
             out = {"content": [{"text": f"{self.headers['x-api-key']}: {body['messages'][0]['content']}"}]}
+        elif self.path == "/about":
+            out = {"set": {"parameters": "stop x\nnum_ctx   128\n", "model_info": {"bert.context_length": 512}}, "built": {"model_info": {"a.b": 1, "bert.context_length": 512}}}.get(body["model"], {})
         else:
             code, out = 404, {"error": "no such path"}
         self.send_response(code)
@@ -58,3 +60,41 @@ def test_engine_with_a_served_model(spark, url, tmp_path):
     assert engine.catalog.context_length == 64 and engine.catalog.compatible(["a", "b"])["embedding_model"] == "counts"
     found = engine.search("soup", min_score=None)
     assert found["sources"][0]["corpus"] == "b" and found["answer"].startswith("k: soup? Source 1 from b")
+
+
+def test_the_context_length_is_asked_for(url):
+    assert [models.context_length_of(f"{url}/about", m) for m in ("set", "built", "other")] == [128, 512, None]
+    assert models.context_length_of("http://127.0.0.1:9/about", "set") is None
+    assert models.HttpEmbedder(f"{url}/embed", "built", 2, about_url=f"{url}/about").context_length == 512
+    assert models.HttpEmbedder(f"{url}/embed", "built", 2, context_length=9, about_url=f"{url}/about").context_length == 9
+
+
+def test_models_on_the_command_line(spark, url, tmp_path, capsys):
+    from quarry import cli
+
+    (tmp_path / "a.txt").write_text("bread and butter\n")
+    (tmp_path / "b.txt").write_text("soup of the day\nsoup again\n")
+    options = ["--root", str(tmp_path / "r"), "--embed-url", f"{url}/embed", "--embed-model", "set", "--embed-dim", "2", "--embed-about-url", f"{url}/about"]
+    options += ["--answer-url", f"{url}/messages", "--answer-form", "messages", "--temperature", "0.5", "--header", "x-api-key: k"]
+    assert cli.main([*options, "index", str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]) == 0
+    engine = cli.engine_of(spark, cli.parser().parse_args([*options, "list"]))
+    assert engine.catalog.context_length == 128 and engine.generator.temperature == 0.5
+    capsys.readouterr()
+    assert cli.main([*options, "search", "soup", "--min-score", "0"]) == 0
+    assert '"answer": "k: Source 1 from b' in capsys.readouterr().out
+
+
+def test_options_of_conversion_reach_the_converters(spark, tmp_path, monkeypatch):
+    from quarry import cli
+    from quarry.sources import convert
+
+    seen = []
+
+    def scan(data: bytes, dpi: int, lang: str, force_ocr: bool) -> tuple[str, int]:
+        return f"{dpi} {lang} {force_ocr}", 1
+
+    monkeypatch.setitem(convert.CONVERTERS, ".scan", scan)
+    (tmp_path / "x.scan").write_bytes(b"?")
+    assert cli.main(["convert", str(tmp_path / "x.scan"), "--output", str(tmp_path / "out"), "--format", "text", "--dpi", "150", "--lang", "eng", "--force-ocr"]) == 0
+    seen += [p.read_text().strip() for p in (tmp_path / "out").rglob("*.txt")]
+    assert seen == ["150 eng True"]
