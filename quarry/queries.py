@@ -12,6 +12,7 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from quarry.functions import bidi, embedding, text, vector
 from quarry.operators import cells, chunk, docorder, match, report, retrieve, setops, tablefunction
 from quarry.plans import sql as dialect
 from quarry.plans import tree
-from quarry.sources import catalog, convert, snapshot, splits
+from quarry.sources import catalog, convert, pdf, pdf_write, snapshot, splits
 from quarry.sources.shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -681,6 +682,20 @@ def convert_pages(spark, d):
     return convert.describe(pages, F.lit("2026-01-02 03:04:05").cast("timestamp"))
 
 
+@query("pdf_text_layer", r"select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') as text from documents".replace("\\\\", "\\"))
+def pdf_text_layer(spark, d):
+    """Every document as a PDF, in one of three forms, and its text read back from the pages."""
+
+    def written(texts: pa.Array, forms: pa.Array) -> pa.Array:
+        return pa.array([pdf_write.write_pdf(t or "", f) for t, f in zip(texts.to_pylist(), forms.to_pylist(), strict=True)], pa.binary())
+
+    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 3).cast("int").alias("form"))
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.arrow_udf(written, "binary")("text", "form").alias("content"))
+    pages = F.array_sort(F.collect_list(F.struct("page", "text")))  # of one file
+    said = pdf.read_pages(files).groupBy("path").agg(F.array_join(F.transform(pages, lambda p: p["text"]), "\n").alias("text"))
+    return said.select(F.col("path").cast("long").alias("doc_id"), F.trim(F.regexp_replace("text", r"[ \t\n\r\f\x0B]+", " ")).alias("text"))
+
+
 # ---- catalog
 
 

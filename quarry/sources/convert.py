@@ -1,4 +1,4 @@
-"""Documents to Markdown. DOCX needs the standard library alone; PDF and OCR are plug-ins.
+"""Documents to Markdown. DOCX and PDF text layers need the standard library alone; OCR is a plug-in.
 
 A converter takes the bytes of a file and gives (text, metadata). Files come as
 `binaryFile` rows, so conversion is spread over the cluster; what fails is a row
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import detect_languages, front_matter, normalize_text, safe_file_name
+from quarry.sources import pdf
 
 CONVERTERS: dict[str, Callable[[bytes], tuple[str, int]]] = {}
 # Fixed value: the namespace of word-processing documents.
@@ -72,6 +73,9 @@ def plain(data: bytes) -> tuple[str, int]:
     return data.decode(), 1
 
 
+register(".pdf")(pdf.pdf)
+
+
 def format_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
