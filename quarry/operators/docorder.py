@@ -5,7 +5,7 @@ Merging works in document order whatever the order of its input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import location
@@ -27,25 +27,18 @@ def _islands(rows: DataFrame, keys: list[str], lines: int) -> DataFrame:
     sums, one row a block, give every block what lies before it, so no task holds a
     file. `rows` is read three times, by one shuffle where Spark finds the same plan.
     """
-    block = [*keys, "_block"]
-    rows = rows.withColumn("_block", F.floor(F.col("line_start") / lines))
+    # names that are never null, so that joins and windows share one partitioning
+    file = {f"_file{i}": F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for i, k in enumerate(keys)}
+    block = [*file, "_block"]
+    rows = rows.withColumns({**file, "_block": F.floor(F.col("line_start") / lines)}).repartition(*block)
     inside = Window.partitionBy(*block).orderBy("line_start", "line_end", "chunk_index")
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-
-    def before(sums: DataFrame, total: Column, name: str) -> DataFrame:
-        return sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(block)], total.alias(name))
-
-    def met(left: DataFrame, right: DataFrame) -> DataFrame:
-        on = [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(block)]
-        return left.join(right, on).drop(*[f"_k{i}" for i in range(len(block))])
-
-    reach = rows.groupBy(*block).agg(F.max("line_end").alias("_far"))
-    rows = met(rows, before(reach, F.max("_far").over(earlier), "_reached"))
+    earlier = Window.partitionBy(*file).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*block).agg(F.max("line_end").alias("_far")).select(*block, F.max("_far").over(earlier).alias("_reached"))
     so_far = F.greatest("_reached", F.max("line_end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_opens", F.when(so_far.isNull() | (F.col("line_start") > so_far + 1), 1).otherwise(0))
-    opened = rows.groupBy(*block).agg(F.sum("_opens").alias("_n"))
-    rows = met(rows, before(opened, F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_opened"))
-    return rows.withColumn("island", F.col("_opened") + F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens", "_opened", "_reached", "_block")
+    rows = rows.join(reach, block).withColumn("_opens", F.when(so_far.isNull() | (F.col("line_start") > so_far + 1), 1).otherwise(0))
+    opened = rows.groupBy(*block).agg(F.sum("_opens").alias("_n")).select(*block, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_opened"))
+    island = F.col("_opened") + F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(opened, block).withColumn("island", island).drop("_opens", "_opened", "_reached", *block)
 
 
 def merge_adjacent(rows: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
