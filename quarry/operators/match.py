@@ -128,8 +128,10 @@ def _meet(left: DataFrame, right: DataFrame, bundles: Bundles, min_score: float
     def each(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return nothing
-        return run(a.select(columns[0]).combine_chunks(), b.select(columns[1]).combine_chunks())
+        return run(a.select(columns[0]).combine_chunks(), b.select([f"_right_{c}" for c in columns[1]]).rename_columns(columns[1]).combine_chunks())
 
+    # names of its own for the right side, as both may come from one table
+    theirs = theirs.select(*keys, *[F.col(c).alias(f"_right_{c}") for c in columns[1]])
     typed = [x.withColumns({k: F.col(k).cast("long") for k in keys}) for x in (mine, theirs)]
     return typed[0].groupBy(*keys).cogroup(typed[1].groupBy(*keys)).applyInArrow(each, schema)
 
