@@ -8,8 +8,8 @@ SCHEMA = "corpus string, location string, score double, chunk string"
 
 
 def rows(spark, *items):
-    """(file:range, score[, vector]) in corpus "physics"."""
-    return spark.createDataFrame([("physics", loc, score, f"text of {loc}") for loc, score in items], SCHEMA)
+    """(file:range, score[, vector]) in corpus "orchard"."""
+    return spark.createDataFrame([("orchard", loc, score, f"text of {loc}") for loc, score in items], SCHEMA)
 
 
 def scores(df):
@@ -17,8 +17,8 @@ def scores(df):
 
 
 def test_union_keeps_highest_score(spark):
-    a, b = rows(spark, ("doc.txt:1-10", 0.85), ("doc.txt:11-20", 0.7)), rows(spark, ("doc.txt:1-10", 0.90))
-    assert scores(setops.union([a, b])) == {"doc.txt:1-10": 0.90, "doc.txt:11-20": 0.7}
+    a, b = rows(spark, ("pear:3-8", 0.41), ("pear:9-14", 0.33)), rows(spark, ("pear:3-8", 0.62))
+    assert scores(setops.union([a, b])) == {"pear:3-8": 0.62, "pear:9-14": 0.33}
     assert setops.union_all([a, b]).count() == 3
 
 
@@ -37,10 +37,10 @@ def test_difference(spark):
 
 
 def test_intersect(spark):
-    a, b = rows(spark, ("x:1-1", 0.85), ("x:2-2", 0.8)), rows(spark, ("x:1-1", 0.80), ("x:9-9", 0.7))
-    assert scores(setops.intersect(a, b)) == {"x:1-1": 0.85}
+    a, b = rows(spark, ("x:1-1", 0.52), ("x:2-2", 0.4)), rows(spark, ("x:1-1", 0.47), ("x:9-9", 0.3))
+    assert scores(setops.intersect(a, b)) == {"x:1-1": 0.52}
     assert setops.intersect(a, rows(spark, ("z:1-1", 1.0))).count() == 0
-    assert scores(setops.intersect_all([a, b, a])) == {"x:1-1": 0.85}
+    assert scores(setops.intersect_all([a, b, a])) == {"x:1-1": 0.52}
 
 
 def test_nested_union_minus(spark):
