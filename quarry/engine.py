@@ -34,6 +34,10 @@ class Engine:
         """Catalog rows of the files that were new or changed. `inputs` are paths, each a corpus by its stem, or {corpus: path or paths}; what is no file is refused."""
         return self.catalog.index(read_texts(self.spark, inputs), size)
 
+    def index_large(self, paths: Sequence[str], size: int | None = None) -> DataFrame:
+        """As `index`, for text files of any size, which are read by byte ranges."""
+        return self.catalog.index_large(paths, size)
+
     def index_each(self, inputs: Inputs, size: int | None = None) -> DataFrame:
         """corpus, file_path, chunk_count, error of what was indexed and of each input that could not be; none stops the others."""
         pairs = [(corpus, path, input_error(self.spark, path)) for corpus, path in pairs_of(inputs)]

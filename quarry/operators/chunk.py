@@ -49,8 +49,8 @@ def chunk_lines(text: str, size: int) -> list[tuple[str, int, int]]:
 def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str, ...] = ("corpus", "source"), mark: str | None = None) -> DataFrame:
     """docs (keys, text) -> keys (strings), chunk_index, line_start, line_end, chunk.
 
-    With `mark`, a string column, every document has one more row, chunk_index -1:
-    line_end is its number of chunks, chunk the column's value.
+    With `mark`, a string column, every document has one more row, of chunk_index -1,
+    whose chunk is the column's value.
     """
     asked = ["text"] if mark is None else ["text", mark]
 
@@ -61,7 +61,7 @@ def chunk_documents(docs: DataFrame, size: int = DEFAULT_SIZE, keys: tuple[str,
             for row, text in enumerate(batch.column(len(keys)).to_pylist()):
                 found = [(i, a, b, c) for i, (c, a, b) in enumerate(chunk_lines(text or "", size))]
                 if mark:
-                    found.append((-1, 0, len(found), said[row]))
+                    found.append((-1, 0, 0, said[row]))
                 rows += found
                 at += [row] * len(found)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string())

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +23,7 @@ from quarry.functions.embedding import Embedder, HashedWords, embed
 from quarry.functions.text import stem
 from quarry.operators.chunk import chunk_documents, chunk_size
 from quarry.schema import CHUNKS, CORPORA, names
+from quarry.sources.splits import chunk_files
 
 SETTINGS = ["embedding_model", "embedding_dim", "index_type", "normalized"]
 SEEN = ["corpus", "file_path", "file_modified", "file_size", "embedding_model", "chunk_size"]
@@ -153,20 +154,52 @@ class Catalog:
 
     def index(self, texts: DataFrame, size: int | None = None) -> DataFrame:
         """Indexes the files that are new or changed (see `read_texts`) and returns their catalog rows; one that is no text is a row with its error."""
-        size, run = size or chunk_size(self.context_length), uuid.uuid4().hex
+        size = size or chunk_size(self.context_length)
+
+        def chunks_of(todo: DataFrame) -> DataFrame:
+            docs = texts.select("corpus", "file_path", "text", "error").join(todo.select("corpus", "file_path", "file", "source"), ["corpus", "file_path"])
+            return chunk_documents(docs, size, ("corpus", "file", "source"), mark="error")
+
+        return self._index(texts.drop("text", "error"), size, chunks_of)
+
+    def index_large(self, paths: Sequence[str], size: int | None = None) -> DataFrame:
+        """As `index`, for UTF-8 text files of any size, each a corpus by its stem: they are read by byte ranges, and no row holds one."""
+        size = size or chunk_size(self.context_length)
+        errors = [e for e in (input_error(self.spark, p) for p in paths) if e]
+        if errors:
+            raise ValueError("; ".join(errors))
+        files = self.spark.read.format("binaryFile").load(list(paths))  # contents are not asked for
+        manifest = files.select(
+            stem(F.col("path")).alias("corpus"), F.regexp_extract("path", "([^/]*)$", 1).alias("source"), F.col("path").alias("file_path"),
+            F.col("modificationTime").alias("file_modified"), F.col("length").alias("file_size"),
+        )
+
+        def chunks_of(todo: DataFrame) -> DataFrame:
+            own = todo.select("corpus", "file", "source", "file_path")
+            read = [r["file_path"] for r in own.collect()]  # those that are new or changed
+            marks = own.select("corpus", "file", "source", F.lit(-1).alias("chunk_index"), F.lit(0).alias("line_start"), F.lit(0).alias("line_end"), F.lit(None).cast("string").alias("chunk"))
+            if not read:
+                return marks
+            made = chunk_files(self.spark, read, size).withColumnRenamed("path", "file_path").join(own, "file_path")
+            return made.select(*marks.columns).unionByName(marks)
+
+        return self._index(manifest, size, chunks_of)
+
+    def _index(self, manifest: DataFrame, size: int, chunks_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """chunks_of(files to be done) -> their chunks, and a row of chunk_index -1 for each with its error."""
+        run = uuid.uuid4().hex
         settings = {"embedding_model": F.lit(self.embedder.model), "chunk_size": F.lit(size), "file": F.md5("file_path")}
-        todo = self.stale(texts.drop("text", "error").withColumns(settings))
+        todo = self.stale(manifest.withColumns(settings))
         staged = f"{self.root}/staged/{run}"  # what is to be done is fixed before the catalog changes
         named(todo, self.corpora()).write.parquet(staged)
         todo = self.spark.read.schema(todo.schema).parquet(staged)
-        docs = texts.select("corpus", "file_path", "text", "error").join(todo.select("corpus", "file_path", "file", "source"), ["corpus", "file_path"])
         # contents are read, chunked and embedded once; what is counted and written is this run's alone
-        made = chunk_documents(docs, size, ("corpus", "file", "source"), mark="error")
         vector = F.when(F.col("chunk_index") >= 0, embed(F.col("chunk"), self.embedder))
-        made.withColumn("embedding", vector).select(*names(CHUNKS)).write.parquet(f"{staged}-chunks")
+        chunks_of(todo).withColumn("embedding", vector).select(*names(CHUNKS)).write.parquet(f"{staged}-chunks")
         made = self.spark.read.schema(CHUNKS).parquet(f"{staged}-chunks")
         self._write(made, "chunks")
-        counts = made.where("chunk_index < 0").select("corpus", "file", F.col("line_end").cast("long").alias("chunk_count"), F.col("chunk").alias("error"))
+        is_chunk = F.col("chunk_index") >= 0
+        counts = made.groupBy("corpus", "file").agg(F.count_if(is_chunk).alias("chunk_count"), F.max(F.when(~is_chunk, F.col("chunk"))).alias("error"))
         rows = todo.join(counts, ["corpus", "file"]).withColumns(
             {
                 "embedding_dim": F.lit(self.embedder.dim), "index_type": F.lit("inner product"), "normalized": F.lit(True),

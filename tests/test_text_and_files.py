@@ -274,3 +274,24 @@ def test_a_prompt_is_bounded(engine, spark):
     engine.generator = lambda prompt: seen.append(prompt) or "done"
     assert engine.answer("q", rows, most=7) == "done"
     assert seen[0].count("Source ") == 7 and "t999" in seen[0] and "t992" not in seen[0]
+
+
+def test_large_files_are_indexed_by_ranges(spark, tmp_path):
+    """The same chunks and catalog rows as by whole files; what is unchanged is skipped."""
+    from quarry.sources import catalog
+
+    paths = [str(tmp_path / f"f{i}.txt") for i in range(3)]
+    for i in range(3):
+        (tmp_path / f"f{i}.txt").write_text("\n".join(f"line {j} of file {i} " + "word " * (j % 50) for j in range(200)) + "\n" * i)
+    (tmp_path / "blank.txt").write_text("\n \n")
+    paths.append(str(tmp_path / "blank.txt"))
+    whole, ranges = (catalog.Catalog(spark, str(tmp_path / r)) for r in ("whole", "ranges"))
+    whole.index(catalog.read_texts(spark, paths), 60)
+    assert ranges.index_large(paths, 60).count() == 4
+    rows = lambda c: sorted(map(str, c.chunks().drop("embedding").collect()))
+    assert rows(whole) == rows(ranges) and len(rows(whole)) > 100
+    counts = lambda c: sorted((r["corpus"], r["chunk_count"], r["error"], r["file_size"]) for r in c.corpora().collect())
+    assert counts(whole) == counts(ranges)
+    assert ranges.index_large(paths, 60).count() == 0
+    with pytest.raises(ValueError, match="not found"):
+        ranges.index_large([str(tmp_path / "none.txt")])
