@@ -5,7 +5,8 @@ first. Beyond that it is dealt into cells around pivots (see `cells`), cells int
 bundles of about `block` vectors, and a left vector goes to the bundles that can
 hold what is asked for, by the triangle inequality: a score of the minimum, or
 one as good as the best pivot, as pivots are vectors of the right side. Bundles that
-no left vector can reach make no task. Both sides of a task are bounded, and products
+no left vector can reach make no task. Blocks grow with the sides, up to `BLOCK`, so
+that rows are sent to few of them. Both sides of a task are bounded, and products
 are formed some hundred rows at a time.
 """
 
@@ -28,6 +29,8 @@ from quarry.operators import cells as C
 BLOCK = 10_000
 #: Of vectors sent to every task, in bytes of doubles: ten thousand of 100 dimensions.
 SENT_BYTES = 8_000_000
+#: Into more parts than these a side is cut only where its blocks have `BLOCK` rows.
+PARTS = 64
 
 
 def few_vectors(rows: DataFrame, block: int = BLOCK, most_bytes: int = SENT_BYTES) -> np.ndarray | None:
@@ -39,9 +42,24 @@ def few_vectors(rows: DataFrame, block: int = BLOCK, most_bytes: int = SENT_BYTE
     return x if x.nbytes <= most_bytes else None
 
 
+def some_vectors(rows: DataFrame, most: int = BLOCK, most_bytes: int = SENT_BYTES) -> np.ndarray:
+    """About an eighth of the embeddings as rows, drawn by their hash, at most `most` of them and `most_bytes`."""
+    rows = rows.where("embedding is not null").select("embedding")
+    n = rows.count()
+    share = int(min(1 / 8, most / max(n, 1)) * (1 << 30))
+    found = rows.where(F.pmod(F.xxhash64("embedding", F.lit(7)), F.lit(1 << 30)) < share).distinct().limit(most).toArrow()
+    x = matrix_of(found.column(0).combine_chunks()) if found.num_rows else np.zeros((0, 0))
+    return x[: most_bytes // max(1, x[:1].nbytes)]
+
+
 # ---- bundles
 
 
+def room(n: int, block: int) -> int:
+    """Rows of a block of a side of n: `block`, or more where that would be too many blocks, as each row of one side is sent to every block of the other."""
+    return max(block, min(BLOCK, -(-n // PARTS)))
+
+
 @dataclass
 class Bundles:
     """Cells of the right side in bundles: the bundle of each cell, into how many parts each bundle is cut, and its number of vectors."""
@@ -76,7 +94,8 @@ def deal(right: DataFrame, block: int, most: int = C.MOST) -> Bundles | None:
     if found is None:
         return None
     placed = right.where("embedding is not null").select(C.place(F.col("embedding"), found).alias("at")).select("at.*")
-    return bundle(*C.summed(found, C.extents(placed.groupBy("cell")).collect()), block)  # a row for each cell
+    found, n = C.summed(found, C.extents(placed.groupBy("cell")).collect())  # a row for each cell
+    return bundle(found, n, room(int(n.sum()), block))
 
 
 def reached(vector: Column, bundles: Bundles, min_score: float | None) -> Column:
@@ -108,7 +127,7 @@ def pairs_of_blocks(left: DataFrame, bundles: Bundles, min_score: float | None,
     m = np.zeros(len(bundles.parts), np.int64)
     for r in counts:
         m[r["bundle"]] = r["count"]
-    cut = -(-m // block)
+    cut = -(-m // room(int(m.max()), block))
     return cut, int((cut * bundles.parts).sum()), int(-(-left.count() // block) * bundles.parts.sum())
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.vector import best_similarity
-from quarry.operators.match import BLOCK, best_above, few_vectors, vector_key
+from quarry.operators.match import BLOCK, best_above, few_vectors, some_vectors, vector_key
 from quarry.schema import KEY
 
 
@@ -58,7 +58,15 @@ def semantic_difference(a: DataFrame, b: DataFrame, threshold: float = 0.7, bloc
 
 
 def semantic_difference_by_cells(a: DataFrame, b: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Rows of `a` without a row of `b` at `threshold` or nearer, for sides of any size; rows meet by a hash of their vectors."""
+    """Rows of `a` without a row of `b` at `threshold` or nearer, for sides of any size; rows meet by a hash of their vectors.
+
+    One near row is enough to drop a row, so a bounded part of `b` goes to every
+    task first; what that leaves meets all of `b`.
+    """
+    some = some_vectors(b)
+    if len(some):
+        first = best_similarity(F.col("embedding"), some)
+        a = a.withColumn("_near", first).where(F.col("_near").isNull() | (F.col("_near") < threshold)).drop("_near")
     near = best_above(a, b, threshold, block).select(vector_key(F.col("embedding")).alias("_key"))
     return a.withColumn("_key", vector_key(F.col("embedding"))).join(near, "_key", "left_anti").select(*a.columns)
 

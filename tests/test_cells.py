@@ -117,3 +117,23 @@ def test_few_vectors_by_bytes(spark):
     rows = spark.range(50).selectExpr("transform(sequence(1, 100), i -> double(i * id)) as embedding")
     assert match.few_vectors(rows, 100).shape == (50, 100)
     assert match.few_vectors(rows, 100, most_bytes=39_000) is None and match.few_vectors(rows, 49) is None
+
+
+def test_blocks_grow_with_the_sides(spark):
+    x = grouped(np.random.default_rng(10), 1, 3000, spread=1.0)
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "embedding array<double>").repartition(4)
+    bundles = match.deal(rows, 2)
+    cut, made, _ = match.pairs_of_blocks(rows, bundles, -1.0, 2)
+    assert cut.max() <= match.PARTS and made <= 4 * match.PARTS**2  # was over two million pairs of blocks
+
+
+def test_semantic_difference_leaves_few_rows_to_the_cells(spark, monkeypatch):
+    x = grouped(np.random.default_rng(11), 1, 1600, dim=8, spread=5.0)
+    rows = [("c", "s", i, i, i, f"s:{i}-{i}", 0.5, f"t{i}", v.tolist()) for i, v in enumerate(x)]
+    schema = "corpus string, source string, chunk_index int, line_start int, line_end int, location string, score double, chunk string, embedding array<double>"
+    a, b = (spark.createDataFrame(r, schema).repartition(4) for r in (rows[:800], rows[800:]))
+    met, whole = [], setops.best_above
+    monkeypatch.setattr(setops, "best_above", lambda left, *rest: met.append(left.count()) or whole(left, *rest))
+    near = (x[:800] @ x[800:].T).max(1) >= 0.6
+    assert sorted(r["chunk_index"] for r in setops.semantic_difference(a, b, 0.6, 8).collect()) == np.flatnonzero(~near).tolist()
+    assert len(met) == 1 and met[0] < 400
