@@ -1,5 +1,6 @@
 """Visual order: worked examples with capital letters for a right-to-left script, and what must hold for any text."""
 
+import random
 import unicodedata
 
 import pytest
@@ -92,3 +93,15 @@ def test_column(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(bidi.visual_order("t")).collect()]
     assert got == ["car בא\nb א", None, "", "plain"]
     assert unicodedata.bidirectional("א") == "R"
+
+
+def test_lines_without_controls_and_mirrored_characters_need_no_levels_of_each(monkeypatch):
+    rng = random.Random(12)
+    pools = ["abאבג12+-#$,. ְ̀اب!&*\t()«‏‫⁧⁩é\U00010800", "אב1+,. a$", "اب12,.$- aאְ", "ab1, ١٢אا"]
+    for _ in range(4000):
+        pool = rng.choice(pools)
+        text = "\n".join("".join(rng.choice(pool) for _ in range(rng.randrange(12))) for _ in range(2))
+        assert bidi.visual_text(text) == "\n".join(map(bidi.visual_line, text.split("\n"))), ascii(text)
+    want = bidi.visual_line("No. 1: שלום, 12.5% ab עולם  ")
+    monkeypatch.setattr(bidi, "levels_of", None)  # that of each character
+    assert bidi.visual_text("No. 1: שלום, 12.5% ab עולם  \nabc\n") == f"{want}\nabc\n"
