@@ -103,3 +103,15 @@ def test_conversion_dispatches_to_a_reader_of_scans(spark, tmp_path):
         pdf.register_ocr(None)
     rows = pdf.read_pages(files.unionByName(spark.createDataFrame([("x.pdf", b"junk")], "path string, content binary"))).collect()
     assert sorted((r["path"].rsplit("/", 1)[-1], r["page"], r["error"] is None) for r in rows) == [("scan.pdf", 1, True), ("text.pdf", 1, True), ("text.pdf", 2, True), ("x.pdf", None, False)]
+
+
+@pytest.mark.parametrize("form", [pdf_write.MAPPED, pdf_write.PACKED])
+def test_what_pages_share_is_read_once(monkeypatch, form):
+    text = "\n".join(f"line {i} (of) \\ some é" for i in range(600))
+    data, made, decoded = pdf_write.write_pdf(text, form), [], []
+    font, whole = pdf.Font.__init__, pdf.Pdf.decoded
+    monkeypatch.setattr(pdf.Font, "__init__", lambda self, *a: made.append(1) or font(self, *a))
+    monkeypatch.setattr(pdf.Pdf, "decoded", lambda self, stream: decoded.append(stream.dict.get("Type")) or whole(self, stream))
+    pages = pdf.page_texts(data)
+    assert len(pages) == 12 and "\n".join(pages) == text
+    assert len(made) == 1 and decoded.count("ObjStm") <= 1
