@@ -4,6 +4,7 @@ import unicodedata
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +296,17 @@ def test_large_files_are_indexed_by_ranges(spark, tmp_path):
     assert ranges.index_large(paths, 60).count() == 0
     with pytest.raises(ValueError, match="not found"):
         ranges.index_large([str(tmp_path / "none.txt")])
+
+
+def test_letters_are_counted_in_one_pass(spark):
+    texts = ["abc", "", None, "שלום Abc é ӿ֐ֿ׀׿؀ \U0001f600[`{@", "×Zz", "א"] * 2
+    for some in (pa.array(texts), pa.array(texts)[4:9], pa.array(texts)[2:3], pa.array([], pa.string())):
+        want = [None if x is None else {"hebrew": sum("֐" <= c <= "׿" for c in x), "english": sum(c.isascii() and c.isalpha() for c in x)} for x in some.to_pylist()]
+        assert text._letter_counts(some).to_pylist() == want
+    rows = spark.createDataFrame([(x,) for x in texts], "text string")
+    found = text.detect_languages(F.col("text"))
+    for df in (rows.select(found["language"], found["detected"]), rows.groupBy(text.ocr_language(found["detected"])).count()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_replace" not in plan
+        assert plan.count("ArrowEvalPython") == 1 and "pythonUDF1" not in plan
+        df.collect()
