@@ -15,7 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,21 +96,27 @@ def steps_of(tokens: list[int], size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def scan(blocks: pd.DataFrame, size: int) -> pd.DataFrame:
-    """For each block of a file, in order: the line before its first, what comes in, and whether it is the last, and then ends with a line's end."""
-    blocks = blocks.sort_values(["split", "block"])
-    line, start, held, rows = 0, -1, 0, []
-    ended = blocks["n_bytes"].sum() == blocks["file_size"].iloc[0]
-    for n, steps, none in zip(blocks["n_lines"].tolist(), blocks["steps"], blocks["none"], strict=True):
-        rows.append((line, start, held))
-        at, tokens = (none["start"], none["tokens"]) if start < 0 else next((s["start"], s["tokens"]) for s in steps if held <= s["most"])
+def scan(blocks: pa.Table, size: int) -> pa.Table:
+    """For each block of a file, in order: the line before its first, what comes in, and whether it is the last, and then ends with a line's end. Steps stay arrays of numbers, as a file may have many blocks."""
+    number = {c: blocks[c].to_numpy() for c in ("split", "block", "n_lines", "n_bytes", "file_size")}
+    order = np.lexsort((number["block"], number["split"]))
+    steps, none = blocks["steps"].combine_chunks(), blocks["none"].combine_chunks()
+    ends, most, to, more = steps.offsets.to_numpy(), *(steps.values.field(c).to_numpy() for c in ("most", "start", "tokens"))
+    alone = none.field("start").to_numpy(), none.field("tokens").to_numpy()
+    line, start, held, rows = 0, -1, 0, np.zeros((3, len(order)), np.int64)
+    for n, i in enumerate(order.tolist()):
+        rows[:, n] = line, start, held
+        k = ends[i] + most[ends[i] : ends[i + 1]].searchsorted(held)
+        at, tokens = (int(alone[0][i]), int(alone[1][i])) if start < 0 else (int(to[k]), int(more[k]))
         if at == 0:
             held += tokens
         else:
             start, held = (-1, 0) if at < 0 else (line + at, tokens)
-        line += n
-    out = blocks[["path", "split", "block"]].assign(before=[r[0] for r in rows], start=[r[1] for r in rows], held=[r[2] for r in rows])
-    return out.assign(last_of_ended=[ended and i + 1 == len(out) for i in range(len(out))])
+        line += int(number["n_lines"][i])
+    last = np.zeros(len(order), bool)
+    last[-1] = number["n_bytes"].sum() == number["file_size"][0]
+    names = ["path", "split", "block", "before", "start", "held", "last_of_ended"]
+    return pa.Table.from_arrays([blocks["path"].combine_chunks(), *(pa.array(x) for x in (number["split"][order], number["block"][order], *rows, last))], names=names)
 
 
 def parts_of(text: str, before: int, start: int, held: int, last_of_ended: bool, size: int) -> Iterator[tuple[int, int, int, int, str]]:
@@ -147,27 +153,29 @@ def chunk_blocks(blocks: DataFrame, size: int = DEFAULT_SIZE, band: int = 100_00
     """blocks (see `read_blocks`) -> path, chunk_index, line_start, line_end, chunk. `blocks` is read twice."""
 
     def tables(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            tokens = [line_tokens(x) for x in text.split("\n")]
+        made = []
+        for text in texts:  # one at a time, as there may be thousands of blocks in a batch
+            tokens = [line_tokens(x) for x in text.as_py().split("\n")]
             # of nothing held: as if a line of no tokens went before, but for where the chunk begins
-            held = steps_of(tokens, size)
+            steps = steps_of(tokens, size)
             none = _from_nothing(tokens, size)
-            out.append({"steps": [{"most": m, "start": s, "tokens": t} for m, s, t in held], "none": {"start": none[0], "tokens": none[1]}})
-        return pa.array(out, kind)
+            made.append(pa.array([{"steps": [{"most": m, "start": s, "tokens": t} for m, s, t in steps], "none": {"start": none[0], "tokens": none[1]}}], kind))
+        return pa.concat_arrays(made) if made else pa.array([], kind)
 
     step = [("start", pa.int64()), ("tokens", pa.int32())]
     kind = pa.struct([("steps", pa.list_(pa.struct([("most", pa.int32()), *step]))), ("none", pa.struct(step))])
     made = F.arrow_udf(tables, f"struct<steps:{STEPS},none:struct<start:long,tokens:int>>")
     small = blocks.select("path", "file_size", "split", "block", "n_lines", "n_bytes", made(F.col("text")).alias("_t")).select("*", "_t.*").drop("_t")
-    states = small.groupBy("path").applyInPandas(lambda rows: scan(rows, size), "path string, split long, block int, before long, start long, held long, last_of_ended boolean")
+    states = small.groupBy("path").applyInArrow(lambda rows: scan(rows, size), "path string, split long, block int, before long, start long, held long, last_of_ended boolean")
     whole = blocks.select("path", "split", "block", "text").join(states, ["path", "split", "block"])
 
     def run(batches):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
-            rows = [(path, *part) for path, *block in zip(*(c.to_pylist() for c in batch.columns), strict=True) for part in parts_of(*block, size)]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["path", "start", "piece", "at", "line_end", "chunk"])
+            for i in range(batch.num_rows):  # the parts of one block at a time
+                path, *block = (c[i].as_py() for c in batch.columns)
+                rows = [(path, *part) for part in parts_of(*block, size)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "start", "piece", "at", "line_end", "chunk"])
 
     parts = whole.select("path", "text", "before", "start", "held", "last_of_ended").mapInArrow(run, PARTS)
     said = F.array_sort(F.collect_list(F.struct("at", "chunk")))  # as many as the blocks that a chunk crosses

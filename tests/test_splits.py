@@ -1,7 +1,9 @@
 """Files in many splits give the chunks of the whole."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,3 +68,24 @@ def test_files_in_splits_are_chunked_as_whole(spark, tmp_path, split_bytes, bloc
         assert r["chunk_index"] == len(own)
         own.append((r["chunk"], r["line_start"], r["line_end"]))
     assert found == {name: chunk_lines(text, 60) for name, text in texts.items()}
+
+
+def test_the_scan_of_a_file_holds_numbers_only():
+    n, size, rng = 3000, 128, random.Random(3)
+    tokens = [[rng.choice([0, 3, 7, 21, 60, 200]) for _ in range(12)] for _ in range(40)]
+    step = [("start", pa.int64()), ("tokens", pa.int32())]
+    known = [splits.steps_of(t, size) for t in tokens]
+    steps = pa.array([[{"most": m, "start": s, "tokens": k} for m, s, k in known[i % 40]] for i in range(n)], pa.list_(pa.struct([("most", pa.int32()), *step])))
+    none = pa.array([dict(zip(("start", "tokens"), splits._from_nothing(tokens[i % 40], size), strict=True)) for i in range(n)], pa.struct(step))
+    blocks = pa.table({"path": ["f"] * n, "file_size": [12 * n] * n, "split": [0] * n, "block": pa.array(range(n), pa.int32()), "n_lines": [12] * n, "n_bytes": [12] * n, "steps": steps, "none": none})
+    mixed = blocks.take(pa.array(rng.sample(range(n), n)))
+    tracemalloc.start()
+    out = splits.scan(mixed, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
+    start, held = -1, 0
+    for i, r in enumerate(out.to_pylist()):
+        assert (r["block"], r["before"], r["start"], r["held"], r["last_of_ended"]) == (i, 12 * i, start, held, i + 1 == n)
+        at, held = fold(tokens[i % 40], size, 0 if start >= 0 else -1, held)
+        start = start if at == 0 else -1 if at < 0 else 12 * i + at
