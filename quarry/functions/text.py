@@ -53,20 +53,20 @@ def _letter_counts(texts: pa.Array) -> pa.Array:
     """struct(hebrew, english) of the letters of each text, by the bytes of UTF-8; null for null."""
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    counts = np.zeros((2, len(texts)), np.int32)
+    counts = np.zeros((2, len(texts)), np.int64)  # ten times as many are compared
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     for i, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
         said = data[a:b]
         counts[1, i] = np.count_nonzero(((said | 32) - 97) < 26)
         if b > a and said.max() >= 0xD6:  # U+0590 to U+05FF: D6 90 to D7 BF
             counts[0, i] = np.count_nonzero(said == 0xD7) + np.count_nonzero((said[:-1] == 0xD6) & (said[1:] >= 0x90))
-    kinds = pa.struct([("hebrew", pa.int32()), ("english", pa.int32())])
+    kinds = pa.struct([("hebrew", pa.int64()), ("english", pa.int64())])
     return pa.StructArray.from_arrays([pa.array(c) for c in counts], fields=list(kinds), mask=texts.is_null())
 
 
 def detect_languages(text: Column) -> Column:
     """struct(language, detected): Hebrew against Latin letters; one is listed if it has over a tenth of both."""
-    counts = F.arrow_udf(_letter_counts, "struct<hebrew:int,english:int>")(text)  # one pass over the text for both
+    counts = F.arrow_udf(_letter_counts, "struct<hebrew:bigint,english:bigint>")(text)  # one pass over the text for both
     hebrew, english = counts["hebrew"], counts["english"]
     total = hebrew + english
     listed = F.array_compact(

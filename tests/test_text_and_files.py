@@ -310,3 +310,11 @@ def test_letters_are_counted_in_one_pass(spark):
         assert "regexp_replace" not in plan
         assert plan.count("ArrowEvalPython") == 1 and "pythonUDF1" not in plan
         df.collect()
+
+
+def test_letters_of_a_very_long_text_are_compared_in_longs(spark, monkeypatch):
+    assert {f.type for f in text._letter_counts(pa.array(["a"])).type} == {pa.int64()}
+    many = [800_000_000, 215_000_000]  # Hebrew and Latin, in 1.8 GB
+    monkeypatch.setattr(text, "_letter_counts", lambda texts: pa.StructArray.from_arrays([pa.array([n] * len(texts)) for n in many], names=["hebrew", "english"]))
+    assert one(spark, text.detect_languages, "a") == ("hebrew", ["hebrew", "english"])
+    assert one(spark, lambda x: text.ocr_language(text.detect_languages(x)["detected"]), "a") == "heb+eng"
