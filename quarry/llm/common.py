@@ -236,5 +236,27 @@ def with_columns_from(df: DataFrame, fn, new: str, needs: dict[str, Column], kee
     return source.mapInArrow(run, schema)
 
 
+def with_columns_beside(df: DataFrame, fn, new: str, needs: dict[str, Column], keep: list[str]) -> DataFrame:
+    """As `with_columns_from`, for kept columns that are large: they stay in the JVM, in pages that count as the task's memory and spill, and only `needs` go to Python and only new columns come back.
+
+    fn returns an Arrow array for each new column. Its values are made once for each
+    row, whatever reads or filters by them; so they are marked as not deterministic.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    added = StructType.fromDDL(new)
+    keep = [c for c in keep if c not in added.names]
+    kinds, names, asked = [to_arrow_type(f.dataType) for f in added.fields], added.names, list(needs)
+
+    def run(*columns: pa.Array) -> pa.Array:
+        made = fn(pa.RecordBatch.from_arrays(list(columns), names=asked))
+        return pa.StructArray.from_arrays([pa.array(c).cast(k) for c, k in zip(made, kinds, strict=True)], names=names)
+
+    made = F.arrow_udf(run, added).asNondeterministic()(*needs.values())
+    kept = [F.col(f"`{c}`") for c in keep]
+    return df.select(*kept, made.alias("_quarry_made")).select(*kept, "_quarry_made.*")
+
+
 def as_bytes(column: str = "text") -> Column:
     return F.col(column).cast("string").cast("binary")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import as_bytes, with_columns_from
+from quarry.llm.common import as_bytes, with_columns_beside, with_columns_from
 
 MARKS = string.punctuation.encode()
 N_FEATURES = 2 * (len(MARKS) + 19)
@@ -180,4 +180,4 @@ def score_quality(docs: DataFrame, model: Model | None, threshold: float = 0.7,
             scores = np.concatenate([model.score(np.stack([features(t.as_py()) for t in texts[i : i + 512]])) for i in range(0, len(texts), 512)])
         return [pa.array(scores.astype(np.float64)), pa.array((scores >= threshold).astype(np.int32))]
 
-    return with_columns_from(docs, run, "score double, predicted int", {"text": as_bytes()}, docs.columns if keep is None else keep)
+    return with_columns_beside(docs, run, "score double, predicted int", {"text": as_bytes()}, docs.columns if keep is None else keep)

@@ -72,6 +72,19 @@ def test_quality_of_odd_rows(spark, labelled):
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows) and len({r["score"] for r in rows if r["doc_id"] == "a"}) == 1
 
 
+def test_quality_leaves_kept_columns_out_of_python(spark, labelled):
+    docs, labels, _ = labelled
+    model = quality.train(docs, labels, every())
+    rows = docs.select("doc_id", "text", F.struct("doc_id", "text").alias("_row"))
+    out = quality.score_quality(rows, model, keep=["_row"]).where("predicted = 1")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sent = [x for x in plan.splitlines() if re.search("MapInArrow|ArrowEvalPython", x)]
+    assert len(sent) == 1 and "MapInArrow" not in sent[0], "the text goes to Python once, the row that holds it again does not"
+    plain = {r["doc_id"]: float(model.score(quality.features((r["text"] or "").encode())[None])[0]) for r in docs.collect()}
+    found = {r["_row"]["doc_id"]: r["score"] for r in out.collect()}
+    assert found.keys() == {i for i, x in plain.items() if x >= 0.7} and all(abs(found[i] - plain[i]) < 1e-9 for i in found)
+
+
 def test_quality_risk_and_prior_against_plain_ones():
     """Two known densities: the prior is bounded from above and near, and the fit has the least non-negative risk."""
     rng = np.random.default_rng(5)
